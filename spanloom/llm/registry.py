@@ -1,6 +1,12 @@
 """The queries opN_<name> over the driver's tables, and their SQL where there is one."""
 
-from spanloom.llm import decontaminate
+from spanloom.llm import decontaminate, secrets
 
-QUERIES = {"op1_decontaminate": decontaminate.op1}
-ORACLES = {"op1_decontaminate": decontaminate.ORACLE}
+QUERIES = {
+    "op1_decontaminate": decontaminate.op1,
+    "op4_secret_scan": secrets.op4,
+}
+ORACLES = {
+    "op1_decontaminate": decontaminate.ORACLE,
+    "op4_secret_scan": secrets.ORACLE,
+}
