@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from spanloom.llm.arrowio import as_bytes, slices
 
 BUCKETS_LOG2, DIM, ORDERS = 15, 16, (2, 3, 4)
-SAMPLE, EPOCHS, BATCH, RATE, VALID = 4000, 12, 64, 2.0, 0.25
+SAMPLE, EPOCHS, BATCH, RATE, VALID = 2000, 10, 64, 2.0, 0.25
+#: Share of doubt that calibration assumes in every label.
+DOUBT = 0.005
 #: Share of rightly predicted validation texts that the threshold may reject, and the most that it may be.
 REJECT, MOST = 0.001, 0.5
 UND = "und"
@@ -50,14 +52,18 @@ def bucket_rows(flat: np.ndarray, offsets: np.ndarray):
             yield h >> np.uint32(32 - BUCKETS_LOG2), np.minimum(offsets[:-1], len(key)), ends
 
 
-def counts_of(texts: list[str]) -> np.ndarray:
-    """Row-normalised subword counts, float32 texts x buckets."""
-    out = np.zeros((len(texts), 1 << BUCKETS_LOG2), np.float32)
-    for i, text in enumerate(texts):
-        flat, offsets = as_bytes(pa.array([text], pa.large_string()))
-        for idx, _, _ in bucket_rows(flat, offsets):
-            out[i] += np.bincount(idx, minlength=out.shape[1])
-    return out / np.maximum(out.sum(1, keepdims=True), 1)
+def counts_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, their shares float32) of a text's subwords."""
+    flat, offsets = as_bytes(pa.array([text], pa.large_string()))
+    idx, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *(x[0] for x in bucket_rows(flat, offsets))]), return_counts=True)
+    return idx, (n / max(1, n.sum())).astype(np.float32)
+
+
+def dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    out = np.zeros((len(rows), 1 << BUCKETS_LOG2), np.float32)
+    for i, (idx, share) in enumerate(rows):
+        out[i, idx] = share
+    return out
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -71,6 +77,7 @@ def train(texts: list[str], labels: list[str], seed: int = 3) -> dict:
     if not langs:
         return {"langs": [], "table": np.zeros((1 << BUCKETS_LOG2, 1), np.float32), "threshold": 0.0}
     rng = np.random.default_rng(seed)
+    features = [counts_of(t) for t in texts]
     y = np.array([langs.index(x) for x in labels])
     order = rng.permutation(len(y))
     held = order[: int(len(y) * VALID)]
@@ -82,7 +89,7 @@ def train(texts: list[str], labels: list[str], seed: int = 3) -> dict:
         rate = RATE * (1 - epoch / EPOCHS)
         for k in range(0, len(fit), BATCH):
             rows = fit[k : k + BATCH]
-            x = counts_of([texts[i] for i in rows])
+            x = dense([features[i] for i in rows])
             seen = np.flatnonzero(x.any(0))
             x = x[:, seen]
             hidden = x @ emb[seen]
@@ -93,9 +100,11 @@ def train(texts: list[str], labels: list[str], seed: int = 3) -> dict:
             emb[seen] -= rate * 100 * grad / len(rows)
     table = emb @ out
     check = held if len(held) else fit
-    z = np.vstack([counts_of([texts[i] for i in check[k : k + 256]]) @ table for k in range(0, len(check), 256)]).astype(np.float64)
+    z = np.vstack([dense([features[i] for i in check[k : k + BATCH]]) @ table for k in range(0, len(check), BATCH)]).astype(np.float64)
     scales = np.geomspace(0.1, 20, 60)
-    loss = [-np.log(np.maximum(softmax(z * s)[np.arange(len(check)), y[check]], 1e-12)).mean() for s in scales]
+    wanted = np.full(z.shape, DOUBT / len(langs))
+    wanted[np.arange(len(check)), y[check]] += 1 - DOUBT
+    loss = [-(wanted * np.log(np.maximum(softmax(z * s), 1e-12))).sum(1).mean() for s in scales]
     scale = scales[int(np.argmin(loss))]
     p = softmax(z * scale)
     right = p.max(1)[p.argmax(1) == y[check]]
