@@ -1,12 +1,13 @@
 """The queries opN_<name> over the driver's tables, and their SQL where there is one."""
 
-from spanloom.llm import bpe, decontaminate, langid, secrets
+from spanloom.llm import bpe, decontaminate, langid, near, secrets
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op2_bpe": bpe.op2,
     "op4_secret_scan": secrets.op4,
     "op9_language_id": langid.op9,
+    "op10_ngram_jaccard": near.op10,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
