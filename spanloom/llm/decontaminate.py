@@ -7,7 +7,8 @@ and position bounds discard those that stick out of the document, and the rest a
 
 A hot word costs no pairs: of each window only the rarest word joins. The benchmark's side is broadcast when its word
 count, known before, is at most ``broadcast_words``; above that the same join shuffles on the word, and each document
-row then carries only the words around its position.
+row then carries only the words around its position. Words join by a 64-bit hash; grams are compared as strings.
+The words of the corpus are written once to the shared folder, since cutting text costs far more than reading words.
 
 Edge cases: null or empty text has no words, n_hit 0 and the hash of an empty list; an item without words has no window;
 items with a null id count as hits but are not listed; repeated documents each get their row; equal item ids are one item.
@@ -41,18 +42,17 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 def with_prefix(windows: DataFrame, docs: DataFrame, small: bool) -> DataFrame:
     """Adds to each window its rarest word by corpus frequency (ties: the lesser word) and that word's first offset."""
     hint = F.broadcast if small else (lambda x: x)
-    vocabulary = windows.select(F.explode("gram").alias("word")).distinct()
-    frequency = (
-        docs.select(F.explode("words").alias("word")).join(hint(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    )
+    vocabulary = windows.select(F.explode("gram").alias("word")).select(F.xxhash64("word").alias("k")).distinct()
+    frequency = docs.select(F.explode("words").alias("word")).select(F.xxhash64("word").alias("k")).join(hint(vocabulary), "k", "left_semi")
     rarest = (
         windows.select("gram", F.explode(F.array_distinct("gram")).alias("word"))
-        .join(frequency, "word", "left")
+        .withColumn("k", F.xxhash64("word"))
+        .join(frequency.groupBy("k").agg(F.count("*").alias("n")), "k", "left")
         .groupBy("gram")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("least"))
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "k")).alias("least"))
     )
     return rarest.join(windows, "gram").where("least.n > 0").select(
-        F.col("least.word").alias("word"), (F.array_position("gram", F.col("least.word")) - 1).cast("int").alias("off"), "gram", "items"
+        F.col("least.k").alias("k"), (F.array_position("gram", F.col("least.word")) - 1).cast("int").alias("off"), "gram", "items"
     )
 
 
@@ -60,21 +60,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, broad
     """docs(doc_id, text), items(item_id, text) -> doc_id, n_words, n_hit, items array<string>, spans array<struct<start,len>>."""
     n_item_words = items.select(F.sum(F.size(words_of(F.col("text"))))).first()[0] or 0
     small = n_item_words <= broadcast_words
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("words"))
+    keyed = saved(docs.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("words")), "words")
     prefix = saved(with_prefix(item_windows(items, window), keyed, small), "prefix")
-    placed = keyed.select("doc_id", "h", "words", F.posexplode("words").alias("pos", "word"))
+    placed = keyed.select("doc_id", "h", "words", F.posexplode("words").alias("pos", "word")).withColumn("k", F.xxhash64("word"))
     size = F.size("gram")
     if small:
-        found = placed.join(F.broadcast(prefix), "word").where(
+        found = placed.join(F.broadcast(prefix), "k").where(
             (F.col("pos") >= F.col("off"))
             & (F.col("pos") - F.col("off") + size <= F.size("words"))
             & (F.slice("words", F.col("pos") - F.col("off") + 1, size) == F.col("gram"))
         )
     else:
         first = F.greatest(F.col("pos") - window + 1, F.lit(0))
-        around = placed.select("doc_id", "h", "pos", "word", first.alias("first"), F.slice("words", first + 1, 2 * window - 1).alias("near"))
+        around = placed.select("doc_id", "h", "pos", "k", first.alias("first"), F.slice("words", first + 1, 2 * window - 1).alias("near"))
         start = F.col("pos") - F.col("off") - F.col("first")
-        found = around.join(prefix, "word").where((start >= 0) & (F.slice("near", F.greatest(start, F.lit(0)) + 1, size) == F.col("gram")))
+        found = around.join(prefix, "k").where((start >= 0) & (F.slice("near", F.greatest(start, F.lit(0)) + 1, size) == F.col("gram")))
     hits = found.groupBy("doc_id", "h").agg(
         F.array_sort(F.collect_set(F.struct((F.col("pos") - F.col("off")).alias("start"), size.alias("len")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
