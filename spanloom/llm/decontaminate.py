@@ -56,13 +56,16 @@ def with_prefix(windows: DataFrame, docs: DataFrame, small: bool) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """docs(doc_id, text), items(item_id, text) -> doc_id, n_words, n_hit, items array<string>, spans array<struct<start,len>>."""
+def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(every row's uid, doc_id, words; of the uids with hits their spans array<struct<start,len>>, items array<string>, n_hit).
+
+    uid is a hash of doc_id and text: repeated rows share it, and their hits.
+    """
     n_item_words = items.select(F.sum(F.size(words_of(F.col("text"))))).first()[0] or 0
     small = n_item_words <= broadcast_words
-    keyed = saved(docs.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("words")), "words")
+    keyed = saved(docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", words_of(F.col("text")).alias("words")), "words")
     prefix = saved(with_prefix(item_windows(items, window), keyed, small), "prefix")
-    placed = keyed.select("doc_id", "h", "words", F.posexplode("words").alias("pos", "word")).withColumn("k", F.xxhash64("word"))
+    placed = keyed.select("uid", "words", F.posexplode("words").alias("pos", "word")).withColumn("k", F.xxhash64("word"))
     size = F.size("gram")
     if small:
         found = placed.join(F.broadcast(prefix), "k").where(
@@ -72,10 +75,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, broad
         )
     else:
         first = F.greatest(F.col("pos") - window + 1, F.lit(0))
-        around = placed.select("doc_id", "h", "pos", "k", first.alias("first"), F.slice("words", first + 1, 2 * window - 1).alias("near"))
+        around = placed.select("uid", "pos", "k", first.alias("first"), F.slice("words", first + 1, 2 * window - 1).alias("near"))
         start = F.col("pos") - F.col("off") - F.col("first")
         found = around.join(prefix, "k").where((start >= 0) & (F.slice("near", F.greatest(start, F.lit(0)) + 1, size) == F.col("gram")))
-    hits = found.groupBy("doc_id", "h").agg(
+    hits = found.groupBy("uid").agg(
         F.array_sort(F.collect_set(F.struct((F.col("pos") - F.col("off")).alias("start"), size.alias("len")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
@@ -88,12 +91,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, broad
         ),
         lambda a: a["n"],
     )
-    found_rows = hits.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), covered.alias("hit"), "items", "spans")
-    sized = keyed.select("doc_id", "h", F.size("words").cast("long").alias("n_words"))
-    return sized.join(found_rows, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").select(
+    return keyed, hits.withColumn("n_hit", covered)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """docs(doc_id, text), items(item_id, text) -> uid, doc_id, n_words, n_hit, items array<string>, spans array<struct<start,len>>."""
+    keyed, hits = find(docs, items, window, broadcast_words)
+    return keyed.select("uid", "doc_id", F.size("words").cast("long").alias("n_words")).join(hits, "uid", "left").select(
+        "uid",
         "doc_id",
         "n_words",
-        F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.coalesce("spans", F.array().cast("array<struct<start:int,len:int>>")).alias("spans"),
     )

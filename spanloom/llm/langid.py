@@ -128,12 +128,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     return train([r.text for r in rows], [r.lang for r in rows])
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """Adds lang_pred string, score double and rejected boolean to every row; columns of these names are replaced."""
-    added = ["lang_pred", "score", "rejected"]
+def predict(docs: DataFrame, model: dict, prefix: str = "") -> DataFrame:
+    """Adds lang_pred string, score double and rejected boolean, named with the prefix; columns of these names are replaced."""
+    added = [prefix + c for c in ("lang_pred", "score", "rejected")]
     names = [c for c in docs.columns if c not in added]
     kept = docs.select(*[f"`{c}`" for c in names])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string, score double, rejected boolean"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *map(" ".join, zip(added, ("string", "double", "boolean"), strict=True))])
     where = names.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

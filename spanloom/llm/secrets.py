@@ -86,7 +86,8 @@ def joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", keep: list[str] | None = None, copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """docs(doc_id, text, owner, repository) -> doc_id, the ``keep`` columns, base and spans array<SPAN>, n_live, n_copied.
+    """docs(doc_id, text, owner, repository) -> doc_id, row struct of the ``keep`` columns if given, base and spans
+    array<SPAN> in order of start, n_live, n_copied, most_owners, most_repositories.
 
     Repository defaults to the document itself, for corpora whose rows name none.
     """
@@ -95,7 +96,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", kee
     rows = saved(
         docs.select(
             F.monotonically_increasing_id().alias("uid"),
-            F.struct("doc_id", *(keep or [])).alias("kept"),
+            "doc_id",
+            *([F.struct(*[f"`{c}`" for c in keep]).alias("row")] if keep else []),
             F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
             F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repo"),
             cands.alias("cands"),
@@ -121,7 +123,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", kee
     )
     none = F.array().cast(f"array<{SPAN}>")
     return rows.join(judged, "uid", "left").select(
-        "kept.*",
+        "doc_id",
+        *(["row"] if keep else []),
         F.array_sort(F.filter("cands", lambda s: s["ord"] < len(BASE))).alias("base"),
         F.coalesce("spans", none).alias("spans"),
         *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_copied", "most_owners", "most_repositories")],
