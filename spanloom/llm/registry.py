@@ -1,12 +1,13 @@
 """The queries opN_<name> over the driver's tables, and their SQL where there is one."""
 
-from spanloom.llm import bpe, decontaminate, langid, near, quality, secrets
+from spanloom.llm import bpe, decontaminate, langid, near, quality, secrets, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op2_bpe": bpe.op2,
     "op3_quality_rules": quality.op3,
     "op4_secret_scan": secrets.op4,
+    "op5_warc": warc.op5,
     "op9_language_id": langid.op9,
     "op10_ngram_jaccard": near.op10,
 }
@@ -14,4 +15,5 @@ ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op3_quality_rules": quality.ORACLE,
     "op4_secret_scan": secrets.ORACLE,
+    "op5_warc": warc.ORACLE,
 }
