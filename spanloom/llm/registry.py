@@ -1,6 +1,6 @@
 """The queries opN_<name> over the driver's tables, and their SQL where there is one."""
 
-from spanloom.llm import bpe, brown, decontaminate, langid, near, quality, secrets, warc, wrappers
+from spanloom.llm import bpe, brown, decontaminate, langid, near, quality, repeats, secrets, warc, wrappers
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_warc": warc.op5,
     "op6_brown_scores": brown.op6,
     "op7_html_text": wrappers.op7,
+    "op8_remove_repeats": repeats.op8,
     "op9_language_id": langid.op9,
     "op10_ngram_jaccard": near.op10,
 }
