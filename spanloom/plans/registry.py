@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,18 +22,4 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@register(
-    "time_per_behaviour",
-    """SELECT user_id, event_type AS behaviour, CAST(sum(CAST(value * 60 AS DECIMAL(18,4))) AS DOUBLE) AS seconds
-       FROM events GROUP BY user_id, event_type""",
-)
-def time_per_behaviour(spark, sf_dir):
-    return (
-        table(spark, sf_dir, "events")
-        .groupBy("user_id", F.col("event_type").alias("behaviour"))
-        .agg(F.sum((F.col("value") * 60).cast("decimal(18,4)")).cast("double").alias("seconds"))
-    )
+from spanloom.plans import corpus, evaluation, quality, timeline  # noqa: E402, F401  (they register themselves)
