@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,8 +14,11 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session, else the context's checkpoint folder, else a temporary one (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not found:
-        found = kept.get() if kept.isDefined() else tempfile.mkdtemp(prefix="spanloom-")
+    if not found and kept.isDefined():
+        found = kept.get()
+    elif not found:
+        found = tempfile.mkdtemp(prefix="spanloom-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     if not kept.isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
