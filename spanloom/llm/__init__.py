@@ -1,10 +1 @@
-"""Training-data operators. Nothing outside this subpackage imports it, except the guarded registration.
-
-Functions here run on executors that may not have this package installed, so they are pickled by value.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Training-data operators. Nothing outside this subpackage imports it, except the guarded registration."""

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes that one numpy pass holds at a time; its temporaries take about 60 times as much.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def slices(array: pa.Array, limit: int = CHUNK):

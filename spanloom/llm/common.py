@@ -1,13 +1,14 @@
-"""What the operators share: the word expression, document keys and the shared folder."""
+"""What the operators share: the word expression and written tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanloom.storage import saved, shared_dir
+
+__all__ = ["ascii_lower", "saved", "shared_dir", "words_of"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What separates words in text whose A-Z are lower-cased: ASCII other than 0-9 and a-z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -23,21 +24,3 @@ def ascii_lower(text: Column) -> Column:
 def words_of(text: Column) -> Column:
     """array<string> of the words; empty for null."""
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS, -1), "")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where spark.checkpoint.dir is unset (tests)."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not set_dir:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        set_dir = kept.get() if kept.isDefined() else tempfile.mkdtemp(prefix="spanloom-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(set_dir)
-    return set_dir.rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes the frame to the shared folder and reads it back: lineage ends there, and no executor's loss undoes it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

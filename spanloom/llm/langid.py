@@ -143,7 +143,7 @@ def predict(docs: DataFrame, model: dict, prefix: str = "") -> DataFrame:
         for batch in batches:
             texts = batch.column(where)
             pred, score = [], []
-            for a, b in slices(texts, 1 << 19):
+            for a, b in slices(texts):
                 part = texts.slice(a, b - a)
                 flat, offsets = as_bytes(part)
                 total, n = np.zeros((b - a, table.shape[1])), np.zeros(b - a)

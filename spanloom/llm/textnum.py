@@ -41,7 +41,7 @@ class Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 1 << 21)
+            size = max(n + n // 4, 1 << 19)
             for name, base in (("up", _BASE), ("down", _INV)):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
