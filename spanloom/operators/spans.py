@@ -1,6 +1,8 @@
 """Interval and timeline operators: windows, smoothing, runs, merging, hysteresis, interval and as-of joins.
 
-All window functions are partitioned by the timeline's key, so a timeline is a task's unit and timelines spread freely.
+Window functions are partitioned by the timeline's key, so timelines spread freely. Where one timeline may be too long for
+a task, ``bucket`` (a width in units of its order column) makes runs, merging, hysteresis, local rates and smoothing work on
+stretches of that width instead, with the same result.
 """
 
 from __future__ import annotations
@@ -8,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators import longline
 
 def window_starts(n: Column, span: Column, hop: Column) -> Column:
     """array<long> of start frames 0, hop, ... and the tail n - span; [0] when the video is not longer than a window."""
@@ -44,7 +47,7 @@ def frame_range(start: Column, end: Column, fps: Column, n: Column) -> Column:
     return F.struct(F.when(last < first, F.least(n.cast("long") - 1, first)).otherwise(first).alias("first"), F.when(last < first, F.least(n.cast("long") - 1, first)).otherwise(last).alias("last"))
 
 
-def median_smooth(df: DataFrame, key: list[str], order: str, value: str, width: int, out: str = "smooth") -> DataFrame:
+def median_smooth(df: DataFrame, key: list[str], order: str, value: str, width: int, out: str = "smooth", bucket: float | None = None) -> DataFrame:
     """Centred running median with the first and last value repeated beyond the ends; short timelines narrow the window.
 
     The window is cut to the timeline's length and made odd; timelines under three values stay as they are.
@@ -52,6 +55,8 @@ def median_smooth(df: DataFrame, key: list[str], order: str, value: str, width:
     if width <= 1:
         return df.withColumn(out, F.col(value))
     half = (width + (width % 2 == 0)) // 2
+    if bucket:
+        return _median_in_stretches(df, key, order, value, width, out, bucket)
     whole, line = Window.partitionBy(*key), Window.partitionBy(*key).orderBy(order)
     ordered = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     df = df.select(
@@ -62,6 +67,11 @@ def median_smooth(df: DataFrame, key: list[str], order: str, value: str, width:
         F.last(value).over(ordered).alias("__last"),
         F.collect_list(value).over(line.rowsBetween(-half, half)).alias("__near"),
     )
+    return _median_of(df, value, width, half, out)
+
+
+def _median_of(df: DataFrame, value: str, width: int, half: int, out: str) -> DataFrame:
+    """The median of __near, the values up to ``half`` rows away of row __i of __n, padded with the line's ends."""
     room = F.greatest(F.lit(0), half - F.col("__i") + 1).cast("int"), F.greatest(F.lit(0), half - F.col("__n") + F.col("__i")).cast("int")
     padded = F.concat(F.array_repeat("__first", room[0]), F.col("__near"), F.array_repeat("__last", room[1]))
     own_width = F.least(F.lit(width).cast("long"), F.col("__n"))
@@ -70,27 +80,53 @@ def median_smooth(df: DataFrame, key: list[str], order: str, value: str, width:
     return df.withColumn(out, F.when(F.col("__n") < 3, F.col(value)).otherwise(median)).drop("__n", "__i", "__first", "__last", "__near")
 
 
-def runs(df: DataFrame, key: list[str], order: str, mask: str, score: str = "score", t0: str = "t0", t1: str = "t1") -> DataFrame:
+def _median_in_stretches(df: DataFrame, key: list[str], order: str, value: str, width: int, out: str, bucket: float, stretch: int = 4096) -> DataFrame:
+    """median_smooth with the line cut into stretches of rows, each with the rows next to it."""
+    half = (width + (width % 2 == 0)) // 2
+    sized = numbered(df, key, [order], bucket, "__i")
+    ends = sized.groupBy(*key).agg(F.count("*").alias("__n"), F.min_by(value, order).alias("__first"), F.max_by(value, order).alias("__last"))
+    rows = sized.join(ends, key)
+    at = F.floor((F.col("__i") - 1) / stretch)
+    sides = F.array_distinct(F.array(at, F.floor((F.col("__i") - 1 - half) / stretch), F.floor((F.col("__i") - 1 + half) / stretch)))
+    line = Window.partitionBy(*key, "__s").orderBy("__i").rowsBetween(-half, half)
+    near = rows.withColumn("__s", F.explode(sides)).withColumn("__near", F.collect_list(value).over(line)).where(F.col("__s") == at).drop("__s")
+    return _median_of(near, value, width, half, out)
+
+
+def numbered(df: DataFrame, key: list[str], by: list[str], bucket: float | None, out: str) -> DataFrame:
+    if bucket:
+        return longline.row_index(df, key, by, bucket, out)
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*key).orderBy(*by)))
+
+
+def islands(df: DataFrame, key: list[str], by: list[str], value: str, bucket: float | None, cut, out: str = "__g") -> DataFrame:
+    """Adds the number of rows up to this one at which ``cut(the row before's value)`` holds or there is none before."""
+    if bucket:
+        rows = longline.previous(df, key, by, bucket, value, "__prev")
+        return longline.running(rows, key, by, bucket, (F.col("__prev").isNull() | cut(F.col("__prev"))).cast("int"), out).drop("__prev")
+    line = Window.partitionBy(*key).orderBy(*by)
+    rows = df.withColumn("__prev", F.lag(value).over(line))
+    return rows.withColumn(out, F.sum((F.col("__prev").isNull() | cut(F.col("__prev"))).cast("int")).over(line)).drop("__prev")
+
+
+def runs(df: DataFrame, key: list[str], order: str, mask: str, score: str = "score", t0: str = "t0", t1: str = "t1", bucket: float | None = None) -> DataFrame:
     """Maximal runs of masked windows: key, start, end, score (mean), peak."""
-    line = Window.partitionBy(*key).orderBy(order)
-    marked = df.select(*key, order, mask, score, t0, t1, F.row_number().over(line).alias("__i")).where(mask)
-    island = marked.withColumn("__g", F.col("__i") - F.row_number().over(line))
+    marked = numbered(df.select(*key, order, mask, score, t0, t1), key, [order], bucket, "__i").where(mask)
+    island = numbered(marked, key, [order], bucket, "__j").withColumn("__g", F.col("__i") - F.col("__j"))
     return island.groupBy(*key, "__g").agg(
         F.min_by(t0, order).alias("start"), F.max_by(t1, order).alias("end"), F.avg(score).alias("score"), F.max(score).alias("peak")
     ).drop("__g")
 
 
-def merge_spans(spans: DataFrame, key: list[str], gap: float) -> DataFrame:
+def merge_spans(spans: DataFrame, key: list[str], gap: float, bucket: float | None = None) -> DataFrame:
     """Joins neighbours at most ``gap`` apart; the score is re-weighted by the duration merged so far, bridged gaps included.
 
     The fold is not associative, so each island of neighbours is folded in order; islands, not timelines, are the unit.
     """
     if gap <= 0:
         return spans
-    line = Window.partitionBy(*key).orderBy("start", "end")
-    cut = (F.col("start") - F.lag("end").over(line) > gap) | F.lag("end").over(line).isNull()
-    islands = spans.withColumn("__g", F.sum(cut.cast("int")).over(line))
-    listed = islands.groupBy(*key, "__g").agg(F.array_sort(F.collect_list(F.struct("start", "end", "score", "peak"))).alias("s"))
+    joined = islands(spans, key, ["start", "end"], "end", bucket, lambda before: F.col("start") - before > gap)
+    listed = joined.groupBy(*key, "__g").agg(F.array_sort(F.collect_list(F.struct("start", "end", "score", "peak"))).alias("s"))
 
     def step(a: Column, x: Column) -> Column:
         held, new = F.greatest(F.lit(0.0), a["end"] - a["start"]), F.greatest(F.lit(0.0), x["end"] - x["start"])
@@ -101,25 +137,25 @@ def merge_spans(spans: DataFrame, key: list[str], gap: float) -> DataFrame:
     return listed.select(*key, merged.alias("m")).select(*key, "m.*")
 
 
-def spans_from_mask(df: DataFrame, key: list[str], order: str, mask: str, merge_gap: float = 0.0, min_duration: float = 0.0, **names) -> DataFrame:
-    """runs, then merge_spans, then the minimum duration."""
-    merged = merge_spans(runs(df, key, order, mask, **names), key, merge_gap)
+def spans_from_mask(df: DataFrame, key: list[str], order: str, mask: str, merge_gap: float = 0.0, min_duration: float = 0.0, bucket: float | None = None, span_bucket: float | None = None, **names) -> DataFrame:
+    """runs, then merge_spans (with buckets of the order column and of span starts), then the minimum duration."""
+    merged = merge_spans(runs(df, key, order, mask, bucket=bucket, **names), key, merge_gap, span_bucket)
     return merged.where(F.greatest(F.lit(0.0), F.col("end") - F.col("start")) >= min_duration)
 
 
-def frame_runs(df: DataFrame, key: list[str], frame: str, gap: int = 1) -> DataFrame:
+def frame_runs(df: DataFrame, key: list[str], frame: str, gap: int = 1, bucket: float | None = None) -> DataFrame:
     """Runs of frame numbers at most ``gap`` apart, repeats collapsed: key, first, last."""
-    line = Window.partitionBy(*key).orderBy(frame)
-    cut = (F.col(frame) - F.lag(frame).over(line) > gap) | F.lag(frame).over(line).isNull()
-    return df.select(*key, frame).distinct().withColumn("__g", F.sum(cut.cast("int")).over(line)).groupBy(*key, "__g").agg(
+    return islands(df.select(*key, frame).distinct(), key, [frame], frame, bucket, lambda before: F.col(frame) - before > gap).groupBy(*key, "__g").agg(
         F.min(frame).alias("first"), F.max(frame).alias("last")
     ).drop("__g")
 
 
-def hysteresis(df: DataFrame, key: list[str], order: str, value: str, open_level: Column, close_level: Column) -> DataFrame:
+def hysteresis(df: DataFrame, key: list[str], order: str, value: str, open_level: Column, close_level: Column, bucket: float | None = None) -> DataFrame:
     """Adds ``active``: on from a value >= open until one < close."""
     line = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     switch = F.when(F.col(value) >= open_level, F.lit(True)).when(F.col(value) < close_level, F.lit(False))
+    if bucket:
+        return longline.carried(df, key, [order], bucket, switch, "active").withColumn("active", F.coalesce("active", F.lit(False)))
     return df.withColumn("active", F.coalesce(F.last(switch, ignorenulls=True).over(line), F.lit(False)))
 
 
@@ -135,17 +171,24 @@ def energy_events(
     return merge_gaps(found, key, gap).where(F.col("end") - F.col("start") >= least).withColumn("end", F.least(F.col("end"), F.col("start") + most))
 
 
-def merge_gaps(events: DataFrame, key: list[str], gap: float) -> DataFrame:
+def merge_gaps(events: DataFrame, key: list[str], gap: float, bucket: float | None = None) -> DataFrame:
     """Intervals at most ``gap`` apart as one: key, start, end (that of the last)."""
-    line = Window.partitionBy(*key).orderBy("start", "end")
-    cut = (F.col("start") - F.lag("end").over(line) > gap) | F.lag("end").over(line).isNull()
-    return events.select(*key, "start", "end").withColumn("__g", F.sum(cut.cast("int")).over(line)).groupBy(*key, "__g").agg(
+    return islands(events.select(*key, "start", "end"), key, ["start", "end"], "end", bucket, lambda before: F.col("start") - before > gap).groupBy(*key, "__g").agg(
         F.min("start").alias("start"), F.max_by("end", F.struct("start", "end")).alias("end")
     ).drop("__g")
 
 
-def local_rate(df: DataFrame, key: list[str], time: str, radius: float, out: str = "rate") -> DataFrame:
-    """Adds the number of other rows of the timeline within ``radius`` of the row's time."""
+def local_rate(df: DataFrame, key: list[str], time: str, radius: float, out: str = "rate", bucket: float | None = None) -> DataFrame:
+    """Adds the number of other rows of the timeline within ``radius`` of the row's time.
+
+    In buckets (no narrower than the radius) rows near an edge are counted, but not returned, in the neighbour too.
+    """
+    if bucket:
+        width = max(bucket, radius)
+        at = F.floor(F.col(time) / width)
+        sides = F.array_distinct(F.array(at, F.floor((F.col(time) - radius) / width), F.floor((F.col(time) + radius) / width)))
+        copied = df.withColumn("__b", F.explode(sides))
+        return local_rate(copied, [*key, "__b"], time, radius, out).where(F.col("__b") == at).drop("__b")
     keys = ", ".join(f"`{k}`" for k in key)
     near = f"count(*) OVER (PARTITION BY {keys} ORDER BY `{time}` RANGE BETWEEN {radius} PRECEDING AND {radius} FOLLOWING) - 1"
     return df.withColumn(out, F.expr(near))
