@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
+#: Spark's limit on an Arrow batch, and the bytes that the operators here set unless the session has its own.
+BATCH_LIMIT, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
 #: Text bytes that one numpy pass holds at a time; its temporaries take about 60 times as much.
 CHUNK = 1 << 18
 
@@ -26,3 +29,11 @@ def as_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = array.buffers()[2]
     flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(data) else np.zeros(0, np.uint8)
     return flat, offsets - offsets[0]
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The frame, with the session's Arrow batches bounded, so that long texts do not make large ones."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_LIMIT) == BATCH_DEFAULT:
+        conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+    return df

@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from spanloom.llm.arrowio import bounded
+
 CACHE_WORDS = 200_000
 NO_RANK = 1 << 40
 #: Fixed value: the word pattern of the files read here.
@@ -184,7 +186,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, text_col: str = "
             yield pa.RecordBatch.from_arrays(out, [*names, "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids])
 
     assert not drop, f"no column {text_col}"
-    return kept.mapInArrow(run, schema)
+    return bounded(kept).mapInArrow(run, schema)
 
 
 def op2(spark, sf_dir) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.arrowio import as_bytes, slices
+from spanloom.llm.arrowio import as_bytes, bounded, slices
 from spanloom.llm.common import saved
 from spanloom.llm.textnum import FOLDED_VALUES, NOT_SPACE, Powers, span_hashes, word_bounds
 
@@ -68,7 +68,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             h, c = merged()
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "n"])
 
-    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return bounded(docs.select("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def with_ends(ids: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
@@ -103,7 +103,7 @@ def bigram_counts(docs: DataFrame, words: np.ndarray) -> np.ndarray:
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    rows = bounded(docs.select("text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size, np.int64)
     out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
     return out.reshape(size, size)
@@ -239,7 +239,7 @@ def score(docs: DataFrame, model: dict, rare: DataFrame) -> DataFrame:
             )
 
     schema = f"uid long, doc_id {kind}, n_tokens long, n_known long, base double, model double, tail array<long>, times array<long>"
-    local = saved(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(run, schema), "scored")
+    local = saved(bounded(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")).mapInArrow(run, schema), "scored")
     pairs = local.select("uid", F.explode(F.arrays_zip("tail", "times")).alias("p")).select("uid", F.col("p.tail").alias("h"), F.col("p.times").alias("t"))
     seen = (
         pairs.join(rare, "h")

@@ -18,14 +18,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.arrowio import as_bytes, slices
+from spanloom.llm.arrowio import as_bytes, bounded, slices
 
 BUCKETS_LOG2, DIM, ORDERS = 15, 16, (2, 3, 4)
 SAMPLE, EPOCHS, BATCH, RATE, VALID = 2000, 10, 64, 2.0, 0.25
 #: Share of doubt that calibration assumes in every label.
 DOUBT = 0.005
 #: Share of rightly predicted validation texts that the threshold may reject, and the most that it may be.
-REJECT, MOST = 0.001, 0.5
+REJECT, MOST = 0.001, 0.4
 UND = "und"
 
 
@@ -163,7 +163,7 @@ def predict(docs: DataFrame, model: dict, prefix: str = "") -> DataFrame:
             columns = [*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(gone, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
-    return kept.mapInArrow(run, schema)
+    return bounded(kept).mapInArrow(run, schema)
 
 
 def op9(spark, sf_dir) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.arrowio import as_bytes, slices
+from spanloom.llm.arrowio import as_bytes, bounded, slices
 from spanloom.llm.common import saved
 from spanloom.llm.textnum import ALNUM, FOLDED_VALUES, Powers, mix, span_hashes, windows, word_bounds
 from spanloom.operators.graph import components
@@ -109,7 +109,7 @@ def sketch(docs: DataFrame, ngram: int, bands: int, rows: int) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("uid", "doc_id", "text").mapInArrow(run, f"uid long, doc_id {kind}, node long, n_grams long, bands array<long>")
+    return bounded(docs.select("uid", "doc_id", "text")).mapInArrow(run, f"uid long, doc_id {kind}, node long, n_grams long, bands array<long>")
 
 
 def gram_sets(rows: DataFrame, ngram: int) -> DataFrame:
@@ -124,7 +124,7 @@ def gram_sets(rows: DataFrame, ngram: int) -> DataFrame:
             sets = [g.view(np.int64) for a, b in slices(text) for g in shingler.sets(text.slice(a, b - a))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sets, pa.list_(pa.int64()))], [*names, "grams"])
 
-    return rows.select(*names, "text").mapInArrow(run, f"{fields}, grams array<long>")
+    return bounded(rows.select(*names, "text")).mapInArrow(run, f"{fields}, grams array<long>")
 
 
 def intersections(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.arrowio import as_bytes, slices
+from spanloom.llm.arrowio import as_bytes, bounded, slices
 from spanloom.llm.textnum import NOT_SPACE, Powers, byte_values, mix, span_hashes, windows, word_bounds
 
 WINDOW = 8
@@ -59,7 +59,7 @@ def measure(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in columns)], ["doc_id", *MEASURES])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
+    return bounded(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
 def measured(texts: pa.Array, powers: Powers, exact: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.arrowio import as_bytes, slices
+from spanloom.llm.arrowio import as_bytes, bounded, slices
 from spanloom.llm.common import saved
 from spanloom.llm.textnum import Powers, byte_values, mix
 
@@ -93,7 +93,7 @@ def find_segments(docs: DataFrame, span: int, gram: int) -> DataFrame:
                 columns = [uid[a:b][of], start, anchor.view(np.int64), content.view(np.int64), n.astype(np.int32), distance.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
 
-    return docs.select("uid", "text").mapInArrow(run, "uid long, start long, anchor long, content long, windows int, distance int")
+    return bounded(docs.select("uid", "text")).mapInArrow(run, "uid long, start long, anchor long, content long, windows int, distance int")
 
 
 def words8(text: np.ndarray) -> np.ndarray:
@@ -252,7 +252,7 @@ def by_window_counts(pieces: DataFrame, span: int) -> DataFrame:
                 key = [pa.array([batch.column(names.index(k))[i].as_py()] * n, batch.schema.field(k).type) for k in KEY]
                 yield pa.RecordBatch.from_arrays([*key, pa.array(at, pa.int32()), *map(pa.array, hashes)], [*KEY, "at", "h1", "h2"])
 
-    rows = saved(pieces.mapInArrow(run, "anchor long, content long, windows int, distance int, at int, h1 long, h2 long"), "windows")
+    rows = saved(bounded(pieces).mapInArrow(run, "anchor long, content long, windows int, distance int, at int, h1 long, h2 long"), "windows")
     often = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     marks = rows.join(often, ["h1", "h2"]).groupBy(*KEY).agg(F.collect_list(F.struct(F.col("at").alias("s"), (F.col("at") + 1).alias("e"))).alias("runs"))
     return marks.select(*KEY, F.col("runs").cast("array<struct<s:int,e:int>>").alias("runs"))
@@ -314,7 +314,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     rows = keyed.join(spans, "uid", "left").select("doc_id", "text", "spans")
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return bounded(rows).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op8(spark, sf_dir) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.llm.arrowio import bounded
 from spanloom.llm.common import shared_dir
 
 MIN_REVISIT = 100
@@ -164,7 +165,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True, lim
                 yield pa.RecordBatch.from_pylist(rows, RECORD_ARROW)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInArrow(run, RECORD)
+    return bounded(files.select("content")).mapInArrow(run, RECORD)
 
 
 def transactions(records: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.arrowio import bounded
 from spanloom.llm.common import saved
 
 GROUP, MOST_ITEMS, MOST_DEPTH, LEAST_PAGES = 6, 200, 80, 3
@@ -214,10 +215,10 @@ def align(one: list[Item], two: list[Item]) -> list[Item]:
         else:
             out.append([two[j][0], two[j][1], True, two[j][3], two[j][4]])
             j += 1
-    return bounded(fold(out))
+    return cut_items(fold(out))
 
 
-def bounded(items: list[Item]) -> list[Item]:
+def cut_items(items: list[Item]) -> list[Item]:
     """At most MOST_ITEMS items: beyond, the last ones become one repeated wildcard, whose texts are slots."""
     return items if len(items) <= MOST_ITEMS else [*items[: MOST_ITEMS - 1], ["*", True, True, 0, []]]
 
@@ -281,7 +282,7 @@ def infer(pages: DataFrame, hosts_held: int = 2000) -> DataFrame:
 
         for batch in batches:
             for host, html in zip(batch.column(0), batch.column(1), strict=True):
-                items = bounded(stream(blocks(html.as_py() or "")))
+                items = cut_items(stream(blocks(html.as_py() or "")))
                 known = held.get(host.as_py())
                 held[host.as_py()] = (items, 1) if known is None else (align(known[0], items), known[1] + 1)
                 if len(held) >= hosts_held:
@@ -289,7 +290,7 @@ def infer(pages: DataFrame, hosts_held: int = 2000) -> DataFrame:
                     held.clear()
         yield rows()
 
-    parts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, WRAPPER)
+    parts = bounded(pages.select(host_of(F.col("url")).alias("host"), "html")).mapInArrow(run, WRAPPER)
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(64)).cast("int"))
     return merge_wrappers(merge_wrappers(salted, ["host", "salt"]), ["host"])
 
@@ -327,7 +328,7 @@ def extract(pages: DataFrame, ship_bytes: int = SHIP_BYTES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts, pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return bounded(rows).mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op7(spark, sf_dir) -> DataFrame:
