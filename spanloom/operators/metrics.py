@@ -118,30 +118,53 @@ def multiclass(df: DataFrame, row: list[str], logit: str = "logit", class_: str
     )
 
 
+def quantiles(rows: DataFrame, key: list[str], n: int) -> DataFrame:
+    """Of cumulative() rows: key, q int, value: n evenly spaced quantiles from 0 to 1, with linear interpolation.
+
+    Every distinct score yields the few quantiles whose neighbouring ranks it holds; no class's scores meet in one task.
+    """
+    total = rows.groupBy(*key).agg(F.sum("n").alias("__N"))
+    sized = rows.join(total, key).withColumn("__hi", F.col("__N") - F.col("n_above")).withColumn("__lo", F.col("__hi") - F.col("n"))
+    last = F.greatest(F.lit(1.0), (F.col("__N") - 1).cast("double"))
+    place = lambda q: (q / float(n - 1)) * (F.col("__N") - 1)
+    first = F.greatest(F.lit(0), F.floor((F.col("__lo") - 1) * (n - 1) / last).cast("int") - 1)
+    end = F.least(F.lit(n - 1), F.ceil(F.col("__hi") * (n - 1) / last).cast("int") + 1)
+    held = lambda rank: (rank >= F.col("__lo")) & (rank < F.col("__hi"))
+    near = sized.select(*key, "score", "__lo", "__hi", "__N", F.explode(F.sequence(F.least(first, end), end)).alias("q"))
+    below, above = F.floor(place(F.col("q"))), F.ceil(place(F.col("q")))
+    found = near.withColumn("a", F.when(held(below), F.col("score"))).withColumn("b", F.when(held(above), F.col("score"))).where("a IS NOT NULL OR b IS NOT NULL")
+    both = found.withColumn("f", place(F.col("q")) - below).groupBy(*key, "q").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.first("f").alias("f"))
+    return both.select(*key, "q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("value"))
+
+
 def tune_thresholds(df: DataFrame, key: list[str], score: str = "score", target: str = "target", default: float = 0.5, min_positives: int = 8, most: int = 256) -> DataFrame:
     """key, threshold, f1: the median of the thresholds with the best F1, taken midway between distinct rounded scores.
 
     Above ``most`` distinct scores the candidates lie between ``most`` quantiles. Keys with fewer than ``min_positives``
-    positives, or with a best F1 of 0, keep the default. Each key's candidates are at most ``most`` + 1 rows.
+    positives, or with a best F1 of 0, keep the default. Each key's candidates are at most ``most`` + 1 rows; everything
+    else is a sum over buckets of scores.
     """
-    rounded = df.groupBy(*key).agg(F.count_distinct(F.round(score, 6)).alias("__d"), F.sum(target).alias("__pos"))
-    quantiles = df.groupBy(*key).agg(F.percentile(score, F.array(*[F.lit(i / (most - 1)) for i in range(most)])).alias("__q"))
-    few = df.join(rounded.where(F.col("__d") <= most).select(*key), key, "left_semi").select(*key, F.round(score, 6).alias("o")).distinct()
-    many = quantiles.join(rounded.where(F.col("__d") > most).select(*key), key, "left_semi").select(*key, F.explode(F.array_distinct("__q")).alias("o"))
+    scores = by_score(df, key, score, target)
+    totals = scores.groupBy(*key).agg(F.sum("pos").alias("__pos"))
+    distinct = scores.select(*key, F.round("score", 6).alias("o")).distinct()
+    counted = distinct.groupBy(*key).agg(F.count("*").alias("__d"))
+    few = distinct.join(counted.where(F.col("__d") <= most).select(*key), key, "left_semi")
+    many = scores.join(counted.where(F.col("__d") > most).select(*key), key, "left_semi")
+    many = quantiles(cumulative(many, key), key, most).select(*key, F.col("value").alias("o")).distinct()
     line = Window.partitionBy(*key).orderBy("o")
     edges = few.unionByName(many).withColumn("__next", F.lead("o").over(line)).withColumn("__first", F.row_number().over(line) == 1)
     middle = (F.col("o") + F.coalesce("__next", F.col("o") + 1e-3)) / 2.0
     lowest = (F.col("o") - 1e-3 + F.col("o")) / 2.0
-    candidates = edges.select(*key, F.explode(F.when(F.col("__first"), F.array(lowest, middle)).otherwise(F.array(middle))).alias("t"))
-    rows = by_score(df, key, score, target).select(*key, F.col("score").alias("t"), "n", "pos", F.lit(0).alias("__c"))
-    both = rows.unionByName(candidates.select(*key, "t", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("pos"), F.lit(1).alias("__c")))
-    from_top = Window.partitionBy(*key).orderBy(F.col("t").desc(), "__c").rowsBetween(Window.unboundedPreceding, 0)
-    tried = both.withColumn("__n", F.sum("n").over(from_top)).withColumn("__tp", F.sum("pos").over(from_top)).where("__c = 1")
-    scored = tried.join(rounded, key).withColumn("f1", divide(2.0 * F.col("__tp"), F.col("__n") + F.col("__pos")))
+    candidates = edges.select(*key, F.explode(F.when(F.col("__first"), F.array(lowest, middle)).otherwise(F.array(middle))).alias("score"))
+    zero = F.lit(0).cast("long")
+    both = scores.withColumn("__c", F.lit(0)).unionByName(candidates.select(*key, "score", zero.alias("n"), zero.alias("pos"), F.lit(1).alias("__c")))
+    both = both.groupBy(*key, "score").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.max("__c").alias("__c"))
+    tried = cumulative(both, key).where("__c = 1").join(totals, key)
+    scored = tried.withColumn("f1", divide(2.0 * (F.col("pos_above") + F.col("pos")), F.col("n_above") + F.col("n") + F.col("__pos")))
     best = scored.withColumn("__best", F.max("f1").over(Window.partitionBy(*key)))
     fitted = best.where((F.col("__pos") >= min_positives) & (F.col("__best") > 0) & (F.col("f1") >= F.col("__best") - 1e-9))
-    fitted = fitted.groupBy(*key).agg(F.percentile("t", F.lit(0.5)).alias("threshold"), F.max("f1").alias("f1"))
-    return rounded.select(*key).join(fitted, key, "left").select(*key, F.coalesce("threshold", F.lit(default)).alias("threshold"), F.coalesce("f1", F.lit(0.0)).alias("f1"))
+    fitted = fitted.groupBy(*key).agg(F.percentile("score", F.lit(0.5)).alias("threshold"), F.max("f1").alias("f1"))
+    return totals.select(*key).join(fitted, key, "left").select(*key, F.coalesce("threshold", F.lit(default)).alias("threshold"), F.coalesce("f1", F.lit(0.0)).alias("f1"))
 
 
 def evaluate_multilabel(df: DataFrame, key: str = "class", row: str = "id", logit: str = "logit", target: str = "target", threshold: float | None = None) -> tuple[DataFrame, DataFrame]:

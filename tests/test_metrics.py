@@ -80,3 +80,12 @@ def test_softmax_is_stable(spark):
     out = m.softmax(spark.createDataFrame([(1, 1000.0), (1, 1000.0)], "id int, logit double"), ["id"], "logit").collect()
     assert [r.score for r in out] == [0.5, 0.5]
     assert spark.range(1).select(m.sigmoid(F.lit(0.0)).alias("s")).first().s == 0.5
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 37, 600])
+def test_quantiles(spark, n):
+    r = np.random.default_rng(n)
+    s = np.round(r.random(n), 3)
+    out = m.quantiles(m.cumulative(m.by_score(rows(spark, s, [0] * n), ["class"], "score", "target"), ["class"]), ["class"], 256).orderBy("q").collect()
+    assert [x.q for x in out] == list(range(256))
+    assert np.allclose([x.value for x in out], np.quantile(s, np.linspace(0, 1, 256)), atol=1e-12)
