@@ -92,8 +92,3 @@ def prepare(annotations: DataFrame, out: str, fractions: dict[str, float] | None
         write_annotations(placed.where(F.col("split") == name), f"{out}/{name}.jsonl")
     write_labels(placed, f"{out}/behaviours")
     return placed
-
-
-def cache_path(root: str, frames: int, size: int, mode: str = "span", version: int = 1) -> str:
-    """The folder of a table of decoded clips: another specification is another folder, so a stale one is never read."""
-    return f"{root}/v{version}-{frames}x{size}-{mode}"
