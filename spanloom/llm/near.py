@@ -33,7 +33,7 @@ from spanloom.operators.graph import components
 
 NGRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 #: A block's bounds: nodes, and n-grams in all.
-BLOCK_NODES, BLOCK_GRAMS = 512, 400_000
+BLOCK_NODES, BLOCK_GRAMS = 256, 200_000
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
