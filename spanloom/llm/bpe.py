@@ -3,7 +3,9 @@
 A vocabulary file in the tokenizers library's JSON form gives the merges. A word is held as its part boundaries and, next
 to them, the rank of the merge of each part with the one after it. The least rank is found by a scan, its boundary is
 deleted, and only the two neighbouring ranks are looked up again. Words recur, so each worker keeps the encodings of up
-to CACHE_WORDS words; the cache is emptied when full. Text is encoded whole.
+to CACHE_WORDS words, in two halves: when the newer one is full, the older goes. Text is encoded whole.
+
+White space only parts words, whatever it is, so the files' step that makes it one space is left out.
 
 Encoding matches the library for files whose normalizer is NFC, white space to one space, lower case, whose words come
 from a pattern, and whose merges run over byte symbols with a word-end suffix; any other file is refused.
@@ -16,6 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import struct
 import unicodedata
 
 import numpy as np
@@ -26,9 +30,11 @@ from pyspark.sql import DataFrame
 from spanloom.llm.arrowio import bounded
 
 CACHE_WORDS = 200_000
-NO_RANK = 1 << 40
+NO_RANK = 1 << 60
 #: Fixed value: the word pattern of the files read here.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The white space among the first code points.
+SPACE = r"\t-\r \x85\xa0"
 #: Lower case of letters that the library knows and Python's tables do not yet; first, last, shift.
 NEW_LOWER_RANGES = [
     (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
@@ -51,6 +57,12 @@ NOT_YET = [
 ]
 
 
+def early_words() -> re.Pattern:
+    """WORDS for texts without code points from U+0558 on, with their letters and numbers listed, which is faster."""
+    listed = {k: "".join(rf"\u{c:04x}" for c in range(0x558) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{listed['L']}]+|[{listed['N']}]|[^{SPACE}{listed['L']}{listed['N']}]+")
+
+
 def newer_words() -> regex.Pattern:
     """WORDS with the library's letters and numbers, for texts with code points from U+0558 on."""
     new = "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in NOT_YET)
@@ -76,58 +88,66 @@ class WordBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.strings = {i: s for s, i in self.vocab.items()}
         self.end = model["end_of_word_suffix"]
-        self.ranks = {}
+        self.bits = max(self.vocab.values()).bit_length()
+        self.ranks: dict[int, int] = {}  # the pair's ids in one number, to its rank and the merged id in one
         for rank, (a, b) in enumerate(model["merges"]):
-            self.ranks[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+            self.ranks[self.vocab[a] << self.bits | self.vocab[b]] = rank << self.bits | self.vocab[a + b]
         pattern = pre[0]["pattern"]["Regex"]
         if pattern != WORDS:
             raise ValueError("this vocabulary file has another word pattern")
-        self.words = regex.compile(pattern)
-        self.spaces = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-        self.beyond, self.newer = regex.compile("[\u0558-\U0010ffff]"), None
+        self.words = early_words()
+        self.beyond, self.newer = re.compile("[\u0558-\U0010ffff]"), None
         self.special = {x["content"]: x["id"] for x in d["added_tokens"]}
         self.strings |= {i: s for s, i in self.special.items()}
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         symbols = byte_symbols()
         self.inner = [self.vocab[s] for s in symbols]
         self.last = [self.vocab[s + self.end] for s in symbols]
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.newer_words: dict[str, tuple[bytes, str]] = {}
+        self.older_words: dict[str, tuple[bytes, str]] = {}
 
     def ids(self, word: str) -> list[int]:
         """The rank-array loop over one non-empty word."""
         data = word.encode()
         parts = [self.inner[b] for b in data]
         parts[-1] = self.last[data[-1]]
-        none = (NO_RANK, -1)
-        look = self.ranks.get
-        merge = [look((a, b), none) for a, b in zip(parts, parts[1:], strict=False)]
+        look, bits = self.ranks.get, self.bits
+        merge = [look(a << bits | b, NO_RANK) for a, b in zip(parts, parts[1:], strict=False)]
+        low = (1 << bits) - 1
         while merge:
             least = min(merge)
-            if least[0] == NO_RANK:
+            if least == NO_RANK:
                 break
             i = merge.index(least)
-            parts[i] = least[1]
+            parts[i] = new = least & low
             del parts[i + 1], merge[i]
             if i:
-                merge[i - 1] = look((parts[i - 1], parts[i]), none)
+                merge[i - 1] = look(parts[i - 1] << bits | new, NO_RANK)
             if i < len(merge):
-                merge[i] = look((parts[i], parts[i + 1]), none)
+                merge[i] = look(new << bits | parts[i + 1], NO_RANK)
         return parts
 
-    def encoded(self, word: str) -> tuple[bytes, str]:
-        """(ids as little-endian uint32 bytes, token strings joined by spaces) of a word."""
-        out = self.cache.get(word)
+    def look_up(self, word: str) -> tuple[bytes, str]:
+        """(ids as little-endian uint32 bytes, token strings joined by spaces) of a word that newer_words lacks."""
+        out = self.older_words.get(word)
         if out is None:
             ids = self.ids(word)
-            out = np.array(ids, "<u4").tobytes(), " ".join([self.strings[i] for i in ids])
-            if len(word) <= 64:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                self.cache[word] = out
+            out = struct.pack(f"<{len(ids)}I", *ids), " ".join([self.strings[i] for i in ids])
+        if len(word) <= 64:
+            if len(self.newer_words) >= CACHE_WORDS:
+                self.newer_words.clear()
+            self.newer_words[word] = out
         return out
 
+    def encoded(self, words: list[str]) -> list[tuple[bytes, str]]:
+        """Of every word; between calls the halves of the cache change places when the newer one is full."""
+        if len(self.newer_words) >= CACHE_WORDS // 2:
+            self.newer_words, self.older_words = {}, self.newer_words
+        known, look_up = self.newer_words.get, self.look_up
+        return [known(w) or look_up(w) for w in words]
+
     def split(self, text: str) -> list[str]:
-        text = self.spaces.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         if not self.beyond.search(text):
             return self.words.findall(text)
         if self.newer is None:
@@ -142,7 +162,7 @@ class WordBpe:
             if piece in self.special:
                 out.append((np.array([self.special[piece]], "<u4").tobytes(), piece))
             elif piece:
-                out += map(self.encoded, self.split(piece))
+                out += self.encoded(self.split(piece))
         return b"".join([x[0] for x in out]), " ".join([x[1] for x in out])
 
     def decode(self, ids) -> str:
