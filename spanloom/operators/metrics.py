@@ -175,9 +175,9 @@ def evaluate_multilabel(df: DataFrame, key: str = "class", row: str = "id", logi
     else:
         limits = scored.select(key).distinct().withColumn("threshold", F.lit(float(threshold)))
     predicted = scored.join(F.broadcast(limits.select(key, "threshold")), key).withColumn("predicted", (F.col("score") >= F.col("threshold")).cast("int"))
-    ap = average_precision(predicted, [key], id_=row, target=target)
-    auc = roc_auc(predicted, [key], target=target)
-    support = predicted.groupBy(key).agg(F.sum(target).alias("support"))
+    ap = average_precision(scored, [key], id_=row, target=target)
+    auc = roc_auc(scored, [key], target=target)
+    support = scored.groupBy(key).agg(F.sum(target).alias("support"))
     per = prf1(predicted, [key], target=target).join(ap, key).join(auc, key).join(support, key).join(limits.select(key, F.col("threshold").alias("thresh")), key)
     per = per.select(key, "ap", "auc", "precision", "recall", "f1", "support", "thresh")
     macro = per.agg(F.avg("ap").alias("map"), F.coalesce(F.avg(F.when(F.col("ap").isNotNull(), F.col("f1"))), F.lit(0.0)).alias("macro_f1"))
