@@ -34,6 +34,6 @@ def as_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def bounded(df: DataFrame) -> DataFrame:
     """The frame, with the session's Arrow batches bounded, so that long texts do not make large ones."""
     conf = df.sparkSession.conf
-    if conf.get(BATCH_LIMIT) == BATCH_DEFAULT:
+    if conf.get(BATCH_LIMIT, BATCH_DEFAULT) == BATCH_DEFAULT:
         conf.set(BATCH_LIMIT, str(BATCH_BYTES))
     return df

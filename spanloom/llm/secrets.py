@@ -13,7 +13,7 @@ Edge cases: null text is empty; equal documents each get their row; a null owner
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import saved
@@ -37,40 +37,21 @@ SPAN = "struct<start:int,ord:int,kind:string,end:int,hash:bigint>"
 MASK = "[SECRET]"
 
 
-def kind_spans(text: Column, ord_: int) -> Column:
-    """array<SPAN> of one kind's matches that are long enough, in order."""
-    kind, pattern, group, least, needed = KINDS[ord_]
+PART = "struct<ord:int,i:int,gap:int,size:int,enough:boolean,hash:bigint>"
+
+
+def kind_parts(text: Column, ord_: int) -> Column:
+    """array<PART> of one kind's matches in order: characters since the last match, its size, whether its value is long enough."""
+    _, pattern, group, least, needed = KINDS[ord_]
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.transform(F.split(text, pattern, -1), F.length)
-    parts = F.arrays_zip(pieces.alias("gap"), whole.alias("whole"), value.alias("value"))
-    none = F.array().cast(f"array<{SPAN}>")
-    placed = F.aggregate(
+    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
+    parts = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
+    found = F.transform(
         parts,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda a, p: F.when(p["whole"].isNull(), a).otherwise(
-            F.struct(
-                (a["at"] + p["gap"] + F.length(p["whole"])).alias("at"),
-                F.when(
-                    F.length(p["value"]) >= least,
-                    F.concat(
-                        a["out"],
-                        F.array(
-                            F.struct(
-                                (a["at"] + p["gap"]).alias("start"),
-                                F.lit(ord_).alias("ord"),
-                                F.lit(kind).alias("kind"),
-                                (a["at"] + p["gap"] + F.length(p["whole"])).alias("end"),
-                                F.xxhash64(p["value"]).alias("hash"),
-                            )
-                        ),
-                    ),
-                )
-                .otherwise(a["out"])
-                .alias("out"),
-            )
+        lambda p, i: F.struct(
+            F.lit(ord_).alias("ord"), i.alias("i"), p["gap"].alias("gap"), F.length(p["whole"]).alias("size"), (F.length(p["value"]) >= least).alias("enough"), F.xxhash64(p["value"]).alias("hash")
         ),
-        lambda a: a["out"],
     )
     there = F.rlike(text, F.lit(pattern))
     for part in needed[:1]:
@@ -78,7 +59,21 @@ def kind_spans(text: Column, ord_: int) -> Column:
         for other in needed[1:]:
             some = some | F.contains(text, F.lit(other))
         there = some & there
-    return F.when(there, placed).otherwise(none)
+    return F.when(there, found).otherwise(F.array().cast(f"array<{PART}>"))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """rows(uid, owner, repo, parts) -> uid, owner, repo, hash, s: a SPAN per match that is long enough.
+
+    Offsets are running sums over a document's matches of a kind, so their time grows as their number.
+    """
+    line = Window.partitionBy("uid", "p.ord").orderBy("p.i").rowsBetween(Window.unboundedPreceding, 0)
+    each = rows.where(F.size("parts") > 0).select("uid", "owner", "repo", F.explode("parts").alias("p"))
+    end = F.sum(F.col("p.gap") + F.col("p.size")).over(line).cast("int")
+    ended = each.withColumn("end", end).where("p.enough")
+    kinds = F.array(*[F.lit(k[0]) for k in KINDS])
+    span = F.struct((F.col("end") - F.col("p.size")).alias("start"), F.col("p.ord").alias("ord"), F.element_at(kinds, F.col("p.ord") + 1).alias("kind"), F.col("end").alias("end"), F.col("p.hash").alias("hash"))
+    return ended.select("uid", "owner", "repo", F.col("p.hash").alias("hash"), span.alias("s"))
 
 
 def joined(spans: Column) -> Column:
@@ -92,7 +87,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", kee
     Repository defaults to the document itself, for corpora whose rows name none.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    cands = F.concat(*[kind_spans(text, i) for i in range(len(KINDS))])
+    parts = F.concat(*[kind_parts(text, i) for i in range(len(KINDS))])
     rows = saved(
         docs.select(
             F.monotonically_increasing_id().alias("uid"),
@@ -100,11 +95,11 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", kee
             *([F.struct(*[f"`{c}`" for c in keep]).alias("row")] if keep else []),
             F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
             F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repo"),
-            cands.alias("cands"),
+            parts.alias("parts"),
         ),
         "secrets",
     )
-    flat = rows.where(F.size("cands") > 0).select("uid", "owner", "repo", F.explode("cands").alias("s")).withColumn("hash", F.col("s.hash"))
+    flat = placed(rows)
     owners = flat.select("hash", "owner", "repo").distinct().groupBy("hash", "owner").agg(F.count("*").alias("repos")).groupBy("hash").agg(
         F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos")
     )
@@ -114,6 +109,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", kee
         .select("uid", "s", live.alias("live"), "n_owners", "n_repos")
         .groupBy("uid")
         .agg(
+            F.array_sort(F.collect_list(F.when(F.col("s.ord") < len(BASE), F.col("s")))).alias("base"),
             F.array_sort(F.collect_list(F.when(F.col("live") | (F.col("s.ord") < len(BASE)), F.col("s")))).alias("spans"),
             F.count_if("live").alias("n_live"),
             F.count_if(~F.col("live")).alias("n_copied"),
@@ -125,7 +121,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", kee
     return rows.join(judged, "uid", "left").select(
         "doc_id",
         *(["row"] if keep else []),
-        F.array_sort(F.filter("cands", lambda s: s["ord"] < len(BASE))).alias("base"),
+        F.coalesce("base", none).alias("base"),
         F.coalesce("spans", none).alias("spans"),
         *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_copied", "most_owners", "most_repositories")],
     )

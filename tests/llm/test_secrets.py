@@ -63,3 +63,9 @@ def test_redaction(spark, text):
 
 def test_no_rows(spark):
     assert s.scan(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    text = "é token=abcdefgh " * 20000
+    row = s.scan(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).select(s.F.size("base").alias("n"), s.F.element_at("base", -1).alias("last")).first()
+    assert row.n == 20000 and (row.last.start, row.last.end) == (17 * 19999 + 2, 17 * 19999 + 16)
