@@ -44,8 +44,11 @@ MARKS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu",
     "breadcrumb", "breadcrumbs", "sidebar", "footer", "contentinfo", "complementary", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "newsletter", "subscribe",
     "subscription", "signup", "login", "search", "share", "sharing", "social", "related", "recommended", "comment", "comments", "disqus", "replies", "reply", "popup",
-    "modal", "overlay", "widget", "pagination", "pager", "toolbar", "copyright", "masthead", "topbar",
+    "modal", "overlay", "widget", "pagination", "pager", "toolbar", "copyright", "masthead", "topbar", "responses", "discussion", "respond", "skyscraper", "leaderboard",
 }
+#: Beginnings and ends of such words.
+STARTS = ("advert", "cookie", "sidebar", "newsletter", "breadcrumb", "navbar", "sponsor", "promo", "popup", "commentlist", "commentform")
+ENDS = ("nav", "navbar", "sidebar", "menu", "footer", "banner", "comments", "popup", "newsletter", "advert")
 COMMENT = {"comment", "comments", "reply", "replies"}
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*)>""")
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -62,7 +65,7 @@ def boilerplate(name: str, attrs: str, inside: bool) -> bool:
     words = {w for _, a, b, c in ATTR.findall(attrs) for w in re.split(r"[^a-z0-9]+", (a or b or c).lower())}
     if name == "article":
         return bool(words & COMMENT)
-    return bool(words & MARKS) or ("header" in words and not inside)
+    return bool(words & MARKS) or ("header" in words and not inside) or any(w.startswith(STARTS) or w.endswith(ENDS) for w in words)
 
 
 def blocks(html: str) -> list[tuple[str, int, str]]:

@@ -24,6 +24,13 @@ def test_main_and_body():
     assert text("") == "" and text("plain & simple") == "plain & simple" and text("<") == "<" and text("<article></article>x") == ""
 
 
+def test_marks_of_boilerplate():
+    for mark in ("ad", "ad-slot", "topnav", "mainMenu", "cookieBar", "user_comments", "newsletter-box", "related posts", "site-header"):
+        assert text(f'<div class="{mark}">x</div><div id="{mark}">y</div><p>text</p>') == "text", mark
+    for mark in ("add", "shadow", "download", "commentary", "header-title-text"[7:], "navy", "broadcast"):
+        assert text(f'<div class="{mark}">x</div><p>text</p>') == "x\ntext", mark
+
+
 def test_deep_and_long():
     assert text("<div>" * 5000 + "a" + "</div>" * 5000) == "a"
     assert text("<article>" + "<p>word word</p>" * 20000 + "</article>").count("\n") == 19999
