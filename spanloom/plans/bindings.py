@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BEHAVIOUR_OF = {"view": "sniffing", "signup": "playing", "click": "sitting", "error": "barking", "purchase": "running"}
@@ -13,10 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def micros(ts: str) -> Column:
+    """Microseconds of a zone-less time since 1970, whatever the session's zone (the tables lie within one winter)."""
+    return F.expr(f"{EPOCH} + timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', {ts})")
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as spans: video, id, start, end (seconds), type, behaviour, score, value."""
     names = F.create_map(*[F.lit(x) for kv in BEHAVIOUR_OF.items() for x in kv])
-    start = (F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH).cast("double") / 1e6
+    start = (micros("ts") - EPOCH).cast("double") / 1e6
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("video"),
         F.col("event_id").alias("id"),

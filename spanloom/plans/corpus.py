@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.operators import audit, text
-from spanloom.plans.bindings import SPANS, spans, table
+from spanloom.plans.bindings import SPANS, micros, spans, table
 from spanloom.plans.registry import register
 from spanloom.schema import ACTIONS, AROUSAL_FLAGS, POSTURES, VOICE_KINDS, label_dim
 from spanloom.sources import annotations as src
@@ -65,7 +65,7 @@ def html_tag_runs(spark, sf_dir):
 
 @register("merged_keyframes", """SELECT user_id AS video, CAST(epoch_us(ts) // 3600000000 AS BIGINT) AS hour, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS labels FROM events GROUP BY ALL""")
 def merged_keyframes(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("video"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000).alias("hour"), "event_type")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("video"), F.floor(micros("ts") / 3600000000).alias("hour"), "event_type")
     return rows.groupBy("video", "hour").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("labels"))
 
 

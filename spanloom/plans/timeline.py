@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.operators import rules, spans as sp
-from spanloom.plans.bindings import SPANS, TOTALS, WINDOWS, spans, table, totals, windows
+from spanloom.plans.bindings import SPANS, TOTALS, WINDOWS, micros, spans, table, totals, windows
 from spanloom.plans.registry import register
 from spanloom.schema import AROUSAL_FLAGS
 
@@ -198,7 +198,7 @@ def overlapping_pairs(spark, sf_dir):
     SELECT video, min(frame) AS first, max(frame) AS last FROM g GROUP BY video, g""",
 )
 def frame_runs(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("video"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000).alias("frame"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("video"), F.floor(micros("ts") / 3600000000).alias("frame"))
     return sp.frame_runs(rows, ["video"], "frame")
 
 
