@@ -6,13 +6,13 @@ optional; runs of a token, or of a group of up to GROUP tokens, become repeated;
 that is the same on all pages stays constant. Constants are the host's template.
 
 The text of a page is its article (or, without one, its main element, or else its body) without elements that are
-boilerplate by name, role or class, and, outside of article and main, without the host's constants.
+boilerplate by name, role or class and without the host's constants, wherever they are.
 
 Wrappers are folded per task, so a host with a third of all pages gives one small row per task; those are merged in two
 rounds of groups. The constants of all hosts travel with the function only if they are few; else they are joined by host.
 
-Edge cases: null html is empty; a null url is the host ""; pages of a host with fewer than LEAST_PAGES different streams
-of text lose no constants; unclosed elements end with their parent, unclosed comments and scripts with the page.
+Edge cases: null html is empty; a null url is the host ""; pages of a host with fewer than LEAST_PAGES different
+texts lose no constants, as copies of one text do not tell it from a template; unclosed elements end with their parent, unclosed comments and scripts with the page.
 """
 
 from __future__ import annotations
@@ -232,9 +232,10 @@ def as_regex(items: list[Item]) -> str:
     return " ".join(map(part, items))
 
 
-def constants(items: list[Item], pages: int) -> list[int]:
-    """Hashes of (path, text) of the constants outside of dropped elements that all pages of the host have."""
-    if pages < LEAST_PAGES:
+def constants(items: list[Item], texts: int) -> list[int]:
+    """Hashes of (path, text) of the constants outside of dropped elements that all pages of the host have, given how many
+    different texts, up to LEAST_PAGES, the pages have."""
+    if texts < LEAST_PAGES:
         return []
     return [pair_hash(x[0], x[3]) for x in items if x[3] and not x[1] and not x[2] and not x[0].endswith("!") and not x[4]]
 
@@ -245,49 +246,56 @@ def pair_hash(path: str, text: int) -> int:
 
 def page_text(page: list[tuple[str, int, str]], template: frozenset) -> str:
     place = max([0, *(p for _, p, _ in page)])
-    if place:
-        return "\n".join([t for _, p, t in page if t and p >= place])
-    return "\n".join([t for path, p, t in page if p == 0 and (not template or pair_hash(path, text_hash(t)) not in template)])
+    return "\n".join([t for path, p, t in page if t and p >= place and (not template or pair_hash(path, text_hash(t)) not in template)])
+
+
+def least(hashes) -> list[int]:
+    """The LEAST_PAGES least different ones: enough to tell whether there are so many, in any order of merging."""
+    return sorted(set(hashes))[:LEAST_PAGES]
 
 
 def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
 
 
-WRAPPER = "host string, wrapper string, pages long"
+#: ``texts``: hashes of different texts, at most LEAST_PAGES.
+WRAPPER = "host string, wrapper string, pages long, texts array<long>"
 
 
 def merge_wrappers(rows: DataFrame, key: list[str]) -> DataFrame:
     """One row per key: the alignment of its wrappers, in order of their text."""
 
     def run(table: pa.Table) -> pa.Table:
-        items, pages = None, 0
-        for text, n in sorted(zip(table.column("wrapper").to_pylist(), table.column("pages").to_pylist(), strict=True)):
+        items, pages, texts = None, 0, []
+        for text, n, seen in sorted(zip(*(table.column(c).to_pylist() for c in ("wrapper", "pages", "texts")), strict=True)):
             two = json.loads(text)
             items = two if items is None else align(items, two)
-            pages += n
-        return pa.table({"host": [table.column("host")[0].as_py()], "wrapper": [json.dumps(items)], "pages": pa.array([pages], pa.int64())})
+            pages, texts = pages + n, least([*texts, *seen])
+        return pa.table(
+            {"host": [table.column("host")[0].as_py()], "wrapper": [json.dumps(items)], "pages": pa.array([pages], pa.int64()), "texts": pa.array([texts], pa.list_(pa.int64()))}
+        )
 
     return rows.groupBy(*key).applyInArrow(run, WRAPPER)
 
 
 def infer(pages: DataFrame, hosts_held: int = 2000) -> DataFrame:
-    """pages(url, html) -> host, wrapper (items as JSON), pages: one row per host."""
+    """pages(url, html) -> host, wrapper (items as JSON), pages, texts: one row per host."""
 
     def run(batches):
-        held: dict[str, tuple[list[Item], int]] = {}
+        held: dict[str, tuple[list[Item], int, list[int]]] = {}
 
         def rows():
             return pa.RecordBatch.from_pydict(
-                {"host": list(held), "wrapper": [json.dumps(w) for w, _ in held.values()], "pages": pa.array([n for _, n in held.values()], pa.int64())},
-                pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("pages", pa.int64())]),
+                {"host": list(held), "wrapper": [json.dumps(x[0]) for x in held.values()], "pages": [x[1] for x in held.values()], "texts": [x[2] for x in held.values()]},
+                pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("pages", pa.int64()), ("texts", pa.list_(pa.int64()))]),
             )
 
         for batch in batches:
             for host, html in zip(batch.column(0), batch.column(1), strict=True):
-                items = cut_items(stream(blocks(html.as_py() or "")))
+                page = blocks(html.as_py() or "")
+                items, text = cut_items(stream(page)), text_hash(page_text(page, frozenset()))
                 known = held.get(host.as_py())
-                held[host.as_py()] = (items, 1) if known is None else (align(known[0], items), known[1] + 1)
+                held[host.as_py()] = (items, 1, [text]) if known is None else (align(known[0], items), known[1] + 1, least([*known[2], text]))
                 if len(held) >= hosts_held:
                     yield rows()
                     held.clear()
@@ -303,10 +311,10 @@ def templates(wrappers: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [constants(json.loads(w.as_py()), n.as_py()) for w, n in zip(batch.column(1), batch.column(2), strict=True)]
+            found = [constants(json.loads(w.as_py()), len(x)) for w, x in zip(batch.column(1), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["host", "template"])
 
-    return wrappers.select("host", "wrapper", "pages").mapInArrow(run, "host string, template array<long>").where("size(template) > 0")
+    return wrappers.select("host", "wrapper", "texts").mapInArrow(run, "host string, template array<long>").where("size(template) > 0")
 
 
 def extract(pages: DataFrame, ship_bytes: int = SHIP_BYTES) -> DataFrame:

@@ -70,3 +70,14 @@ def test_constants_of_the_host_go(spark):
 
 def test_no_pages(spark):
     assert w.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_constants_inside_articles_go(spark):
+    shell = "<nav>x</nav><article><h1>Title {0}</h1><p>own {0}</p><p>more {0}</p><div>Share this story</div><section><h4>About us</h4></section></article>"
+    main = "<main><h2>Shop</h2><p>item {0}</p></main>"
+    rows = [(i, "http://a.example/", shell.format(i)) for i in range(9)] + [(10 + i, "http://m.example/", main.format(i)) for i in range(4)]
+    rows += [(20 + i, "http://copies.example/", shell.format(0).replace("x", f"menu {i}")) for i in range(5)]
+    out = {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(out[i] == f"Title {i}\nown {i}\nmore {i}" for i in range(9))
+    assert all(out[10 + i] == f"item {i}" for i in range(4))
+    assert all(out[20 + i] == "Title 0\nown 0\nmore 0\nShare this story\nAbout us" for i in range(5))
