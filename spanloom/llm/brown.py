@@ -2,13 +2,15 @@
 
 Every training token counts: words (runs of characters other than ASCII white space, A-Z lower-cased) and one end per
 text. The CLUSTERED most frequent words are put into CLASSES classes by exchange: each word in turn moves to the class
-that raises the likelihood of the class bigrams most. All other words form one more class, ends another.
+that raises the likelihood of the class bigrams most. Every other word with LEAST occurrences or more then moves from the
+class of other words to the class that raises it most, by counts of the classes beside it that are gathered and judged
+distributedly, PLACINGS times over. Only rarer words stay in the class of other words; ends form a class of their own.
 P(w | v) = P(class of w | class of v) P(w | class of w); transitions are add-one smoothed, emission of the class of other
 words is add-one smoothed with one more word for all unseen ones, so the probabilities of all words sum to 1.
 
-Words are counted by 64-bit hashes. The up to HEAD most frequent words' counts travel with the scoring function, which
-is a bound on their size; the counts of all other words are joined, per document and word, so no word is without its exact
-count. Only words rarer than the head's can join, and only words unseen in training can repeat often on that side.
+Words are counted by 64-bit hashes. The counts of the up to HEAD most frequent words and of all words with a class travel
+with the scoring function, so its size grows with the number of words that occur LEAST times; the counts of all other words
+are joined, per document and word, so no word is without its exact count. Only words rarer than the head's can join, and only words unseen in training can repeat often on that side.
 
 Edge cases: null text is empty and has one token, its end; a null id is held out; without training rows every probability
 is uniform over the classes; repeated rows each get their row and count each.
@@ -26,6 +28,8 @@ from spanloom.llm.common import saved
 from spanloom.llm.textnum import FOLDED_VALUES, NOT_SPACE, Powers, span_hashes, word_bounds
 
 HEAD, CLUSTERED, CLASSES, SWEEPS = 1 << 18, 1024, 64, 5
+#: Occurrences from which a word has a class, times that words beyond the CLUSTERED are placed, words judged at once.
+LEAST, PLACINGS, JUDGED = 5, 2, 2048
 FOLDS, HELD = 7, 2
 #: Entries that a worker holds before it merges its counts, and after merging at most before it sends them on.
 HELD_COUNTS = 1 << 20
@@ -167,8 +171,134 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return cls
 
 
+def class_bigrams(docs: DataFrame, words: np.ndarray, cls: np.ndarray, classes: int) -> np.ndarray:
+    """Bigrams of the classes of the sorted hashes, of all other words (``classes``), and of ends (``classes + 1``)."""
+    k = classes + 2
+    shared = docs.sparkSession.sparkContext.broadcast((words, cls))
+
+    def run(batches):
+        (known, of), powers, total = shared.value, Powers(), np.zeros(k * k, np.int64)
+        for batch in batches:
+            for a, b in slices(batch.column(0)):
+                h, counts = hashes_of(batch.column(0).slice(a, b - a), powers)
+                at, there = lookup(known, h)
+                line = with_ends(np.where(there, of[at], classes) if len(known) else np.full(len(h), classes), counts, k - 1).astype(np.int64)
+                total += np.bincount(line[:-1] * k + line[1:], minlength=k * k)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
+
+    rows = bounded(docs.select("text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(k * k)
+    out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+    return out.reshape(k, k)
+
+
+def beside(ids: np.ndarray, cls: np.ndarray, wanted: np.ndarray, k: int) -> np.ndarray:
+    """A line of word ids (-1: none) and classes -> id * (2 k + 1) + what is beside it, for every wanted position: the class
+    before, k + the class after, or 2 k, once, for the word itself."""
+    p = np.flatnonzero(wanted)
+    w, before, after = ids[p], ids[p - 1] == ids[p], ids[p + 1] == ids[p]
+    left, right = w * (2 * k + 1) + np.where(before, 2 * k, cls[p - 1]), w * (2 * k + 1) + k + cls[p + 1]
+    return np.concatenate([left, right[~after]])
+
+
+def gains(g: np.ndarray, old: np.ndarray, word: np.ndarray, side: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Words x classes: how much each class raises the likelihood of the class bigrams ``g`` if the word is put there, from
+    without it. ``old``: class of each word; (word, side, n): counts of ``beside``, each word and side once."""
+    k, m = len(g), len(old)
+    c, rows = k - 2, np.arange(m)
+    dense = np.zeros((m, 2 * k + 1))
+    dense[word, side] = n
+    before, after, own = dense[:, :k], dense[:, k : 2 * k], dense[:, 2 * k]
+    here = old[:, None] == np.arange(c)
+    out = np.zeros((m, c))
+    for first, one, other, table in ((0, before, after, g), (k, after, before, g.T)):
+        e = np.flatnonzero((side >= first) & (side < first + k))
+        w, a = word[e], side[e] - first
+        base = table[a, :c] - np.where((a == old[w])[:, None], other[w, :c], 0) - np.where(here[w], one[w, a][:, None], 0)
+        more = xlogx(base + n[e][:, None]) - xlogx(base)
+        more[np.arange(c) == a[:, None]] = 0
+        order = np.argsort(w, kind="stable")
+        if len(e):
+            starts = np.flatnonzero(np.diff(w[order], prepend=-1))
+            out[w[order][starts]] += np.add.reduceat(more[order], starts)
+        total = other.sum(1) + own
+        sums = table.sum(1)[:c] - np.where(here, total[:, None], 0)
+        out -= xlogx(sums + total[:, None]) - xlogx(sums)
+    both = before[:, :c] + after[:, :c] + own[:, None]
+    kept = np.diag(g)[:c] - np.where(here, both, 0)
+    return out + xlogx(kept + both) - xlogx(kept)
+
+
+def place(docs: DataFrame, words: np.ndarray, cls: np.ndarray, moving: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The classes of the sorted hashes after each moving word went where it raises the likelihood of the class bigrams ``g``
+    most, all others left in place; ties go to the least class."""
+    k = len(g)
+    wide = 2 * k + 1
+    shared = docs.sparkSession.sparkContext.broadcast((words, cls, moving, g))
+
+    def gather(batches):
+        (known, of, moves, _), powers, held, n = shared.value, Powers(), [], 0
+
+        def merged():
+            codes, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            codes, which = np.unique(codes, return_inverse=True)
+            return codes, np.bincount(which, weights=c).astype(np.int64)
+
+        def sent(codes, c):
+            return pa.RecordBatch.from_arrays([pa.array(codes // wide), pa.array(codes % wide), pa.array(c)], ["word", "side", "n"])
+
+        for batch in batches:
+            for a, b in slices(batch.column(0)):
+                h, counts = hashes_of(batch.column(0).slice(a, b - a), powers)
+                at, there = lookup(known, h)
+                ids = with_ends(np.where(there, at, -1), counts, -1)
+                line = with_ends(np.where(there, of[at], k - 2), counts, k - 1)
+                held.append(np.unique(beside(ids, line, (ids >= 0) & moves[ids], k), return_counts=True))
+                n += len(held[-1][0])
+                if n > HELD_COUNTS:
+                    held = [merged()]
+                    n = len(held[0][0])
+                    if n > HELD_COUNTS // 2:
+                        yield sent(*held[0])
+                        held, n = [], 0
+        if held:
+            yield sent(*merged())
+
+    def judge(batches):
+        _, of, _, table = shared.value
+        left = [np.zeros(0, np.int64)] * 3
+
+        def judged(word, side, n):
+            """Rows are in order of word and side, the words whole."""
+            first = np.flatnonzero(np.diff(word * wide + side, prepend=-1))
+            word, side, n = word[first], side[first], np.add.reduceat(n, first).astype(np.float64)
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            edges = np.append(starts, len(word))
+            for i in range(0, len(starts), JUDGED):
+                a, b = edges[i], edges[min(i + JUDGED, len(starts))]
+                these, at = np.unique(word[a:b], return_inverse=True)
+                best = gains(table, of[these], at, side[a:b], n[a:b]).argmax(1)
+                yield pa.RecordBatch.from_arrays([pa.array(these), pa.array(best.astype(np.int64))], ["word", "class"])
+
+        for batch in batches:
+            rows = [np.concatenate([x, c.to_numpy()]) for x, c in zip(left, batch.columns, strict=True)]
+            cut = np.searchsorted(rows[0], rows[0][-1]) if len(rows[0]) else 0
+            if cut:
+                yield from judged(*(x[:cut] for x in rows))
+            left = [x[cut:] for x in rows]
+        if len(left[0]):
+            yield from judged(*left)
+
+    beside_rows = bounded(docs.select("text")).mapInArrow(gather, "word long, side long, n long")
+    found = beside_rows.repartition("word").sortWithinPartitions("word", "side").mapInArrow(judge, "word long, class long").toArrow()
+    out = cls.copy()
+    out[found.column("word").to_numpy()] = found.column("class").to_numpy()
+    return out
+
+
 def fit(training: DataFrame, head: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES) -> tuple[dict, DataFrame]:
-    """(model, counts h long, n long of the words that are not in the model's head)."""
+    """(model, counts h long, n long of the words that are not in the model)."""
     counts = saved(word_counts(training), "counts")
     n_docs = training.count()
     n_words, v_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -178,25 +308,31 @@ def fit(training: DataFrame, head: int = HEAD, clustered: int = CLUSTERED, class
         if n > room:
             break
         least, room = level, room - n
-    top = counts.where(scale >= least).toArrow()
+    held = (scale >= least) | (F.col("n") >= LEAST)
+    top = counts.where(held).toArrow()
     h, c = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    first = np.lexsort((h, -c))[:clustered]
-    words = np.sort(h[first])
-    bigrams = bigram_counts(training, words)
-    cls = exchange(bigrams, classes)
     order = np.argsort(h)
     h, c = h[order], c[order]
-    at, there = lookup(words, h)
-    of = np.where(there, cls[at], classes) if len(words) else np.full(len(h), classes)
-    g = class_counts(bigrams.astype(np.float64), cls, classes + 2)
+    first = np.sort(np.lexsort((h, -c))[:clustered])
+    bigrams = bigram_counts(training, h[first])
+    seeds = exchange(bigrams, classes)
+    of = np.full(len(h), classes)
+    of[first] = seeds[:-2]
+    g = class_counts(bigrams.astype(np.float64), seeds, classes + 2)
+    moving = c >= LEAST
+    moving[first] = False
+    for _ in range(PLACINGS if moving.any() else 0):
+        of = place(training, h, of, moving, g)
+        g = class_bigrams(training, h, of, classes)
+    there = of < classes
     in_class = np.bincount(of[there], c[there], classes)
-    other_types = v_words - len(words)
+    other_types = v_words - int(there.sum())
     model = {
         "h": h, "n": c, "class": of.astype(np.int32), "classes": classes, "in_class": in_class,
         "other": float(n_words - in_class.sum()) + other_types + 1, "steps": np.log10((g + 1) / (g.sum(1, keepdims=True) + classes + 2)),
         "tokens": int(n_words + n_docs), "types": int(v_words + (n_docs > 0)), "ends": int(n_docs),
     }
-    return model, counts.where(scale < least)
+    return model, counts.where(~held)
 
 
 def score(docs: DataFrame, model: dict, rare: DataFrame) -> DataFrame:

@@ -97,3 +97,34 @@ def test_no_rows_and_no_training(spark):
     assert brown.score(empty, model, rare).count() == 0
     row = brown.score(spark.createDataFrame([(None, "a b")], "doc_id long, text string"), model, rare).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, 0.0)
+
+
+def test_gains_are_differences_of_the_likelihood():
+    r = np.random.default_rng(2)
+    words, classes = 30, 4
+    k = classes + 2
+    bigrams = r.poisson(1.5, (words + 2, words + 2))
+    cls = np.append(r.integers(0, classes + 1, words), [classes, classes + 1])
+    g = brown.class_counts(bigrams.astype(float), cls, k)
+    value = lambda c: brown.likelihood(brown.class_counts(bigrams.astype(float), c, k))
+    old, rows = cls[:words], []
+    for w in range(words):
+        others = np.arange(words + 2) != w
+        dense = np.concatenate([np.bincount(cls[others], bigrams[others, w], k), np.bincount(cls[others], bigrams[w, others], k), [bigrams[w, w]]])
+        rows += [(w, i, dense[i]) for i in np.flatnonzero(dense)]
+    got = brown.gains(g, old, *(np.array(x) for x in zip(*rows, strict=True)))
+    for w in range(words):
+        expected = [value(np.where(np.arange(words + 2) == w, i, cls)) for i in range(classes)]
+        assert np.allclose(got[w] - got[w, 0], np.array(expected) - expected[0], atol=1e-6)
+
+
+def test_every_word_over_a_small_count_has_a_class(spark):
+    r = random.Random(5)
+    kinds = [[f"{x}{i}" for i in range(60)] for x in "ab"]
+    docs = [(i, " ".join(r.choices(kinds[j % 2], [10] * 10 + [1] * 50)[0] for j in range(100)) + f" once{i}") for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    model, _ = brown.fit(frame, head=0, clustered=20, classes=2)
+    cls = dict(zip(map(int, model["h"]), model["class"].tolist(), strict=True))
+    of = [{cls[int(h)] for h in brown.hashes_of(pa.array([" ".join(words)]), POWERS)[0]} for words in kinds]
+    assert sorted(map(sorted, of)) == [[0], [1]]
+    assert int(brown.hashes_of(pa.array(["once7"]), POWERS)[0][0]) not in cls
