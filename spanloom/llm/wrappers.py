@@ -72,13 +72,20 @@ def blocks(html: str) -> list[tuple[str, int, str]]:
     """(path, place, text) of the page's blocks in order; place: 2 in an article, 1 in main, 0 elsewhere in the body.
 
     Dropped elements give blocks with place -1, as wrappers align them too. An article or main element that begins gives a
-    block without text, so that an empty one counts.
+    block without text, so that an empty one counts. Paths name the first MOST_DEPTH elements; deeper ones open and close alike.
     """
     out: list[tuple[str, int, str]] = []
     stack: list[tuple[str, int, str]] = [("", 0, "")]
     pieces: list[str] = []
     at, n = 0, len(html)
 
+    opened: dict[str, int] = {}
+
+    def close_from(i: int) -> None:
+        for x in stack[i:]:
+            opened[x[0]] -= 1
+        del stack[i:]
+
     def flush() -> None:
         if pieces:
             text = " ".join("".join(pieces).split())
@@ -115,10 +122,10 @@ def blocks(html: str) -> list[tuple[str, int, str]]:
                 flush()
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened.get(name) else ():
                 if stack[i][0] == name:
                     flush()
-                    del stack[i:]
+                    close_from(i)
                     break
             continue
         if name in RAW:
@@ -130,9 +137,9 @@ def blocks(html: str) -> list[tuple[str, int, str]]:
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
             peers = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
             stop = {"ul", "ol", "dl", "table", "article", "main", "body", "blockquote", "section", "div"} if name != "p" else set()
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(map(opened.get, peers)) else ():
                 if stack[i][0] in peers:
-                    del stack[i:]
+                    close_from(i)
                     break
                 if stack[i][0] in stop or stack[i][0] not in ("p", "b") and name == "p" and stack[i][0] not in INLINE:
                     break
@@ -146,10 +153,8 @@ def blocks(html: str) -> list[tuple[str, int, str]]:
             elif place == 0 and (name == "main" or "role" in attrs and re.search(r"role\s*=\s*[\"']?main\b", attrs)):
                 place = 1
                 out.append((path, place, ""))
-        if len(stack) < MOST_DEPTH:
-            stack.append((name, place, f"{path}/{name}"))
-        elif place < 0:
-            stack[-1] = (stack[-1][0], place, path)
+        stack.append((name, place, f"{path}/{name}" if len(stack) < MOST_DEPTH else path))
+        opened[name] = opened.get(name, 0) + 1
     flush()
     return out
 

@@ -81,3 +81,8 @@ def test_constants_inside_articles_go(spark):
     assert all(out[i] == f"Title {i}\nown {i}\nmore {i}" for i in range(9))
     assert all(out[10 + i] == f"item {i}" for i in range(4))
     assert all(out[20 + i] == "Title 0\nown 0\nmore 0\nShare this story\nAbout us" for i in range(5))
+
+
+def test_text_after_deep_nesting():
+    assert text("<body><div><article>" + "<div>" * 100 + "deep" + "</div>" * 100 + "<p>tail</p></article></div>out") == "deep\ntail"
+    assert text("<article>" + "<div>" * 100 + "<nav>menu</nav><p>own</p>" + "</div>" * 100 + "<p>tail</p></article>") == "own\ntail"
