@@ -22,6 +22,7 @@ import re
 import zlib
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ from spanloom.llm.common import saved
 
 GROUP, MOST_ITEMS, MOST_DEPTH, LEAST_PAGES = 6, 200, 80, 3
 SHIP_BYTES = 16 << 20
+#: Cells up to which alignment fills a whole table.
+TABLE = 1 << 16
 #: Element names.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"}
 DROPPED = RAW | {"nav", "footer", "aside", "form", "svg", "canvas", "object", "button", "select", "dialog", "menu", "head", "fieldset", "math"}
@@ -207,28 +210,68 @@ def align(one: list[Item], two: list[Item]) -> list[Item]:
     a, b = [x[0] for x in one], [x[0] for x in two]
     if a == b:
         return merge_items(one, two)
+    numbers: dict[str, int] = {}
+    x, y = (np.array([numbers.setdefault(k, len(numbers)) for k in keys], np.int64) for keys in (a, b))
+    out, i, j = [], 0, 0
+    for p, q in [*common(x, y), (len(a), len(b))]:
+        out += [[x[0], x[1], True, x[3], x[4]] for x in [*one[i:p], *two[j:q]]]
+        if p < len(a):
+            out += merge_items([one[p]], [two[q]])
+        i, j = p + 1, q + 1
+    return cut_items(fold(out))
+
+
+def lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of x and each beginning of y."""
+    row = np.zeros(len(y) + 1, np.int64)
+    for v in x:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(y == v, row[:-1] + 1, 0)))
+    return row
+
+
+def common(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; long sequences are halved, so memory grows with their length only."""
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    head = int(differ[0]) if len(differ) else n
+    if head:
+        return [*((i, i) for i in range(head)), *((i + head, j + head) for i, j in common(x[head:], y[head:]))]
+    if not n:
+        return []
+    if len(x) * len(y) > TABLE and len(x) > 1:
+        half = len(x) // 2
+        cut = int(np.argmax(lengths(x[:half], y) + lengths(x[half:][::-1], y[::-1])[::-1]))
+        return common(x[:half], y[:cut]) + [(i + half, j + cut) for i, j in common(x[half:], y[cut:])]
+    a, b = x.tolist(), y.tolist()
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         row, below = best[i], best[i + 1]
         for j in range(len(b) - 1, -1, -1):
             row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
     out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            out += merge_items([one[i]], [two[j]])
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            out.append([one[i][0], one[i][1], True, one[i][3], one[i][4]])
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append([two[j][0], two[j][1], True, two[j][3], two[j][4]])
             j += 1
-    return cut_items(fold(out))
+    return out
 
 
 def cut_items(items: list[Item]) -> list[Item]:
-    """At most MOST_ITEMS items: beyond, the last ones become one repeated wildcard, whose texts are slots."""
-    return items if len(items) <= MOST_ITEMS else [*items[: MOST_ITEMS - 1], ["*", True, True, 0, []]]
+    """Beyond MOST_ITEMS items, each run of optional ones becomes one repeated wildcard; items of all pages stay, which are
+    at most as many as the shortest page has."""
+    if len(items) <= MOST_ITEMS:
+        return items
+    out: list[Item] = []
+    for item in items:
+        if not item[2]:
+            out.append(item)
+        elif not out or out[-1][0] != "*":
+            out.append(["*", True, True, 0, []])
+    return out
 
 
 def as_regex(items: list[Item]) -> str:
@@ -283,11 +326,12 @@ def merge_wrappers(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).applyInArrow(run, WRAPPER)
 
 
-def infer(pages: DataFrame, hosts_held: int = 2000) -> DataFrame:
+def infer(pages: DataFrame, hosts_held: int = 2000, items_held: int = 400000) -> DataFrame:
     """pages(url, html) -> host, wrapper (items as JSON), pages, texts: one row per host."""
 
     def run(batches):
         held: dict[str, tuple[list[Item], int, list[int]]] = {}
+        size = 0
 
         def rows():
             return pa.RecordBatch.from_pydict(
@@ -301,9 +345,11 @@ def infer(pages: DataFrame, hosts_held: int = 2000) -> DataFrame:
                 items, text = cut_items(stream(page)), text_hash(page_text(page, frozenset()))
                 known = held.get(host.as_py())
                 held[host.as_py()] = (items, 1, [text]) if known is None else (align(known[0], items), known[1] + 1, least([*known[2], text]))
-                if len(held) >= hosts_held:
+                size += len(held[host.as_py()][0]) - (len(known[0]) if known else 0)
+                if len(held) >= hosts_held or size >= items_held:
                     yield rows()
                     held.clear()
+                    size = 0
         yield rows()
 
     parts = bounded(pages.select(host_of(F.col("url")).alias("host"), "html")).mapInArrow(run, WRAPPER)

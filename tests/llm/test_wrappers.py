@@ -86,3 +86,21 @@ def test_constants_inside_articles_go(spark):
 def test_text_after_deep_nesting():
     assert text("<body><div><article>" + "<div>" * 100 + "deep" + "</div>" * 100 + "<p>tail</p></article></div>out") == "deep\ntail"
     assert text("<article>" + "<div>" * 100 + "<nav>menu</nav><p>own</p>" + "</div>" * 100 + "<p>tail</p></article>") == "own\ntail"
+
+
+def test_constants_after_many_items_stay():
+    pages = ["".join(f"<t{(i * 7 + p) % 397}>{p} {i}</t{(i * 7 + p) % 397}>" for i in range(390)) + "<h6>Imprint</h6>" for p in range(4)]
+    items = None
+    for page in pages:
+        new = w.cut_items(w.stream(w.blocks(page)))
+        items = new if items is None else w.align(items, new)
+    assert w.pair_hash("/h6", w.text_hash("Imprint")) in w.constants(items, 3)
+
+
+def test_common_is_a_longest_subsequence():
+    r = random.Random(3)
+    for n in (5, 40, 400):
+        x, y = (w.np.array([r.randrange(20) for _ in range(n)]) for _ in range(2))
+        pairs = w.common(x, y)
+        assert all(x[i] == y[j] for i, j in pairs) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:]))
+        assert len(pairs) == w.lengths(x, y)[-1]
