@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import functions as F
 
-from spanloom.config import Config, from_dict, override
+from spanloom.config import Config, load, override
 from spanloom.operators import audit, metrics, rules
 from spanloom.plans import predict
 from spanloom.schema import AROUSAL_FLAGS, POSTURES, label_dim
@@ -17,10 +17,7 @@ from spanloom.sources import annotations as src
 
 
 def config_of(args) -> Config:
-    config = Config()
-    if args.config:
-        with open(args.config) as f:
-            config = from_dict(json.load(f))
+    config = load(args.config) if args.config else Config()
     if args.preset:
         config.model.preset = args.preset
         config.with_preset()
