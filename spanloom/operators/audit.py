@@ -7,10 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.dedup import near_classes
+from spanloom.operators.joins import small
 from spanloom.operators.spans import overlapping_pairs
 from spanloom.schema import POSTURES
+from spanloom.storage import saved
 
 FINDING = ["level", "code", "message", "subject"]
+#: Splits that one audit takes: each is audited on its own.
+MOST_SPLITS = 20
 
 
 def finding(df: DataFrame, level: str | Column, code: str, message: Column, subject: Column) -> DataFrame:
@@ -41,65 +46,137 @@ def similarity(a: Column, b: Column) -> Column:
 def closest(names: DataFrame, labels: DataFrame, least: float = 0.6) -> DataFrame:
     """name, suggestion, score of distinct names: the first most similar label (idx, name), if above ``least``.
 
-    Every name meets every label of the label space, which is a fixed, small dimension.
+    The label space travels as one array beside each distinct name, so a name is one row, compared where it is.
     """
-    dim = F.broadcast(labels.select("idx", F.col("name").alias("label")))
-    scored = names.distinct().crossJoin(dim).withColumn("score", similarity(F.col("name"), F.col("label")))
-    best = scored.groupBy("name").agg(F.max(F.struct("score", (-F.col("idx")).alias("i"), "label")).alias("m"))
+    space = labels.agg(F.array_sort(F.collect_list(F.struct("idx", F.col("name").alias("label")))).alias("space"))
+    rows = names.distinct().crossJoin(F.broadcast(space))
+    scored = F.transform("space", lambda x: F.struct(similarity(F.col("name"), x["label"]).alias("score"), (-x["idx"]).alias("i"), x["label"].alias("label")))
+    best = rows.select("name", F.array_max(scored).alias("m")).where("m IS NOT NULL")
     return best.select("name", F.when(F.col("m.score") > least, F.col("m.label")).alias("suggestion"), F.col("m.score").alias("score"))
 
 
-def checked(annotations: DataFrame, media: DataFrame) -> DataFrame:
+def checked(annotations: DataFrame, media: DataFrame, unreadable: DataFrame | None = None) -> DataFrame:
     """Annotations (id, video, labels, start, end, group) with media (video, duration, fps, width, height) and the first
-    reason why a row cannot be used: missing_file, bad_span, or none."""
+    reason why a row cannot be used: unreadable (video, error), missing_file, bad_span, or none."""
     rows = annotations.join(media, "video", "left").withColumn("stop", F.coalesce("end", "duration"))
+    if unreadable is None:
+        rows = rows.withColumn("error", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(unreadable.groupBy("video").agg(F.min("error").alias("error")), "video", "left")
     reason = (
-        F.when(F.col("duration").isNull(), F.lit("missing_file"))
+        F.when(F.col("error").isNotNull(), F.lit("unreadable"))
+        .when(F.col("duration").isNull(), F.lit("missing_file"))
         .when(F.col("stop") <= F.col("start"), F.lit("bad_span"))
         .when(F.col("start") >= F.col("duration"), F.lit("bad_span"))
     )
     return rows.withColumn("reason", reason).withColumn("seconds", F.least("stop", "duration") - F.col("start"))
 
 
-def bad_spans(rows: DataFrame) -> DataFrame:
-    present = rows.where("duration IS NOT NULL")
-    negative = finding(present.where("start < 0"), "error", "bad_span", F.lit("negative start"), F.col("video"))
-    reversed_ = finding(present.where("stop <= start"), "error", "bad_span", F.lit("end is not after start"), F.col("video"))
-    late = finding(present.where("stop > start AND start >= duration"), "error", "bad_span", F.lit("starts after the end of the video"), F.col("video"))
-    return negative.unionByName(reversed_).unionByName(late)
-
-
 def audit_annotations(
-    annotations: DataFrame, media: DataFrame, labels: DataFrame | None = None, clip_seconds: float = 1.1, min_examples: int = 20, overrun: float = 0.05, fps: float = 10.0, side: int = 128
+    annotations: DataFrame,
+    media: DataFrame,
+    labels: DataFrame | None = None,
+    clip_seconds: float = 1.1,
+    min_examples: int = 20,
+    overrun: float = 0.05,
+    fps: float = 10.0,
+    side: int = 128,
+    signatures: DataFrame | None = None,
+    distance: int = 6,
+    unreadable: DataFrame | None = None,
 ) -> DataFrame:
-    """All findings of one split. ``labels``: (idx, name, is_posture, ...)."""
-    rows = checked(annotations, media)
-    present, usable = rows.where("duration IS NOT NULL"), rows.where("reason IS NULL")
-    out = [
-        finding(rows.where("duration IS NULL"), "error", "missing_file", F.lit("video not found"), F.col("group")),
-        finding(present.where(F.size("labels") == 0), "info", "negative", F.lit("explicit negative span"), F.col("group")),
-        bad_spans(rows),
-        finding(usable.where(F.col("stop") > F.col("duration") + overrun), "warning", "span_overrun", F.lit("span ends past the end of the video"), F.col("video")),
-        finding(usable.where(F.col("seconds") < clip_seconds), "warning", "span_too_short", F.lit("span is shorter than a clip"), F.array_join("labels", ",")),
-        finding(usable.where(F.col("fps") < fps), "warning", "low_fps", F.lit("motion cues will be weak"), F.col("video")),
-        finding(usable.where(F.least("width", "height") < side), "warning", "low_resolution", F.lit("below the training resolution"), F.col("video")),
-        contradictions(usable),
+    """All findings of one split. ``labels``: (idx, name, ...). ``signatures``: (id, words array<long>, all of one length)
+    for near_duplicate findings, one per class of duplicates: an error if its groups differ, else a warning.
+    ``unreadable``: (video, error) of media that could not be probed.
+
+    Annotations and media are joined once and written; what a row alone shows is found in one pass over that table.
+    """
+    names = ["id", "video", "labels", "group", "start", "stop", "duration", "seconds", "fps", "width", "height", "reason", "error"]
+    rows = saved(checked(annotations, media, unreadable).select(*names), "audited")
+    present = rows.where("duration IS NOT NULL AND error IS NULL")
+    usable = rows.where("reason IS NULL")
+    has, fit = F.col("duration").isNotNull() & F.col("error").isNull(), F.col("reason").isNull()
+    stop, start, end = F.col("stop"), F.col("start"), F.col("duration")
+    rules = [
+        (F.col("reason") == "missing_file", "error", "missing_file", "video not found", "group"),
+        (F.col("reason") == "unreadable", "error", "unreadable", F.concat(F.lit("cannot be decoded: "), "error"), "video"),
+        (has & (F.size("labels") == 0), "info", "negative", "explicit negative span", "group"),
+        (has & (start < 0), "error", "bad_span", "negative start", "video"),
+        (has & (stop <= start), "error", "bad_span", "end is not after start", "video"),
+        (has & (stop > start) & (start >= end), "error", "bad_span", "starts after the end of the video", "video"),
+        (fit & (stop > end + overrun), "warning", "span_overrun", "span ends past the end of the video", "video"),
+        (fit & (F.col("seconds") < clip_seconds), "warning", "span_too_short", "span is shorter than a clip", F.array_join("labels", ",")),
+        (fit & (F.col("fps") < fps), "warning", "low_fps", "motion cues will be weak", "video"),
+        (fit & (F.least("width", "height") < side), "warning", "low_resolution", "below the training resolution", "video"),
+    ]
+    told = [
+        F.when(when, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), (F.lit(m) if isinstance(m, str) else m).alias("message"), (F.col(x) if isinstance(x, str) else x).cast("string").alias("subject")))
+        for when, level, code, m, x in rules
     ]
-    empty = annotations.limit(1).groupBy().agg(F.count("*").alias("n")).where("n = 0")
+    out = [rows.select(F.explode(F.array_compact(F.array(*told))).alias("f")).select("f.*"), contradictions(usable)]
+    empty = rows.limit(1).groupBy().agg(F.count("*").alias("n")).where("n = 0")
     out.append(finding(empty, "error", "empty", F.lit("no annotations to audit"), F.lit("")))
-    counts = usable.select(F.explode("labels").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    counts = saved(usable.select(F.explode("labels").alias("name")).groupBy("name").agg(F.count("*").alias("n")), "label_counts")
     ratio = counts.agg((F.max("n") / F.greatest(F.lit(1), F.min("n"))).alias("r")).where("r > 50")
     out.append(finding(ratio, "warning", "imbalance", F.lit("the commonest class is over 50 times the rarest"), F.lit("")))
     if labels is not None:
         exploded = present.select("video", F.explode("labels").alias("name"))
-        unknown = exploded.join(F.broadcast(labels.select("name")), "name", "left_anti")
+        unknown = exploded.join(small(labels.select("name")), "name", "left_anti")
         hints = closest(unknown.select("name"), labels)
-        told = unknown.join(hints, "name").withColumn("m", F.concat(F.col("name"), F.coalesce(F.concat(F.lit(": did you mean "), "suggestion", F.lit("?")), F.lit(": no close match"))))
-        out.append(finding(told, "error", "unknown_label", F.col("m"), F.col("video")))
+        hinted = unknown.join(hints, "name").withColumn("m", F.concat(F.col("name"), F.coalesce(F.concat(F.lit(": did you mean "), "suggestion", F.lit("?")), F.lit(": no close match"))))
+        out.append(finding(hinted, "error", "unknown_label", F.col("m"), F.col("video")))
         out.append(thin_classes(counts, labels, min_examples))
+    if signatures is not None:
+        out.append(duplicate_findings(usable.select("id", "group").join(signatures.select("id", "words"), "id"), distance))
     return reduce(DataFrame.unionByName, out)
 
 
+def duplicate_findings(rows: DataFrame, distance: int) -> DataFrame:
+    """near_duplicate findings of rows (id, group, words): one per class of several clips."""
+    first = rows.where("words IS NOT NULL").select("words").first()
+    classes = near_classes(rows, "id", "words", 64 * len(first[0]) if first else 64, distance)
+    found = classes.join(rows.select("id", "group"), "id").groupBy("class_id").agg(F.count("*").alias("n"), F.count_distinct("group").alias("groups")).where("n > 1")
+    apart = F.col("groups") > 1
+    told = F.concat(F.col("n").cast("string"), F.lit(" clips are near-identical"), F.when(apart, F.concat(F.lit(" in "), F.col("groups").cast("string"), F.lit(" groups: merge these"))).otherwise(""))
+    return finding(found, F.when(apart, "error").otherwise("warning"), "near_duplicate", told, F.col("class_id"))
+
+
+def audit_splits(annotations: DataFrame, media: DataFrame, labels: DataFrame | None = None, signatures: DataFrame | None = None, distance: int = 6, **options) -> DataFrame:
+    """split, level, code, message, subject: the findings of each split of annotations (split, ...), and with a null split
+    what lies between them: groups in several splits, and with ``signatures`` classes of near duplicates in several."""
+    rows = saved(annotations, "splits")
+    names = sorted(r[0] for r in rows.select("split").distinct().where("split IS NOT NULL").limit(MOST_SPLITS + 1).collect())
+    if len(names) > MOST_SPLITS:
+        raise ValueError(f"more than {MOST_SPLITS} splits")
+    out = []
+    for name in names:
+        own = audit_annotations(rows.where(F.col("split") == name).drop("split"), media, labels, signatures=signatures, distance=distance, **options)
+        out.append(own.withColumn("split", F.lit(name)))
+    leaks = split_leakage(rows)
+    between = [finding(leaks, "error", "split_leakage", F.concat(F.lit("group is in splits "), F.array_join("splits", ", ")), F.col("group"))]
+    if signatures is not None:
+        marked = rows.select("id", "split").join(signatures.select("id", "words"), "id")
+        first = marked.where("words IS NOT NULL").select("words").first()
+        crossing = cross_split_duplicates(near_classes(marked, "id", "words", 64 * len(first[0]) if first else 64, distance), rows)
+        told = F.concat(F.col("n").cast("string"), F.lit(" near-identical clips in splits "), F.array_join("splits", ", "))
+        between.append(finding(crossing, "error", "cross_split_duplicate", told, F.col("class_id")))
+    out += [x.withColumn("split", F.lit(None).cast("string")) for x in between]
+    return reduce(DataFrame.unionByName, out).select("split", *FINDING)
+
+
+def render(findings: DataFrame, totals: DataFrame, top: int = 30) -> str:
+    """A text report: class balance of ``totals`` (label, n, seconds), then each level's first ``top`` findings by code."""
+    classes = totals.orderBy(F.desc("n"), "label").limit(1000).collect()
+    all_ = sum(r.n for r in classes)
+    lines = ["dataset audit", ""] + [f"{r.label:<20}{r.n:>8} {r.seconds / 60:>9.1f} min {'#' * max(1, round(32 * r.n / max(1, all_)))}" for r in classes]
+    for level in ("error", "warning"):
+        rows = findings.where(F.col("level") == level)
+        n = rows.count()
+        lines += ["", f"{level}s: {n}"] + [f"  {r.code}: {r.message} ({r.subject})" for r in rows.orderBy("code", "subject", "message").limit(top).collect()]
+        lines += [f"  and {n - top} more"] if n > top else []
+    return "\n".join(lines)
+
+
 def thin_classes(counts: DataFrame, labels: DataFrame, min_examples: int = 20) -> DataFrame:
     """no_examples and few_examples from (name, n) against the label space."""
     seen = labels.select("name").join(counts, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))
@@ -120,10 +197,13 @@ def split_leakage(rows: DataFrame, group: str = "group", split: str = "split") -
     return rows.groupBy(group).agg(F.array_sort(F.collect_set(split)).alias("splits")).where(F.size("splits") > 1)
 
 
-def cross_split_duplicates(pairs: DataFrame, owners: DataFrame) -> DataFrame:
-    """Of near_pairs a, b: those whose owners (id, split) differ."""
-    a, b = owners.select(F.col("id").alias("a"), F.col("split").alias("split_a")), owners.select(F.col("id").alias("b"), F.col("split").alias("split_b"))
-    return pairs.join(a, "a").join(b, "b").where("split_a <> split_b")
+def cross_split_duplicates(classes: DataFrame, owners: DataFrame) -> DataFrame:
+    """class_id, n, splits of the near-duplicate classes (id, class_id) whose members (id, split) are in several splits.
+
+    A class that spans splits holds a pair of near duplicates that does; pairs are not listed.
+    """
+    placed = classes.select("id", "class_id").join(owners.select("id", "split"), "id")
+    return placed.groupBy("class_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("split")).alias("splits")).where(F.size("splits") > 1)
 
 
 def totals(usable: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.storage import saved
+from spanloom.storage import drop, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     A round takes the least label among neighbours and then the label of that label, so long chains halve. Labels only
     ever fall within a component, and the loop ends when a round changes none. Sums are pre-aggregated per node, and the
-    joins are equi-joins that adaptive execution splits where a node is hot.
+    joins are equi-joins that adaptive execution splits where a node is hot. Tables of past rounds are deleted.
     """
     one_way = edges.where("a <> b").select("a", "b")
     both = saved(one_way.union(one_way.select("b", "a")).distinct(), "edges")
@@ -24,6 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         target = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         after = saved(least.join(target, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
         changed = after.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
+        drop(labels)
         labels = after
         if not changed:
+            drop(both)
             return labels

@@ -1,8 +1,8 @@
 """Ranking and classification metrics over long rows (key..., id, score double, target int).
 
 Undefined values are NULL, never NaN. Ranks over a whole class are taken in two levels, so no class is one task: rows are
-counted per score bucket, bucket offsets are running sums over at most BUCKETS small rows, and only rows of one bucket are
-ordered together.
+sorted into ranges of score and id, which also cut rows of one score, and range offsets are running sums over small rows.
+AUC, F1 and thresholds need only the counts of each distinct score, which are summed before any shuffle and written once.
 """
 
 from __future__ import annotations
@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.joins import small
+from spanloom.storage import saved
+
 BUCKETS = 4096
 
 
@@ -29,14 +32,16 @@ def divide(a: Column, b: Column, otherwise=0.0) -> Column:
 
 
 def bucket_of(score: str) -> Column:
-    """Buckets that fall as the score rises; any monotone map of the score line would do."""
+    """Buckets that fall as the score rises: four fifths of them even over 0 to 1, the others for what lies outside."""
     x = F.col(score)
-    return F.floor((1.0 - (x / (1.0 + F.abs(x)) + 1.0) / 2.0) * BUCKETS).cast("int")
+    line = F.when(x < 0, 0.125 * x / (1.0 - x)).when(x > 1, 1.0 + 0.125 * (1.0 - 1.0 / F.greatest(x, F.lit(1.0)))).otherwise(x)
+    return F.floor((1.125 - line) / 1.25 * BUCKETS).cast("int")
 
 
 def ranked(df: DataFrame, key: list[str], score: str, id_: str, target: str) -> DataFrame:
     """Adds rank (1 = highest score, ties by id) and hits (targets at this rank or better), per key."""
-    rows = df.withColumn("__b", bucket_of(score))
+    ranges = df.repartitionByRange(*[F.col(k) for k in key], F.col(score).desc(), F.col(id_)).withColumn("__b", F.spark_partition_id())
+    rows = saved(ranges, "ranges")
     before = Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy(*key, "__b").agg(F.count("*").alias("__n"), F.sum(target).alias("__p"))
     offsets = offsets.select(*key, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__p").over(before), F.lit(0)).alias("__p0"))
@@ -76,7 +81,12 @@ def cumulative(rows: DataFrame, key: list[str]) -> DataFrame:
 
 def roc_auc(df: DataFrame, key: list[str], score: str = "score", target: str = "target") -> DataFrame:
     """key, auc: share of positive-negative pairs in order, ties half; NULL with one class only."""
-    rows = cumulative(by_score(df, key, score, target), key)
+    return auc_of(by_score(df, key, score, target), key)
+
+
+def auc_of(counts: DataFrame, key: list[str]) -> DataFrame:
+    """roc_auc from by_score rows."""
+    rows = cumulative(counts, key)
     neg = F.col("n") - F.col("pos")
     wins = F.sum(neg * F.col("pos_above") + neg * F.col("pos") * 0.5)
     return rows.groupBy(*key).agg(F.when(F.sum("pos") * F.sum(neg) > 0, wins / (F.sum("pos") * F.sum(neg))).alias("auc"))
@@ -85,7 +95,11 @@ def roc_auc(df: DataFrame, key: list[str], score: str = "score", target: str = "
 def prf1(df: DataFrame, key: list[str], predicted: str = "predicted", target: str = "target") -> DataFrame:
     """key, tp, fp, fn, precision, recall, f1; 0 where a ratio is undefined."""
     p, t = F.col(predicted) == 1, F.col(target) == 1
-    counted = df.groupBy(*key).agg(F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"), F.count_if(~p & t).alias("fn"))
+    return with_ratios(df.groupBy(*key).agg(F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"), F.count_if(~p & t).alias("fn")))
+
+
+def with_ratios(counted: DataFrame) -> DataFrame:
+    """Adds precision, recall and f1 to tp, fp, fn."""
     return counted.withColumns(
         {
             "precision": divide(F.col("tp"), F.col("tp") + F.col("fp")),
@@ -138,13 +152,18 @@ def quantiles(rows: DataFrame, key: list[str], n: int) -> DataFrame:
 
 
 def tune_thresholds(df: DataFrame, key: list[str], score: str = "score", target: str = "target", default: float = 0.5, min_positives: int = 8, most: int = 256) -> DataFrame:
-    """key, threshold, f1: the median of the thresholds with the best F1, taken midway between distinct rounded scores.
+    """key, threshold, f1: see thresholds_of."""
+    return thresholds_of(saved(by_score(df, key, score, target), "by_score"), key, default, min_positives, most)
+
+
+def thresholds_of(scores: DataFrame, key: list[str], default: float = 0.5, min_positives: int = 8, most: int = 256) -> DataFrame:
+    """by_score rows -> key, threshold, f1: the median of the thresholds with the best F1, taken midway between distinct
+    rounded scores.
 
     Above ``most`` distinct scores the candidates lie between ``most`` quantiles. Keys with fewer than ``min_positives``
     positives, or with a best F1 of 0, keep the default. Each key's candidates are at most ``most`` + 1 rows; everything
-    else is a sum over buckets of scores.
+    else is a sum over buckets of scores. The rows are read several times, so they should be a written table.
     """
-    scores = by_score(df, key, score, target)
     totals = scores.groupBy(*key).agg(F.sum("pos").alias("__pos"))
     distinct = scores.select(*key, F.round("score", 6).alias("o")).distinct()
     counted = distinct.groupBy(*key).agg(F.count("*").alias("__d"))
@@ -155,7 +174,7 @@ def tune_thresholds(df: DataFrame, key: list[str], score: str = "score", target:
     edges = few.unionByName(many).withColumn("__next", F.lead("o").over(line)).withColumn("__first", F.row_number().over(line) == 1)
     middle = (F.col("o") + F.coalesce("__next", F.col("o") + 1e-3)) / 2.0
     lowest = (F.col("o") - 1e-3 + F.col("o")) / 2.0
-    candidates = edges.select(*key, F.explode(F.when(F.col("__first"), F.array(lowest, middle)).otherwise(F.array(middle))).alias("score"))
+    candidates = saved(edges.select(*key, F.explode(F.when(F.col("__first"), F.array(lowest, middle)).otherwise(F.array(middle))).alias("score")), "candidates")
     zero = F.lit(0).cast("long")
     both = scores.withColumn("__c", F.lit(0)).unionByName(candidates.select(*key, "score", zero.alias("n"), zero.alias("pos"), F.lit(1).alias("__c")))
     both = both.groupBy(*key, "score").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.max("__c").alias("__c"))
@@ -169,26 +188,51 @@ def tune_thresholds(df: DataFrame, key: list[str], score: str = "score", target:
 
 def evaluate_multilabel(df: DataFrame, key: str = "class", row: str = "id", logit: str = "logit", target: str = "target", threshold: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(per class: ap, auc, precision, recall, f1, support, thresh; one row of map, macro and micro metrics, exact match)."""
-    scored = df.withColumn("score", sigmoid(F.col(logit)))
+    scored = saved(df.select(key, row, sigmoid(F.col(logit)).alias("score"), F.col(target).cast("int").alias("target")), "scored")
+    counts = saved(by_score(scored, [key], "score", "target"), "by_score")
     if threshold is None:
-        limits = tune_thresholds(scored, [key], target=target)
+        limits = saved(thresholds_of(counts, [key]).select(key, "threshold"), "thresholds")
     else:
-        limits = scored.select(key).distinct().withColumn("threshold", F.lit(float(threshold)))
-    predicted = scored.join(F.broadcast(limits.select(key, "threshold")), key).withColumn("predicted", (F.col("score") >= F.col("threshold")).cast("int"))
-    ap = average_precision(scored, [key], id_=row, target=target)
-    auc = roc_auc(scored, [key], target=target)
-    support = scored.groupBy(key).agg(F.sum(target).alias("support"))
-    per = prf1(predicted, [key], target=target).join(ap, key).join(auc, key).join(support, key).join(limits.select(key, F.col("threshold").alias("thresh")), key)
-    per = per.select(key, "ap", "auc", "precision", "recall", "f1", "support", "thresh")
+        limits = counts.select(key).distinct().withColumn("threshold", F.lit(float(threshold)))
+    limit = small(limits)
+    cut = counts.join(limit, key).withColumn("over", F.col("score") >= F.col("threshold"))
+    sums = [F.sum(F.when(F.col("over"), F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("over"), F.col("n") - F.col("pos")).otherwise(0)).alias("fp")]
+    sums += [F.sum(F.when(F.col("over"), 0).otherwise(F.col("pos"))).alias("fn"), F.sum("pos").alias("support"), F.first("threshold").alias("thresh")]
+    each = saved(cut.groupBy(key).agg(*sums).join(average_precision(scored, [key], id_=row), key).join(auc_of(counts, [key]), key), "each")
+    per = with_ratios(each).select(key, "ap", "auc", "precision", "recall", "f1", "support", "thresh")
     macro = per.agg(F.avg("ap").alias("map"), F.coalesce(F.avg(F.when(F.col("ap").isNotNull(), F.col("f1"))), F.lit(0.0)).alias("macro_f1"))
-    micro = prf1(predicted, [], target=target).select(F.col("f1").alias("micro_f1"), F.col("precision").alias("micro_precision"), F.col("recall").alias("micro_recall"))
-    return per, macro.crossJoin(micro).crossJoin(exact_match(predicted, [row], target=target))
+    micro = with_ratios(each.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
+    micro = micro.select(F.col("f1").alias("micro_f1"), F.col("precision").alias("micro_precision"), F.col("recall").alias("micro_recall"))
+    predicted = scored.join(limit, key).withColumn("predicted", (F.col("score") >= F.col("threshold")).cast("int"))
+    return per, macro.crossJoin(micro).crossJoin(exact_match(predicted, [row]))
+
+
+def table(per: DataFrame, key: str = "class", sort: str | None = None, most: int = 1000) -> str:
+    """Per-class metrics as a text of fixed columns, at most ``most`` classes; undefined values read n/a."""
+    columns = [c for c in per.columns if c != key]
+    rows = per.orderBy(*[x for x in (sort, key) if x]).limit(most).collect()
+    shown = lambda x: "n/a" if x is None else str(x) if isinstance(x, (int, str)) else f"{x:.4f}"
+    cells = [[str(r[key]), *(shown(r[c]) for c in columns)] for r in rows]
+    widths = [max(len(x) for x in column) + 2 for column in zip([key, *columns], *cells, strict=True)]
+    line = lambda row: row[0].ljust(widths[0]) + "".join(x.rjust(w) for x, w in zip(row[1:], widths[1:], strict=True))
+    return "\n".join([line([key, *columns]), "-" * sum(widths), *map(line, cells)])
+
+
+def format_confusion(counts: DataFrame, most: int = 100) -> str:
+    """confusion()'s rows as a square text, truth down and prediction across, for at most ``most`` labels."""
+    rows = counts.limit(most * most).collect()
+    names = sorted({r[0] for r in rows})
+    n = {(r[0], r[1]): r[2] for r in rows}
+    width = max([len(str(x)) for x in [*names, *n.values()]], default=1) + 2
+    lines = ["".ljust(width) + "".join(str(x).rjust(width) for x in names)]
+    return "\n".join(lines + [str(a).ljust(width) + "".join(str(n.get((a, b), 0)).rjust(width) for b in names) for a in names])
 
 
 def evaluate_multiclass(df: DataFrame, row: str = "id", class_: str = "class", logit: str = "logit", truth: str = "truth", tune: bool = True) -> tuple[DataFrame, DataFrame]:
     """(per class: precision, recall, f1, ap, support, thresh; one row of balanced accuracy, top1, top5, macro F1, map)."""
     found = multiclass(df, [row], logit, class_, truth)
-    scored = softmax(df, [row], logit).withColumn("target", (F.col(class_) == F.col(truth)).cast("int"))
+    scored = softmax(df, [row], logit).select(row, class_, "score", (F.col(class_) == F.col(truth)).cast("int").alias("target"))
+    scored = saved(scored, "scored")
     names = df.select(class_).distinct()
     n = names.count()
     truths = found.groupBy(F.col("truth").alias(class_)).agg(F.count("*").alias("support"), F.count_if(F.col("truth") == F.col("predicted")).alias("tp"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.joins import small
+from spanloom.operators.spans import dedupe_utterances
 from spanloom.schema import NOT_THE_DOG, VOICE_KINDS
 
 
@@ -49,7 +51,7 @@ def read_affect(spans: DataFrame, affect: DataFrame, totals: DataFrame, key: lis
     spans: key, behaviour, start, end, score. Weights are duration x score x the dimension's weight. ``known`` is the
     number of behaviours with an affect that the model can see; fewer than 8 lower the confidence.
     """
-    dim = F.broadcast(affect.withColumnRenamed("weight", "w"))
+    dim = small(affect.withColumnRenamed("weight", "w"))
     rows = spans.join(dim, "behaviour").where((F.col("score") > 0) & (F.col("score") >= min_score)).withColumn("d", duration())
     rows = rows.withColumn("weight", F.col("d") * F.col("score") * F.col("w")).where("weight > 0")
     read = rows.groupBy(*key).agg(
@@ -118,7 +120,7 @@ def voice_kind(df: DataFrame, voice: DataFrame) -> DataFrame:
     quiet = (c("loudness") < -45) & (F.col("kind") != "speech")
     typed = typed.withColumn("confidence", F.when(quiet, F.col("__c") * 0.7).otherwise(F.col("__c"))).drop("__k", "__c")
     aroused = F.when((c("rate") >= 3) & F.col("kind").startswith("bark"), F.least(F.lit(1.0), F.col("arousal") + 0.1)).otherwise(F.col("arousal"))
-    return typed.join(F.broadcast(voice), "kind").withColumn("arousal", aroused)
+    return typed.join(small(voice), "kind").withColumn("arousal", aroused)
 
 
 def read_audio(events: DataFrame, totals: DataFrame, key: list[str]) -> DataFrame:
@@ -162,7 +164,7 @@ def blend(df: DataFrame) -> DataFrame:
 
 
 def band(x: Column, low: float, high: float) -> Column:
-    return F.when(x >= high, "high").when(x <= low, "low").otherwise("mid")
+    return F.when(x >= high, "high").when(x <= low, "low").otherwise("medium")
 
 
 def valence_band(x: Column) -> Column:
@@ -174,15 +176,67 @@ def pick(options: Column, seed: Column) -> Column:
     return F.element_at(options, (F.pmod(F.floor(F.abs(seed) * 1000), F.size(options)) + 1).cast("int"))
 
 
+def translate(spans: DataFrame, events: DataFrame, state: DataFrame, key: list[str], behaviour_lines: DataFrame, voice_lines: DataFrame, headlines: DataFrame, least_seconds: float = 0.4) -> DataFrame:
+    """One row per row of ``state``: key, headline, utterances in order, urgent kinds, heard, saw, valence, arousal,
+    confidence, disagree, notes.
+
+    spans: key, behaviour, start, end, score. events: key, kind, start, end, f0, confidence, concerning. state: blend()'s
+    columns. behaviour_lines (behaviour, lines array<string>), voice_lines (kind, lines) and headlines (arousal_band,
+    valence_band, lines) hold the phrases. A span shorter than ``least_seconds`` says nothing. Voice comes before movement
+    where both start together; a phrase that repeats the last one within 1.5 s extends it. The surest urgent utterance is
+    the headline, else the phrase of the state's bands.
+    """
+    double = lambda c: F.col(c).cast("double")
+    seen = spans.where(duration() >= least_seconds).join(small(behaviour_lines), "behaviour")
+    basis = F.format_string("%s %.1f-%.1fs", "behaviour", double("start"), double("end"))
+    seen = seen.select(*key, "start", "end", pick(F.col("lines"), F.col("start") + F.col("score")).alias("text"), double("score").alias("confidence"), F.lit("behaviour").alias("source"), basis.alias("basis"), F.lit(False).alias("urgent"), F.lit(1).alias("after"))
+    own = events.where(~F.col("kind").isin(NOT_THE_DOG))
+    said = own.join(small(voice_lines), "kind")
+    said = said.select(
+        *key, "start", "end", pick(F.col("lines"), F.col("start") + F.col("f0") / 1000.0).alias("text"), double("confidence").alias("confidence"), F.lit("voice").alias("source"),
+        F.format_string("%s %.1fs", "kind", double("start")).alias("basis"), F.col("concerning").alias("urgent"), F.lit(0).alias("after"),
+    )
+    lines = seen.unionByName(said)
+    carry = ["confidence", "source", "basis", "urgent"]
+    kept = dedupe_utterances(lines, key, ["start", "after", "basis"], carry=carry)
+    shown = ["start", "end", "text", *carry]
+    told = kept.groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("start").alias("at"), (F.col("source") != "voice").alias("after"), *[c for c in shown]))).alias("rows"),
+        F.max_by("text", F.when(F.col("urgent"), F.struct("confidence", (-F.col("start")).alias("s")))).alias("loudest"),
+    )
+    told = told.select(*key, F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in shown])).alias("utterances"), "loudest")
+    heard = events.groupBy(*key).agg(
+        F.max(~F.col("kind").isin(NOT_THE_DOG)).alias("heard"), F.count_if(F.col("kind") == "speech").alias("people"),
+        F.array_sort(F.collect_set(F.when(F.col("concerning") & ~F.col("kind").isin(NOT_THE_DOG), F.col("kind")))).alias("urgent"),
+    )
+    saw = spans.select(*key).distinct().withColumn("saw", F.lit(True))
+    moods = state.withColumn("arousal_band", band(F.col("arousal"), 0.3, 0.6)).withColumn("valence_band", valence_band(F.col("valence")))
+    rows = moods.join(small(headlines), ["arousal_band", "valence_band"], "left").join(told, key, "left").join(heard, key, "left").join(saw, key, "left")
+    no = F.lit(False)
+    heard_, saw_ = F.coalesce("heard", no), F.coalesce("saw", no)
+    mood = pick(F.col("lines"), F.col("valence") + F.col("arousal"))
+    notes = F.array(
+        F.when(F.col("people") > 0, F.concat(F.col("people").cast("string"), F.lit(" sounds were people talking and are ignored"))),
+        F.when(F.col("disagree"), F.concat(F.lit("picture and sound disagree: heard "), F.array_join("urgent", ", "))),
+        F.when(~heard_ & ~saw_, F.lit("nothing was seen or heard")).when(~heard_, F.lit("silent: read from movement alone")).when(~saw_, F.lit("nothing seen: read from the voice alone")),
+    )
+    none = F.array().cast("array<string>")
+    return rows.select(
+        *key, F.when(heard_ | saw_, F.coalesce("loudest", mood)).otherwise("Not much to go on right now.").alias("headline"),
+        F.coalesce("utterances", F.array().cast(told.schema["utterances"].dataType)).alias("utterances"), F.coalesce("urgent", none).alias("urgent"), heard_.alias("heard"), saw_.alias("saw"),
+        "valence", "arousal", F.when(heard_ | saw_, F.col("confidence")).otherwise(0.0).alias("confidence"), "disagree", F.array_compact(notes).alias("notes"),
+    )
+
+
 def advise(heard: DataFrame, seen: DataFrame, state: DataFrame, key: list[str], voice_rules: DataFrame, behaviour_rules: DataFrame, most: int = 6, least_seconds: float = 0.5) -> DataFrame:
     """key, rank, text, priority: at most ``most`` suggestions, by priority and then in the order they were found.
 
     heard: key, start, kind. seen: key, behaviour, seconds. state: key, valence, arousal, confidence, n_stress.
     Rules: kind or behaviour, place (order within it), text, priority. A text is given once, where it was found first.
     """
-    voice = heard.where(~F.col("kind").isin(NOT_THE_DOG)).join(F.broadcast(voice_rules), "kind")
+    voice = heard.where(~F.col("kind").isin(NOT_THE_DOG)).join(small(voice_rules), "kind")
     voice = voice.select(*key, "text", "priority", F.lit(0).alias("a"), F.col("start").cast("double").alias("b"), F.col("kind").alias("c"), "place")
-    acts = seen.where(F.col("seconds") >= least_seconds).join(F.broadcast(behaviour_rules), "behaviour")
+    acts = seen.where(F.col("seconds") >= least_seconds).join(small(behaviour_rules), "behaviour")
     acts = acts.select(*key, "text", "priority", F.lit(1).alias("a"), (-F.col("seconds")).alias("b"), F.col("behaviour").alias("c"), "place")
     sure = F.col("confidence") > 0.2
     low = sure & (F.col("valence") < -0.2)
@@ -208,7 +262,7 @@ def state_keys(behaviour: Column, voice: Column, arousal: Column, valence: Colum
 
 def resolve(states: DataFrame, table: DataFrame, id_: str, keys: str) -> DataFrame:
     """id, key, value of the first key that the table (key, value) has."""
-    tried = states.select(F.col(id_).alias("id"), F.posexplode(keys).alias("p", "key")).join(F.broadcast(table), "key")
+    tried = states.select(F.col(id_).alias("id"), F.posexplode(keys).alias("p", "key")).join(small(table), "key")
     return tried.groupBy("id").agg(F.min(F.struct("p", "key", "value")).alias("m")).select("id", "m.key", "m.value")
 
 

@@ -269,21 +269,27 @@ def overlapping_pairs(spans: DataFrame, key: list[str], id_: str, base: float) -
     return met.select(*key, *[pick(c, True).alias(f"a_{c}") for c in cols], *[pick(c, False).alias(f"b_{c}") for c in cols])
 
 
-def dedupe_utterances(df: DataFrame, key: list[str], order: list[str], gap: float = 1.5) -> DataFrame:
+def dedupe_utterances(df: DataFrame, key: list[str], order: list[str], gap: float = 1.5, carry: list[str] | None = None) -> DataFrame:
     """Drops a row whose text is that of the last kept row if it starts within ``gap`` of that one's end, which it extends.
 
     df: key, start, end, text and the ``order`` columns. Rows with equal neighbours form islands; the fold runs within one.
+    ``carry`` names further columns that a kept row brings along.
     """
     line = Window.partitionBy(*key).orderBy(*order)
     cut = F.lag("text").over(line).isNull() | (F.lag("text").over(line) != F.col("text"))
     islands = df.withColumn("__g", F.sum(cut.cast("int")).over(line))
-    listed = islands.groupBy(*key, "__g", "text").agg(F.array_sort(F.collect_list(F.struct(*order, F.col("start").alias("__s"), F.col("end").alias("__e")))).alias("rows"))
-    empty = F.array().cast("array<struct<start:double,end:double>>")
+    carry = carry or []
+    more = [F.col(c).alias(f"__{c}") for c in carry]
+    listed = islands.groupBy(*key, "__g", "text").agg(F.array_sort(F.collect_list(F.struct(*order, F.col("start").alias("__s"), F.col("end").alias("__e"), *more))).alias("rows"))
+    kinds = "".join(f",{c}:{df.schema[c].dataType.simpleString()}" for c in carry)
+    empty = F.array().cast(f"array<struct<start:double,end:double{kinds}>>")
 
     def step(a: Column, x: Column) -> Column:
         last = F.element_at(a, -1)
         near = (F.size(a) > 0) & (x["__s"] - F.when(F.size(a) > 0, last["end"]) < gap)
-        longer = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["__e"]).alias("end"))))
-        return F.when(near, longer).otherwise(F.concat(a, F.array(F.struct(x["__s"].alias("start"), x["__e"].alias("end")))))
+        kept = [last[c].alias(c) for c in carry]
+        longer = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["__e"]).alias("end"), *kept)))
+        new = F.struct(x["__s"].alias("start"), x["__e"].alias("end"), *[x[f"__{c}"].alias(c) for c in carry])
+        return F.when(near, longer).otherwise(F.concat(a, F.array(new)))
 
-    return listed.select(*key, "text", F.explode(F.aggregate("rows", empty, step)).alias("r")).select(*key, "text", "r.start", "r.end")
+    return listed.select(*key, "text", F.explode(F.aggregate("rows", empty, step)).alias("r")).select(*key, "text", "r.*")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Cells of the grid over [0, 1) that leads draws to buckets.
+CELLS = 4096
+
 
 def unit(*columns) -> Column:
     """A number in [0, 1) from a hash of the columns: the same for the same values anywhere."""
@@ -67,6 +70,18 @@ def draw_repeats(factors: DataFrame, seed: int = 0, epoch: int = 0) -> DataFrame
     return factors.select("id", F.explode(F.sequence(F.lit(1).cast("long"), whole + extra)).alias("copy"))
 
 
+def build_sampler(df: DataFrame, id_: str, labels: str, balanced: bool = True, multilabel: bool = True, seed: int = 0, epoch: int = 0) -> DataFrame | None:
+    """id, copy or draw: the epoch's rows by the sampler that the task calls for; None, for all rows once, if not balanced.
+
+    Several labels a row: repeats by the rarest of them. One label a row: as many weighted draws as there are rows.
+    """
+    if not balanced:
+        return None
+    if multilabel:
+        return draw_repeats(repeat_factors(df, id_, labels), seed, epoch)
+    return draw_weighted(class_balanced_weights(df, id_, labels), df.count(), seed * 1_000_003 + epoch)
+
+
 def class_balanced_weights(df: DataFrame, id_: str, labels: str) -> DataFrame:
     """id, weight: mean over a row's labels of 1 / count, 1 without labels, divided by their sum."""
     counts = label_counts(df, labels)
@@ -79,7 +94,8 @@ def class_balanced_weights(df: DataFrame, id_: str, labels: str) -> DataFrame:
 def draw_weighted(weights: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """draw, id: n draws with replacement, by each row's share of the line.
 
-    Rows get consecutive stretches of [0, 1) by two-level running sums; draws are dealt to the stretches' buckets.
+    Rows get consecutive stretches of [0, 1) by two-level running sums. A draw finds its bucket of rows through the cells of
+    an even grid, and its row as the last one that begins before it, in one ordered pass over the bucket.
     """
     rows = weights.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(1024)).cast("int"))
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -87,6 +103,12 @@ def draw_weighted(weights: DataFrame, n: int, seed: int = 0) -> DataFrame:
     inside = Window.partitionBy("b").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     line = rows.join(F.broadcast(offsets), "b").withColumn("high", F.sum("weight").over(inside) + F.col("m0")).withColumn("low", F.col("high") - F.col("weight"))
     draws = weights.sparkSession.range(n).select(F.col("id").alias("draw"), unit("id", F.lit(seed)).alias("u"))
+    cell = lambda x: F.floor(x * CELLS).cast("int")
     stretch = offsets.select("b", "m0", (F.col("m0") + F.col("m")).alias("m1"))
-    dealt = draws.join(F.broadcast(stretch), (F.col("u") >= F.col("m0")) & (F.col("u") < F.col("m1"))).select("draw", "u", "b")
-    return dealt.join(line, "b").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("draw", "id")
+    stretch = stretch.withColumn("cell", F.explode(F.sequence(cell(F.col("m0")), cell(F.col("m1")))))
+    dealt = draws.withColumn("cell", cell(F.col("u"))).join(F.broadcast(stretch), "cell").where((F.col("u") >= F.col("m0")) & (F.col("u") < F.col("m1")))
+    none = F.lit(None)
+    points = line.select("b", F.col("low").alias("at"), F.lit(0).alias("kind"), "id", none.cast("long").alias("draw"))
+    points = points.unionByName(dealt.select("b", F.col("u").alias("at"), F.lit(1).alias("kind"), none.cast(weights.schema["id"].dataType).alias("id"), "draw"))
+    so_far = Window.partitionBy("b").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    return points.withColumn("id", F.last("id", ignorenulls=True).over(so_far)).where("kind = 1").select("draw", "id")

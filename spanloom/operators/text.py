@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.joins import small
 from spanloom.operators.rules import state_keys
 from spanloom.schema import VOICE_KINDS
 
 #: The token pattern (ASCII by design) and the special tokens, in order.
 TOKEN = r"[a-z0-9']+|[.,!?;]"
 SPECIAL = ["<pad>", "<bos>", "<eos>", "<unk>"]
+#: Tokens of a vocabulary that travels with a function.
+MOST_SHIPPED = 100_000
 
 
 def tokens(text: Column) -> Column:
@@ -36,15 +42,43 @@ def vocabulary(df: DataFrame, text: str, min_count: int = 1) -> DataFrame:
 
 
 def encode(df: DataFrame, id_: str, text: str, vocab: DataFrame, special: bool = True) -> DataFrame:
-    """id, ids array<long>: unknown tokens as <unk>, within <bos> and <eos> if asked for."""
+    """id, ids array<long>: unknown tokens as <unk>, within <bos> and <eos> if asked for.
+
+    A vocabulary of at most MOST_SHIPPED tokens is sent to the tasks, a larger one is joined.
+    """
     unk, bos, eos = SPECIAL.index("<unk>"), SPECIAL.index("<bos>"), SPECIAL.index("<eos>")
-    rows = df.select(F.col(id_).alias("row"), F.posexplode_outer(tokens(F.col(text))).alias("p", "token"))
-    known = rows.join(vocab.select("token", "id"), "token", "left").select("row", "p", F.when(F.col("token").isNotNull(), F.coalesce("id", F.lit(unk))).alias("id"))
-    ids = known.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", "id")))), lambda x: x["id"]).alias("ids"))
+    known = vocab.where(~F.col("token").isin(SPECIAL)).select("token", "id")
+    shipped = known.limit(MOST_SHIPPED + 1).toArrow()
+    rows = df.select(F.col(id_).alias("row"), tokens(F.col(text)).alias("t"))
+    ids = looked_up(rows, shipped, unk) if len(shipped) <= MOST_SHIPPED else joined_up(rows, known, unk)
     ends = lambda x: F.concat(F.array(F.lit(bos).cast("long")), x, F.array(F.lit(eos).cast("long")))
     return ids.select(F.col("row").alias(id_), (ends(F.col("ids")) if special else F.col("ids")).alias("ids"))
 
 
+def looked_up(rows: DataFrame, vocab: pa.Table, unk: int) -> DataFrame:
+    """rows(row, t array<string>) -> row, ids, from a vocabulary that travels with the function: nothing is shuffled."""
+    names, numbers = vocab.column("token").combine_chunks(), vocab.column("id").to_numpy()
+
+    def run(batches):
+        for batch in batches:
+            t = batch.column(1)
+            at = pc.index_in(t.flatten(), value_set=names).to_numpy(zero_copy_only=False)
+            missing = np.isnan(at) if at.dtype.kind == "f" else np.zeros(len(at), bool)
+            ids = np.where(missing, unk, numbers[np.where(missing, 0, at).astype(np.int64)] if len(numbers) else unk)
+            sizes = np.concatenate([[0], np.cumsum(pc.list_value_length(t).fill_null(0).to_numpy())]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(sizes), pa.array(ids.astype(np.int64)))], ["row", "ids"])
+
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<long>")
+
+
+def joined_up(rows: DataFrame, vocab: DataFrame, unk: int) -> DataFrame:
+    """The same for a vocabulary of any size: tokens are joined to it, and each row's put together again."""
+    each = rows.withColumn("__u", F.monotonically_increasing_id()).select("__u", "row", F.posexplode_outer("t").alias("p", "token"))
+    known = each.join(vocab, "token", "left").select("__u", "row", "p", F.when(F.col("token").isNotNull(), F.coalesce("id", F.lit(unk))).alias("id"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", "id"))))
+    return known.groupBy("__u", "row").agg(F.transform(listed, lambda x: x["id"]).alias("ids")).select("row", "ids")
+
+
 def decode(token_list: Column) -> Column:
     """Words joined by spaces, none before punctuation, the first letter a capital; special tokens left out."""
     words = F.filter(token_list, lambda t: ~t.isin(SPECIAL))
@@ -59,6 +93,17 @@ def padded(ids: Column, length: int) -> Column:
     return F.struct(fill(F.slice(cut, 1, F.greatest(F.lit(0), F.size(cut) - 1))).alias("input"), fill(F.slice(cut, 2, F.greatest(F.lit(0), F.size(cut) - 1))).alias("target"))
 
 
+def question_answer(question: Column, answer: Column, length: int, separator: int) -> Column:
+    """struct<input,target> of token ids: <bos> question <sep> answer <eos> cut to length + 1 and shifted by one, filled
+    with 0. Targets before the separator are 0, so that only the answer is learned; if it was cut off, none are masked."""
+    one = lambda i: F.array(F.lit(i).cast("long"))
+    whole = F.slice(F.concat(one(SPECIAL.index("<bos>")), question, one(separator), answer, one(SPECIAL.index("<eos>"))), 1, length + 1)
+    pair = padded(whole, length)
+    at = F.when(F.array_contains(pair["input"], separator), F.array_position(pair["input"], separator).cast("int") - 1).otherwise(0)
+    hidden = F.transform(pair["target"], lambda x, i: F.when(i < at, F.lit(0).cast("long")).otherwise(x))
+    return F.struct(pair["input"].alias("input"), hidden.alias("target"))
+
+
 def corpus_stats(df: DataFrame, text: str) -> DataFrame:
     """n, distinct, distinct_ratio, vocabulary, mean_words, min_words, max_words; words are split at white space, lower-cased."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
@@ -138,7 +183,7 @@ def dialogue_grid(spark, behaviours: list[str], intents: list[str], arousals=(0.
 
 def compose_answers(grid: DataFrame, table: DataFrame) -> DataFrame:
     """Adds answer: of the first key that has lines for the intent (table: intent, key, lines array<string>), one by hash."""
-    tried = grid.select("*", F.posexplode("keys").alias("p", "key")).join(F.broadcast(table), ["intent", "key"])
+    tried = grid.select("*", F.posexplode("keys").alias("p", "key")).join(small(table), ["intent", "key"])
     row = ["behaviour", "voice", "arousal", "valence", "intent", "repeat"]
     found = tried.groupBy(*row).agg(F.min(F.struct("p", "lines")).alias("m"))
     line = choose(F.col("m.lines"), *[F.col(c).cast("string") for c in row])

@@ -95,9 +95,9 @@ def taxonomy(spark, sf_dir):
     return label_dim(spark)
 
 
-@register("tokenize", """SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9'']+|[.,!?;]')) AS BIGINT) AS n FROM documents WHERE lang = 'en'""")
+@register("tokenize", """SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9'']+|[.,!?;]')) AS BIGINT) AS n FROM documents""")
 def tokenize(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n"))
 
 
 VOCAB = """tk AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+|[.,!?;]')) AS token FROM conversations),
@@ -114,11 +114,10 @@ def vocabulary(spark, sf_dir):
 
 
 @register("encode_text", f"""WITH {VOCAB}, vi AS (SELECT token, row_number() OVER (ORDER BY token) + 3 AS id FROM vo), e AS (SELECT doc_id, sum(coalesce(id, 3)) AS s, count(*) AS n
-    FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+|[.,!?;]')) AS token FROM documents WHERE lang = 'en') LEFT JOIN vi USING (token) GROUP BY doc_id)
+    FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+|[.,!?;]')) AS token FROM documents) LEFT JOIN vi USING (token) GROUP BY doc_id)
     SELECT doc_id, CAST(s + 3 AS BIGINT) AS id_sum, n + 2 AS n FROM e""")
 def encode_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    ids = text.encode(docs, "doc_id", "text", vocab(spark, sf_dir))
+    ids = text.encode(table(spark, sf_dir, "documents"), "doc_id", "text", vocab(spark, sf_dir))
     return ids.select("doc_id", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"), F.size("ids").cast("long").alias("n"))
 
 

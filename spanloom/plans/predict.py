@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.config import Config, Inference
 from spanloom.operators import dedup, rules, spans as sp, splits
+from spanloom.operators.joins import small
 from spanloom.schema import AROUSAL_FLAGS, affect_dim
 from spanloom.sources.annotations import group_key, write_annotations, write_labels
 
@@ -20,7 +21,7 @@ def predict_spans(scores: DataFrame, thresholds: DataFrame | None = None, settin
     settings = settings or Inference()
     smooth = sp.median_smooth(scores, ["video", "class"], "w", "score", settings.smooth).drop("score").withColumnRenamed("smooth", "score")
     if thresholds is not None:
-        smooth = smooth.join(F.broadcast(thresholds), "class", "left")
+        smooth = smooth.join(small(thresholds), "class", "left")
         limit = F.coalesce("threshold", F.lit(settings.threshold))
     else:
         limit = F.lit(settings.threshold)

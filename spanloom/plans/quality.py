@@ -112,37 +112,60 @@ def dhash_bits(spark, sf_dir):
     return signatures(spark, sf_dir).select("id", F.bit_count(F.col("words")[0]).alias("ones"), F.shiftrightunsigned(F.col("words")[0], 1).alias("word"))
 
 
-PAIRS = f"{BITS}, np AS (SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.w, b.w)) AS INT) AS distance FROM sg a JOIN sg b ON a.id < b.id AND bit_count(xor(a.w, b.w)) <= 16)"
+COPIES = 1000000
 
 
-@register("near_duplicate_pairs_d6", f"WITH {PAIRS} SELECT * FROM np WHERE distance <= 6")
-def near_duplicate_pairs_d6(spark, sf_dir):
-    return dedup.near_pairs(signatures(spark, sf_dir), "id", "words", 63, 6)
+def clips(spark, sf_dir):
+    """Vectors as clips of eight frames of 64 difference bits, and an edited copy of every second one: id, words."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("e"))
+    edited = F.transform("e", lambda x, i: F.when(i == F.col("id") % 64, -x).otherwise(x))
+    both = rows.unionByName(rows.where("id % 2 = 0").select((F.col("id") + COPIES).alias("id"), edited.alias("e")))
+    frame = lambda k: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (F.get("e", (i + k) % 64) > F.get("e", i)).cast("int"))
+    return both.select("id", dedup.pack_bits(F.concat(*[frame(k) for k in range(1, 9)]), 512).alias("words"))
 
 
-@register("near_duplicate_pairs_d16", f"WITH {PAIRS} SELECT * FROM np")
-def near_duplicate_pairs_d16(spark, sf_dir):
-    return dedup.near_pairs(signatures(spark, sf_dir), "id", "words", 63, 16)
+PAIRS = f"""cv AS (SELECT vec_id AS id, embedding AS e FROM embeddings UNION ALL
+  SELECT vec_id + {COPIES}, list_transform(range(1, 65), lambda i: CASE WHEN i = vec_id % 64 + 1 THEN -embedding[i] ELSE embedding[i] END) FROM embeddings WHERE vec_id % 2 = 0),
+fr AS (SELECT id, k, list_reduce(list_transform(range(0, 64), lambda i: CAST(CASE WHEN e[(i + k) % 64 + 1] > e[i + 1] THEN 1 ELSE 0 END AS HUGEINT)), lambda a, b: a * 2 + b) AS h FROM cv, range(1, 9) t(k)),
+sg AS (SELECT id, list(CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) ORDER BY k) AS w FROM fr GROUP BY id),
+ap AS (SELECT a.id AS a, b.id AS b, CAST(list_sum(list_transform(range(1, 9), lambda i: bit_count(xor(a.w[i], b.w[i])))) AS INT) AS distance FROM sg a JOIN sg b ON a.id < b.id)"""
 
 
-@register(
-    "duplicate_components",
-    f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM np UNION SELECT b, a FROM np), r AS (SELECT id AS x, id AS y FROM sg UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
-    SELECT x AS "group", min(y) AS canonical FROM r GROUP BY x""",
-)
+def classes_sql(distance: int) -> str:
+    return f"""{PAIRS}, np AS (SELECT a, b FROM ap WHERE distance <= {distance}), e AS (SELECT a, b FROM np UNION SELECT b, a FROM np),
+    r AS (SELECT id AS x, id AS y FROM sg UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a), cl AS (SELECT x AS id, min(y) AS class_id FROM r GROUP BY x),
+    nl AS (SELECT a AS id, count(*) AS n FROM e GROUP BY a)"""
+
+
+CLASSES = "SELECT cl.id, class_id, coalesce(n, 0) AS n_links FROM cl LEFT JOIN nl ON cl.id = nl.id"
+
+
+@register("near_duplicate_classes_d6", f"WITH RECURSIVE {classes_sql(6)} {CLASSES}")
+def near_duplicate_classes_d6(spark, sf_dir):
+    return dedup.near_classes(clips(spark, sf_dir), "id", "words", 512, 6)
+
+
+@register("near_duplicate_classes_d16", f"WITH RECURSIVE {classes_sql(16)} {CLASSES}")
+def near_duplicate_classes_d16(spark, sf_dir):
+    return dedup.near_classes(clips(spark, sf_dir), "id", "words", 512, 16)
+
+
+@register("duplicate_components", f"""WITH RECURSIVE {classes_sql(16)} SELECT id AS "group", class_id AS canonical FROM cl""")
 def duplicate_components(spark, sf_dir):
-    rows = signatures(spark, sf_dir).select("id", F.col("id").alias("grp"), "words")
-    return dedup.merge_duplicate_groups(rows, "grp", "id", "words", 63, 16)
+    rows = clips(spark, sf_dir).select("id", F.col("id").alias("grp"), "words")
+    return dedup.merge_duplicate_groups(rows, "grp", "id", "words", 512, 16)
 
 
 @register(
     "cross_split_duplicates",
-    f"WITH {PAIRS} SELECT a, b, distance FROM np WHERE (a % 4 = 0) <> (b % 4 = 0)",
+    f"""WITH RECURSIVE {classes_sql(16)} SELECT class_id, count(*) AS n, string_agg(DISTINCT CASE WHEN id % 3 = 0 THEN 'val' ELSE 'train' END, ',' ORDER BY CASE WHEN id % 3 = 0 THEN 'val' ELSE 'train' END) AS splits
+    FROM cl GROUP BY class_id HAVING count(DISTINCT id % 3 = 0) > 1""",
 )
 def cross_split_duplicates(spark, sf_dir):
-    rows = signatures(spark, sf_dir)
-    owners = rows.select("id", F.when(F.col("id") % 4 == 0, "val").otherwise("train").alias("split"))
-    return audit.cross_split_duplicates(dedup.near_pairs(rows, "id", "words", 63, 16), owners).select("a", "b", "distance")
+    rows = clips(spark, sf_dir)
+    owners = rows.select("id", F.when(F.col("id") % 3 == 0, "val").otherwise("train").alias("split"))
+    found = audit.cross_split_duplicates(dedup.near_classes(rows, "id", "words", 512, 16), owners)
+    return found.select("class_id", "n", F.array_join("splits", ",").alias("splits"))
 
 
 @register("text_exact_duplicates", "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1")

@@ -97,6 +97,20 @@ def read_annotations(spark: SparkSession, path: str, root: str | None = None) ->
     ).drop("unmapped")
 
 
+def discover_split(spark: SparkSession, root: str, split: str) -> DataFrame:
+    """The annotations of a split under a folder: root/split.jsonl, else root/split.json, else the folders of root/split."""
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for name in (f"{split}.jsonl", f"{split}.json"):
+        at = paths(f"{root.rstrip('/')}/{name}")
+        if at.getFileSystem(conf).exists(at):
+            return read_annotations(spark, f"{root.rstrip('/')}/{name}", root)
+    at = paths(f"{root.rstrip('/')}/{split}")
+    if at.getFileSystem(conf).exists(at):
+        return annotations_of(read_folders(spark, f"{root.rstrip('/')}/{split}"))
+    raise FileNotFoundError(f"{root} has no {split}.jsonl, {split}.json or {split}/")
+
+
 def write_annotations(df: DataFrame, path: str) -> None:
     """JSON Lines; null fields, weight 1 and an empty meta are left out, times have four decimals."""
     meta = F.when(F.size("meta") > 0, F.col("meta"))
@@ -175,26 +189,31 @@ def read_label_studio(spark: SparkSession, path: str, mapping: dict[str, str] |
 
 
 def read_cvat(spark: SparkSession, path: str, mapping: dict[str, str] | None = None, keep_unmapped: bool = False, fps: float = 30.0) -> DataFrame:
-    """XML of one video: tags on frames become runs per label, tracks the range of their boxes that are not outside."""
-    xml = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    """XML, a video per file: tags on frames become runs per label, tracks the range of their boxes that are not outside.
+
+    Every element is joined to its own file's head, so a folder of exports is read at once.
+    """
+    reader = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    xml = lambda tag, schema: reader(tag, schema).withColumn("file", F.col("_metadata.file_path"))
     meta = xml("annotations", "meta struct<source: string, task: struct<name: string, source: string, fps: double>>")
     task = meta.select(
-        F.coalesce("meta.source", "meta.task.source", "meta.task.name", F.lit("video")).alias("video"), F.coalesce(F.nullif(F.col("meta.task.fps"), F.lit(0.0)), F.lit(fps)).alias("fps")
+        "file", F.coalesce("meta.source", "meta.task.source", "meta.task.name", F.lit("video")).alias("video"), F.coalesce(F.nullif(F.col("meta.task.fps"), F.lit(0.0)), F.lit(fps)).alias("fps")
     )
+
     def labelled(df: DataFrame) -> DataFrame:
         labels, lost = map_labels(F.array("_label"), mapping, keep_unmapped)
         return df.withColumn("l", labels).withColumn("u", lost)
 
     tags = labelled(xml("tag", "_label string, _frame long").where("_label IS NOT NULL AND _frame IS NOT NULL"))
-    runs = frame_runs(tags.select(F.explode("l").alias("name"), F.col("_frame").alias("frame")), ["name"], "frame")
-    spans = runs.select(F.array("name").alias("l"), "first", "last")
+    runs = frame_runs(tags.select("file", F.explode("l").alias("name"), F.col("_frame").alias("frame")), ["file", "name"], "frame")
+    spans = runs.select("file", F.array("name").alias("l"), "first", "last")
     tracks = labelled(xml("track", "_label string, box array<struct<_frame: long, _outside: string>>").where("_label IS NOT NULL"))
     seen = F.transform(F.filter("box", lambda b: F.coalesce(b["_outside"], F.lit("0")) != "1"), lambda b: F.coalesce(b["_frame"], F.lit(0)))
-    boxes = tracks.where(F.size("l") > 0).select("l", F.array_min(seen).alias("first"), F.array_max(seen).alias("last")).where("first IS NOT NULL")
-    lost = tags.select("u").unionByName(tracks.select("u")).where(F.size("u") > 0)
+    boxes = tracks.where(F.size("l") > 0).select("file", "l", F.array_min(seen).alias("first"), F.array_max(seen).alias("last")).where("first IS NOT NULL")
+    lost = tags.select("file", "u").unionByName(tracks.select("file", "u")).where(F.size("u") > 0)
     all_ = spans.unionByName(boxes).withColumn("u", F.array().cast("array<string>"))
-    all_ = all_.unionByName(lost.select(F.lit(None).cast("array<string>").alias("l"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), "u"))
-    rows = all_.crossJoin(F.broadcast(task))
+    all_ = all_.unionByName(lost.select("file", F.lit(None).cast("array<string>").alias("l"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), "u"))
+    rows = all_.join(task, "file")
     return shaped(
         rows, video=F.col("video"), labels=F.col("l"), unmapped=F.col("u"), start=F.col("first") / F.col("fps"), end=(F.col("last") + 1) / F.col("fps"), group=stem(F.col("video")),
         meta=F.create_map(F.lit("source"), F.lit("cvat")),

@@ -3,29 +3,79 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the tables written and not yet deleted, oldest first.
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, else the context's checkpoint folder, else a temporary one (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+    """spark.checkpoint.dir of the session, else the context's checkpoint folder; on a local master else a temporary one.
+
+    A cluster without either raises, as a folder of the driver's machine would lose the executors' rows.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    kept = context._jsc.sc().getCheckpointDir()
     if not found and kept.isDefined():
         found = kept.get()
     elif not found:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spanloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
     if not kept.isDefined():
-        spark.sparkContext.setCheckpointDir(found)
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes the frame to the shared folder and reads it back: lineage ends there, and no executor's loss undoes it."""
+    """Writes the frame to the shared folder and reads it back: lineage ends there, and no executor's loss undoes it.
+
+    The table stays until release() or the end of a scratch() around the call.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._spanloom_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the table of a frame that saved() returned; frames made from it cannot be read any more."""
+    path = getattr(df, "_spanloom_path", None)
+    if path in _written:
+        _written.remove(path)
+        delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes every table that saved() has written: for callers that have taken or written their results."""
+    while _written:
+        delete(spark, _written.pop())
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes the tables written within, but for those of frames put into the list that it gives."""
+    before, keep = set(_written), []
+    try:
+        yield keep
+    finally:
+        kept = {getattr(df, "_spanloom_path", None) for df in keep}
+        for path in [p for p in _written if p not in before and p not in kept]:
+            _written.remove(path)
+            delete(spark, path)

@@ -8,27 +8,35 @@ from spanloom.operators import audit, dedup, rules, splits, text
 from spanloom.schema import affect_dim, label_dim, voice_dim
 
 
-def test_hamming_and_bands(spark):
+def brute_classes(words, distance, bits):
+    far = lambda a, b: sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(a, b, strict=True))
+    linked = {a: [b for b in words if b != a and far(words[a], words[b]) <= distance] for a in words}
+    least = {a: a for a in words}
+    for _ in words:
+        for a, others in linked.items():
+            least[a] = min([least[a], *(least[b] for b in others)])
+    return sorted((a, least[a], len(linked[a])) for a in words)
+
+
+def test_hamming_classes(spark):
     rows = [("a", [0, 0]), ("b", [0, 15]), ("c", [0, 0]), ("d", [-1, -1])]
     df = spark.createDataFrame(rows, "k string, w array<long>")
-    pairs = lambda d: sorted(tuple(r) for r in dedup.near_pairs(df, "k", "w", 128, d).collect())
-    assert pairs(0) == [("a", "c", 0)]
-    assert pairs(3) == [("a", "c", 0)]
-    assert pairs(4) == [("a", "b", 4), ("a", "c", 0), ("b", "c", 4)]
+    for d in (0, 3, 4):
+        assert sorted(map(tuple, dedup.near_classes(df, "k", "w", 128, d).collect())) == brute_classes(dict(rows), d, 128)
+    assert dedup.near_classes(df.limit(0), "k", "w", 128, 3).count() == 0
 
 
-def test_banded_join_is_lossless(spark):
+def test_banded_join_is_lossless(spark, monkeypatch):
     r = random.Random(1)
     base = [r.getrandbits(63) for _ in range(12)]
     words = {i: base[i % 12] ^ sum(1 << r.randrange(63) for _ in range(r.randrange(5))) for i in range(90)}
     words = {i: (w & (1 << 63) - 1) << 1 for i, w in words.items()}
-    words = {i: w - (1 << 64) if w >= 1 << 63 else w for i, w in words.items()}
-    df = spark.createDataFrame([(i, [w]) for i, w in words.items()], "k long, w array<long>")
-    for d in (2, 6):
-        got = sorted((x.a, x.b) for x in dedup.near_pairs(df, "k", "w", 63, d).collect())
-        assert got == sorted((a, b) for a in words for b in words if a < b and bin((words[a] ^ words[b]) & (1 << 64) - 1).count("1") <= d)
-    links = dedup.near_links(df, "k", "w", 63, 6).collect()
-    assert len(links) <= 90 * 90
+    words = {i: [w - (1 << 64) if w >= 1 << 63 else w] for i, w in words.items()}
+    df = spark.createDataFrame(list(words.items()), "k long, w array<long>")
+    for d, block, batch in ((2, 1024, 20_000), (6, 1024, 20_000), (6, 3, 50)):
+        monkeypatch.setattr(dedup, "BLOCK", block)
+        monkeypatch.setattr(dedup, "BATCH", batch)
+        assert sorted(map(tuple, dedup.near_classes(df, "k", "w", 63, d).collect())) == brute_classes(words, d, 63)
 
 
 def test_merge_groups_takes_the_least(spark):
