@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from spanloom.llm import bpe, decontaminate, langid, near, secrets
-from spanloom.llm.common import saved
+from spanloom.llm.common import one_row_each, row_key, saved
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__uid", F.xxhash64("doc_id", "text"))
+    return docs.withColumn("__uid", row_key("doc_id", "text"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each class of near duplicates the document with the least doc_id, and one row of it."""
     kept = near.jaccard_classes(docs).where("uid = class_uid").select(F.col("uid").alias("__uid")).distinct()
-    one = Window.partitionBy("__uid").orderBy(F.lit(1))
-    return keyed(docs).join(kept, "__uid").withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
+    rows = docs.select(row_key("doc_id", "text").alias("__uid"), F.struct(*docs.columns).alias("__row"))
+    return one_row_each(rows, "__uid").join(kept, "__uid", "left_semi").select("__row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

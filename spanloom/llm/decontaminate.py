@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import saved, words_of
+from spanloom.llm.common import row_key, saved, words_of
 
 WINDOW = 10
 BROADCAST_WORDS = 200_000
@@ -59,11 +59,11 @@ def with_prefix(windows: DataFrame, docs: DataFrame, small: bool) -> DataFrame:
 def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS) -> tuple[DataFrame, DataFrame]:
     """(every row's uid, doc_id, words; of the uids with hits their spans array<struct<start,len>>, items array<string>, n_hit).
 
-    uid is a hash of doc_id and text: repeated rows share it, and their hits.
+    uid is the key of doc_id and text: repeated rows share it, and their hits; a null id or text differs from any string.
     """
     n_item_words = items.select(F.sum(F.size(words_of(F.col("text"))))).first()[0] or 0
     small = n_item_words <= broadcast_words
-    keyed = saved(docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", words_of(F.col("text")).alias("words")), "words")
+    keyed = saved(docs.select(row_key("doc_id", "text").alias("uid"), "doc_id", words_of(F.col("text")).alias("words")), "words")
     prefix = saved(with_prefix(item_windows(items, window), keyed, small), "prefix")
     placed = keyed.select("uid", "words", F.posexplode("words").alias("pos", "word")).withColumn("k", F.xxhash64("word"))
     size = F.size("gram")

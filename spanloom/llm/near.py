@@ -4,36 +4,50 @@ Sets hold the hashes of five consecutive words ([0-9a-z] and non-ASCII character
 n-gram of all of them. Texts with equal sets are one node, so copies of any number cost one row each and no pairs.
 Rows and bands are chosen so that a pair at the threshold shares a band with probability ``recall``.
 
-Nodes that share a band bucket are linked to the bucket's least node, which is linear in the bucket; components of these
-links hold every candidate pair. A component is dealt into blocks of bounded total size, and each pair of blocks is one
-task, where exact intersections of all its nodes are a matrix product: no pair becomes a row, and no group becomes one
-task. A task returns, per node, the documents linked to it and its root in that task's links; a second run of components
-joins the roots of components that had several blocks.
+1. Parts. The hub of a band bucket is its least node. A node is linked to the least of its hubs, and the other hubs to that
+   one: at most a link per node and one per pair of hubs. Components of these links, the parts, hold every candidate pair.
+2. Pivots. A part's pivot is the node whose buckets hold most nodes. Every other node keeps only the n-grams in which it
+   differs from the pivot (delta): one row per node, whatever the size of the part.
+3. Counts. |A+B|, the size of the symmetric difference, is a metric, and J(A, B) >= p/q says (q+p) |A+B| <= (q-p) (|A|+|B|).
+   With u(A) = (q-p) |A| - (q+p) |delta A|, a pair with u(A) + u(B) >= 0 is linked by the triangle inequality. These links
+   are counted by running sums over the different values of u in the part, with no pair formed.
+4. Blocks. The other pairs, u(A) + u(B) < 0, are linked if (q+p) 2 |delta A & delta B| makes up what is missing. A part
+   is dealt into blocks of bounded size, and a pair of blocks is one task, in which overlaps of all its nodes are a matrix
+   product. Linked nodes lie in the same or in neighbouring rings of distance from the pivot, so other block pairs are
+   not formed, nor are those of two blocks of u >= 0. No pair becomes a row, and no group becomes one task.
+5. Classes. Links to the pivot, and in each task the links of each node to its root there, are edges of a second run of
+   components.
+
+Rows are linear in the nodes, but for those of nodes with u < 0 in a part of more than BLOCK_NODES nodes: such a node has
+a row of its delta for each block of its own and the neighbouring rings.
 
 Result: class_id, the least doc_id of the documents connected through pairs of Jaccard >= threshold, and n_links, the
-exact number of other documents in such a pair with this one (copies included).
+number of other documents in such a pair with this one (copies included), exact within parts.
 
 Edge cases: null text or text without words is alone: class_id is its doc_id, n_links 0. Null ids take part; the class id
-is null only if all ids of the class are. Repeated rows are copies.
+is null only if all ids of the class are. Repeated rows are copies. A null id or text differs from any string.
 """
 
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.arrowio import as_bytes, bounded, slices
-from spanloom.llm.common import saved
+from spanloom.llm.common import one_row_each, row_key, saved
 from spanloom.llm.textnum import ALNUM, FOLDED_VALUES, Powers, mix, span_hashes, windows, word_bounds
 from spanloom.operators.graph import components
 
 NGRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
-#: A block's bounds: nodes, and n-grams in all.
-BLOCK_NODES, BLOCK_GRAMS = 256, 200_000
+#: A block's bounds: nodes, and n-grams of their deltas in all. Nodes that meet one copy of their pivot.
+BLOCK_NODES, BLOCK_GRAMS, SALT_NODES = 1024, 400_000, 256
+#: Columns of an intersection with at most this many entries are counted pair by pair, others by a matrix product.
+LIGHT = 48
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -74,9 +88,10 @@ class Shingler:
         return out
 
 
-def node_of(grams: np.ndarray) -> int:
-    """A 64-bit name of the set, as a signed integer."""
-    return int((mix(grams ^ np.uint64(0xA0761D6478BD642F)).sum(keepdims=True) + np.uint64(len(grams))).view(np.int64)[0])
+def node_of(grams: np.ndarray) -> bytes:
+    """A 128-bit name of the set."""
+    n = np.uint64(len(grams))
+    return b"".join((mix(grams ^ np.uint64(seed)).sum(keepdims=True) + n).tobytes() for seed in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
 def band_hashes(grams: np.ndarray, bands: int, rows: int, multipliers: np.ndarray, shifts: np.ndarray) -> np.ndarray:
@@ -89,7 +104,7 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int, multipliers: np.ndarra
 
 
 def sketch(docs: DataFrame, ngram: int, bands: int, rows: int) -> DataFrame:
-    """docs(uid, doc_id, text) -> uid, doc_id, node (null without words), n_grams, bands array<long>."""
+    """docs(uid, doc_id, text) -> uid, doc_id, name of the set (null without words), n_grams, bands array<long>."""
 
     def run(batches):
         shingler, rng = Shingler(ngram), np.random.default_rng(11)
@@ -104,12 +119,12 @@ def sketch(docs: DataFrame, ngram: int, bands: int, rows: int) -> DataFrame:
                     sizes.append(len(grams))
                     found.append(band_hashes(grams, bands, rows, multipliers, shifts) if len(grams) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
-                ["uid", "doc_id", "node", "n_grams", "bands"],
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                ["uid", "doc_id", "name", "n_grams", "bands"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return bounded(docs.select("uid", "doc_id", "text")).mapInArrow(run, f"uid long, doc_id {kind}, node long, n_grams long, bands array<long>")
+    return bounded(docs.select("uid", "doc_id", "text")).mapInArrow(run, f"uid binary, doc_id {kind}, name binary, n_grams long, bands array<long>")
 
 
 def gram_sets(rows: DataFrame, ngram: int) -> DataFrame:
@@ -128,85 +143,156 @@ def gram_sets(rows: DataFrame, ngram: int) -> DataFrame:
 
 
 def intersections(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """float64 n x n sizes of the pairwise intersections of n sets given as (value, row) entries."""
-    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    rows, column = rows[shared], column[shared]
-    _, column = np.unique(column, return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    rows, column = rows[order], column[order]
-    total = np.zeros((n, n))
-    width = max(256, min(1 << 14, (1 << 22) // n))
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, [first, first + width])
-        dense = np.zeros((n, width), np.float32)
-        dense[rows[a:b], column[a:b] - first] = 1
+    """float64 n x n sizes of the pairwise intersections of n sets given as (value, row) entries; the diagonal is not set."""
+    order = np.argsort(values, kind="stable")
+    values, rows = values[order], rows[order]
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(values)))
+    total = np.zeros(n * n)
+    for k in np.unique(times[(times > 1) & (times <= LIGHT)]):
+        at = first[times == k]
+        step = max(1, (1 << 21) // int(k * k))
+        for part in range(0, len(at), step):
+            members = rows[at[part : part + step, None] + np.arange(k)]
+            pairs = (members[:, :, None] * n + members[:, None, :]).ravel()
+            total += np.bincount(pairs, minlength=n * n)
+    total = total.reshape(n, n)
+    heavy = np.flatnonzero(times > LIGHT)
+    width = max(256, min(1 << 14, (1 << 22) // max(n, 1)))
+    for part in range(0, len(heavy), width):
+        some = heavy[part : part + width]
+        dense = np.zeros((n, len(some)), np.float32)
+        for column, k in enumerate(some):
+            dense[rows[first[k] : first[k] + times[k]], column] = 1
         total += dense @ dense.T
     return total
 
 
-def verify(threshold: float):
-    """The function of one block pair: per node, the documents linked to it and its root."""
+def verify(weight_of_overlap: int):
+    """The function of one pair of blocks: of nodes with links there, the documents linked to each and its root.
+
+    Counts pairs with u + u < 0 whose deltas overlap enough; those with u + u >= 0 are counted elsewhere.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
-        side = table.column("block").to_numpy()
+        table = table.take(pa.array(np.argsort(table.column("node").to_numpy(), kind="stable")))
+        side = table.column("side").to_numpy()
         weight = table.column("weight").to_numpy().astype(np.float64)
-        grams = table.column("grams").combine_chunks()
-        lengths = np.diff(grams.offsets.to_numpy())
-        values = grams.flatten().to_numpy()
-        inter = intersections(values, np.repeat(np.arange(len(node)), lengths), len(node))
-        linked = inter >= threshold * (lengths[:, None] + lengths[None, :] - inter) - 1e-9
+        u = table.column("u").to_numpy()
+        delta = table.column("delta").combine_chunks()
+        lengths = np.diff(delta.offsets.to_numpy())
+        n = len(side)
+        inter = intersections(delta.flatten().to_numpy(), np.repeat(np.arange(n), lengths), n)
+        missing = u[:, None] + u[None, :]
+        linked = (missing < 0) & (missing + weight_of_overlap * inter >= 0)
         np.fill_diagonal(linked, False)
-        if table.column("one")[0].as_py() != table.column("two")[0].as_py():
+        if side.min() != side.max():
             linked &= side[:, None] != side[None, :]
         links = (linked @ weight).astype(np.int64)
-        root = node.copy()
+        root = np.arange(n)
         while True:
-            least = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max))
+            least = np.minimum(root, np.where(linked, root[None, :], n).min(1, initial=n))
+            least = np.minimum(least, least[least])
             if (least == root).all():
                 break
             root = least
-        return pa.table({"node": pa.array(node), "links": pa.array(links), "root": pa.array(root), "blocks": table.column("blocks")})
+        node = table.column("node")
+        found = np.flatnonzero(links)
+        return pa.table({"node": node.take(pa.array(found)), "links": pa.array(links[found]), "root": node.take(pa.array(root[found]))})
 
     return run
 
 
+def hub_links(nodes: DataFrame) -> DataFrame:
+    """nodes(node, bands) -> node, hub (its least one), hubs (all), score (nodes in its buckets): those that share a bucket."""
+    buckets = nodes.select("node", F.explode("bands").alias("band"))
+    hubs = buckets.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
+    return buckets.join(hubs, "band").groupBy("node").agg(F.min("hub").alias("hub"), F.collect_set("hub").alias("hubs"), F.sum("size").alias("score"))
+
+
+def measured(members: DataFrame, ngram: int, p: int, q: int) -> DataFrame:
+    """members(part, node, weight, score, text) -> part, node, pivot, weight, u, reach, ring, delta: a row per node.
+
+    reach is (q-p) times the n-grams of the pivot, its own u and so the largest of the part.
+    """
+    sets = saved(gram_sets(members, ngram), "grams")
+    heads = sets.groupBy("part").agg(F.max(F.struct("score", "node")).alias("head"), F.ceil(F.count("*") / SALT_NODES).cast("int").alias("salts"))
+    heads = heads.select("part", F.col("head.node").alias("pivot"), "salts")
+    base = sets.select("part", F.col("node").alias("pivot"), F.col("grams").alias("base")).join(heads, ["part", "pivot"])
+    base = base.select("part", "pivot", "base", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    dealt = sets.join(heads.select("part", "salts"), "part").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), "salts").cast("int"))
+    delta = F.concat(F.array_except("grams", "base"), F.array_except("base", "grams"))
+    rows = dealt.join(base, ["part", "salt"]).select("part", "node", "pivot", "weight", F.size("grams").alias("n"), F.size("base").alias("g"), delta.alias("delta"))
+    u = (q - p) * F.col("n").cast("long") - (q + p) * F.size("delta")
+    ring = F.floor(F.log((F.size("delta") + F.col("g")) / F.col("g")) / math.log(q / p) + 1e-9) + 1 if p < q else F.lit(1)
+    return rows.select(
+        "part", "node", "pivot", "weight", u.alias("u"), ((q - p) * F.col("g").cast("long")).alias("reach"), F.when(u >= 0, 0).otherwise(ring).cast("int").alias("ring"), "delta"
+    )
+
+
+def counted_links(rows: DataFrame) -> DataFrame:
+    """node, links: documents b of the part with u(a) + u(b) >= 0, without the node's own."""
+    values = rows.groupBy("part", "u").agg(F.sum("weight").alias("w"))
+    points = values.select("part", F.col("u").alias("v"), "w").unionByName(values.select("part", (-F.col("u")).alias("v"), F.lit(0).cast("long").alias("w")))
+    above = Window.partitionBy("part").orderBy(F.desc("v")).rangeBetween(Window.unboundedPreceding, 0)
+    points = points.groupBy("part", "v").agg(F.sum("w").alias("w")).withColumn("near", F.sum("w").over(above)).where("near > 0")
+    own = F.when(F.col("u") >= 0, F.col("weight")).otherwise(0)
+    return rows.select("part", "node", "u", "weight").join(points.select("part", (-F.col("v")).alias("u"), "near"), ["part", "u"]).select("node", (F.col("near") - own).alias("links"))
+
+
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """The rows of parts that the counts leave open, once per pair of blocks: one, two, side, node, weight, u, delta."""
+    shape = rows.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.size("delta")).alias("grams"), F.sum((F.col("u") < 0).cast("long")).alias("far"))
+    shape = shape.where("far > 0 AND n > 2").select("part", ((F.col("n") <= BLOCK_NODES) & (F.col("grams") <= BLOCK_GRAMS)).alias("small"))
+    open_ = rows.where(F.size("delta") > 0).join(shape, "part").withColumn("ring", F.when(F.col("small"), 1).otherwise(F.col("ring")))
+    blocks = open_.groupBy("part", "ring").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum(F.size("delta")) / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    rings = blocks.groupBy("part").agg(F.collect_list(F.struct("ring", "blocks")).alias("rings"))
+    own = F.col("ring")
+    # ring 0 holds u >= 0, which may lie at the distances of rings 1 and 2; its own pairs are counted
+    meets = F.filter("rings", lambda x: F.when(own == 0, x["ring"].between(1, 2)).when(x["ring"] == 0, own <= 2).otherwise(F.abs(x["ring"] - own) <= 1))
+    meets = F.transform(meets, lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda b: F.struct(x["ring"].alias("ring"), b.alias("block"))))
+    targets = blocks.join(rings, "part").select("part", "ring", "blocks", F.flatten(meets).alias("targets"))
+    placed = open_.join(targets, ["part", "ring"]).withColumn("mine", F.struct("ring", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int").alias("block")))
+    dealt = placed.select("part", "mine", F.explode("targets").alias("other"), "node", "weight", "u", "delta")
+    side = F.shiftleft(F.col("mine.ring").cast("long"), 32) + F.col("mine.block")
+    return dealt.select("part", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), side.alias("side"), "node", "weight", "u", "delta")
+
+
 def jaccard_classes(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """docs(doc_id, text) -> uid (xxhash64 of doc_id and text), doc_id, class_uid, class_id, n_links: a row per row."""
+    """docs(doc_id, text) -> uid (key of doc_id and text), doc_id, class_uid, class_id, n_links: a row per row.
+
+    The threshold is taken as the nearest fraction with a denominator of at most 1000.
+    """
     bands, rows = banding(threshold, recall)
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text")
+    exact = Fraction(threshold).limit_denominator(1000)
+    p, q = exact.numerator, exact.denominator
+    keyed = docs.select(row_key("doc_id", "text").alias("uid"), "doc_id", "text")
     sketches = saved(sketch(keyed, ngram, bands, rows), "sketch")
-    nodes = sketches.where("node IS NOT NULL").groupBy("node").agg(
-        F.count("*").alias("weight"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("least"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")
-    )
-    nodes = saved(nodes.select("node", "weight", F.col("least.doc_id").alias("first_id"), F.col("least.uid").alias("uid"), "n_grams", "bands"), "nodes")
-    buckets = nodes.select("node", F.explode("bands").alias("band"))
-    hubs = buckets.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("band", "hub")
-    edges = buckets.join(hubs, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    parts = components(edges).withColumnRenamed("label", "part")
-    sized = parts.join(nodes.select("node", "n_grams"), "node").groupBy("part").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams"))
-    sized = sized.select("part", F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    members = nodes.select("node", "uid", "weight").join(parts, "node").join(sized, "part").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
-    texts = keyed.select("uid", "text").join(members, "uid").dropDuplicates(["node"])
-    blocks = gram_sets(texts.select("node", "part", "weight", "blocks", "block", "text"), ngram)
-    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "part", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "blocks", "block", "node", "weight", "grams"
+    nodes = sketches.where("name IS NOT NULL").groupBy("name").agg(
+        F.count("*").alias("weight"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("least"), F.first("bands").alias("bands")
     )
-    checked = saved(dealt.groupBy("part", "one", "two").applyInArrow(verify(threshold), "node long, links long, root long, blocks int"), "checked")
-    links = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    alone = checked.where("blocks = 1").select("node", F.col("root").alias("class"))
-    several = components(checked.where("blocks > 1 AND node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    class_of = alone.unionByName(several.withColumnRenamed("label", "class"))
-    known = nodes.select("node", "weight", "first_id", "uid").join(links, "node", "left").join(class_of, "node", "left")
-    known = saved(known.select("node", "weight", "first_id", "uid", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class", "node").alias("class")), "classes")
+    number = F.monotonically_increasing_id().alias("node")  # written with the row, so it stays
+    nodes = saved(nodes.select(number, "name", "weight", F.col("least.doc_id").alias("first_id"), F.col("least.uid").alias("uid"), "bands"), "nodes")
+    hubs = saved(hub_links(nodes), "hubs")
+    edges = hubs.select(F.col("node").alias("a"), F.col("hub").alias("b")).unionByName(hubs.select(F.explode("hubs").alias("a"), F.col("hub").alias("b")))
+    parts = components(edges.where("a <> b").distinct()).withColumnRenamed("label", "part")
+    members = nodes.select("node", "uid", "weight").join(hubs.select("node", "score"), "node").join(parts, "node")
+    texts = one_row_each(keyed).join(members, "uid")
+    near = saved(measured(texts.select("part", "node", "weight", "score", "text"), ngram, p, q), "deltas")
+    checked = block_pairs(near).groupBy("part", "one", "two").applyInArrow(verify(2 * (q + p)), "node long, links long, root long")
+    checked = saved(checked, "checked")
+    links = checked.select("node", "links").unionByName(counted_links(near)).groupBy("node").agg(F.sum("links").alias("links"))
+    joined = near.where("node <> pivot AND u + reach >= 0").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    class_of = components(joined.unionByName(checked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    known = nodes.select("node", "name", "weight", "first_id", "uid").join(links, "node", "left").join(class_of.withColumnRenamed("label", "class"), "node", "left")
+    known = saved(known.select("node", "name", "weight", "first_id", "uid", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class", "node").alias("class")), "classes")
     least = known.groupBy("class").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "uid")).alias("least"))
     result = known.join(least, "class").select(
-        "node", F.col("least.first_id").alias("class_id"), F.col("least.uid").alias("class_uid"), (F.col("weight") - 1 + F.col("links")).alias("n_links")
+        "name", F.col("least.first_id").alias("class_id"), F.col("least.uid").alias("class_uid"), (F.col("weight") - 1 + F.col("links")).alias("n_links")
     )
-    joined = sketches.select("uid", "doc_id", "node").join(result, "node", "left")
-    own = F.col("node").isNull()
-    return joined.select(
+    rows_of = sketches.select("uid", "doc_id", "name").join(result, "name", "left")
+    own = F.col("name").isNull()
+    return rows_of.select(
         "uid",
         "doc_id",
         F.when(own, F.col("uid")).otherwise(F.col("class_uid")).alias("class_uid"),

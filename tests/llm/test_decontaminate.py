@@ -47,3 +47,9 @@ def test_empty_tables(spark):
     assert d.decontaminate(docs, items).count() == 0
     out = d.decontaminate(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), items).collect()
     assert [(r.n_words, r.n_hit) for r in out] == [(2, 0)]
+
+
+def test_nulls_beside_strings(spark):
+    docs = [("the cat", None), (None, "the cat"), ("x", "the cat"), (None, None)]
+    out = d.decontaminate(spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame([(1, "the cat")], "item_id long, text string")).collect()
+    assert sorted([(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in out], key=repr) == brute(docs, [(1, "the cat")])

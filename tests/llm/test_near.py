@@ -56,3 +56,45 @@ def test_against_brute_force(spark, monkeypatch):
 
 def test_no_rows(spark):
     assert near.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def group(n, edits, seed=3):
+    """n different near copies of one text."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(150)]
+    docs = []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(r.choice(edits)):
+            copy[r.randrange(len(copy))] = word()
+        docs.append((i, " ".join([*copy, word() + str(i)])))
+    return docs
+
+
+def test_large_groups_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK_NODES", 16)
+    monkeypatch.setattr(near, "SALT_NODES", 8)
+    docs = group(150, range(7)) + [(1000 + i, t) for i, t in group(60, [0, 1], seed=4)]
+    out = near.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted([(r.doc_id, r.class_id, r.n_links) for r in out], key=repr) == brute(docs)
+
+
+def test_rows_grow_with_nodes(spark, monkeypatch):
+    """Of one group of different near copies: hub links and deltas grow in proportion, and no pair of blocks is formed."""
+    counts, dealt = [], []
+    kept = near.saved, near.block_pairs
+    monkeypatch.setattr(near, "saved", lambda df, name: (t := kept[0](df, name), counts.append((name, t.count())))[0])
+    monkeypatch.setattr(near, "block_pairs", lambda rows: (t := kept[1](rows), dealt.append(t.count()))[0])
+    for n in (300, 600, 1200):
+        counts.clear(), dealt.clear()
+        out = near.jaccard_classes(spark.createDataFrame(group(n, [0, 1]), "doc_id long, text string")).agg({"n_links": "min", "class_id": "max"}).first()
+        assert out["min(n_links)"] == n - 1 and out["max(class_id)"] == 0
+        of = dict(counts)
+        assert of["hubs"] == of["deltas"] == of["grams"] == n and of["checked"] == 0 and dealt == [0]
+
+
+def test_nulls_beside_strings(spark):
+    docs = [("one two", None), (None, "one two"), ("x", "one two"), (None, None)]
+    out = near.jaccard_classes(spark.createDataFrame(docs, "doc_id string, text string")).collect()
+    assert sorted([(r.doc_id, r.class_id, r.n_links) for r in out], key=repr) == sorted([("one two", "one two", 0), (None, "x", 1), ("x", "x", 1), (None, None, 0)], key=repr)
