@@ -10,8 +10,10 @@ Every byte covered by a SPAN-byte string that also starts elsewhere in the corpu
 3. Suffix arrays. The different segments of an anchor meet in a bucket of bounded size. Of the suffixes that start a window,
    those smaller than their successors are sorted directly, the others induced by scanning the buckets of first bytes;
    neighbours in the array whose common prefix reaches SPAN are repeats. Comparison ends at SPAN bytes.
-4. Anchors with more than ``hot`` different segments, which one bucket could not hold, are settled without a bucket: the
-   128-bit hashes of their windows are counted over all tasks.
+4. Crowded anchors. An anchor with more than ``hot`` different segments, which one bucket could not hold, is split. Equal
+   windows start at the same distance before the anchor, so segments are cut into stretches of WIDTHS distances, and those
+   of one stretch are told apart by the bytes that all its windows hold. What is still crowded is cut more narrowly, down
+   to single windows, where only equal ones are left together. Each part then takes steps 2 and 3.
 
 Copies are summed before they are shuffled, and joins by segment are split where hot.
 
@@ -27,13 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.arrowio import as_bytes, bounded, slices
-from spanloom.llm.common import saved
+from spanloom.llm.common import one_row_each, row_key, saved
 from spanloom.llm.textnum import Powers, byte_values, mix
 
 SPAN, GRAM = 400, 32
 HOT, BUCKET_BYTES = 2000, 1 << 20
+#: Distances in a stretch of a crowded anchor, the next where the last leaves parts crowded.
+WIDTHS = (128, 32, 8, 1)
 POSITION_BITS = 30
 KEY = ["anchor", "content", "windows", "distance"]
+#: The same within the parts of crowded anchors.
+SUB = ["anchor", "part", "content", "windows", "distance"]
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -82,18 +88,17 @@ def segments(flat: np.ndarray, offsets: np.ndarray, values: np.ndarray, powers:
 
 def find_segments(docs: DataFrame, span: int, gram: int) -> DataFrame:
     """docs(uid, text) -> uid, start long and KEY: a row per segment of every row."""
-    kinds = [("uid", pa.int64()), ("start", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64()), ("windows", pa.int32()), ("distance", pa.int32())]
+    kinds = [("uid", pa.binary()), ("start", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64()), ("windows", pa.int32()), ("distance", pa.int32())]
 
     def run(batches):
         powers, values = Powers(), byte_values(5)
         for batch in batches:
-            uid = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in slices(batch.column(1)):
                 of, start, n, distance, anchor, content = segments(*as_bytes(batch.column(1).slice(a, b - a)), values, powers, span, gram)
-                columns = [uid[a:b][of], start, anchor.view(np.int64), content.view(np.int64), n.astype(np.int32), distance.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
+                columns = [batch.column(0).slice(a, b - a).take(pa.array(of)), start, anchor.view(np.int64), content.view(np.int64), n.astype(np.int32), distance.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([columns[0].cast(pa.binary()), *(pa.array(c, k) for c, (_, k) in zip(columns[1:], kinds[1:], strict=True))], [n for n, _ in kinds])
 
-    return bounded(docs.select("uid", "text")).mapInArrow(run, "uid long, start long, anchor long, content long, windows int, distance int")
+    return bounded(docs.select("uid", "text")).mapInArrow(run, "uid binary, start long, anchor long, content long, windows int, distance int")
 
 
 def words8(text: np.ndarray) -> np.ndarray:
@@ -221,41 +226,71 @@ def runs_of(mask: np.ndarray) -> list[dict]:
 
 
 RUNS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-VERDICT = "anchor long, content long, windows int, distance int, runs array<struct<s:int,e:int>>"
 
 
-def by_suffix_array(pieces: DataFrame, span: int, bucket_bytes: int) -> DataFrame:
-    """KEY and piece binary -> KEY and runs (windows s to e, exclusive, that repeat) of the pieces that have some."""
+def by_suffix_array(pieces: DataFrame, key: list[str], span: int, bucket_bytes: int) -> DataFrame:
+    """key and piece binary -> key and runs (windows s to e, exclusive, that repeat) of the pieces that have some.
+
+    The key names a piece; pieces are compared with those of the same anchor, and part if the key has one.
+    """
     total = pieces.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0]
     buckets = max(1, int(total // bucket_bytes))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.select(*key).schema)
 
     def run(table: pa.Table) -> pa.Table:
         masks = repeated(table.column("piece").to_pylist(), table.column("windows").to_numpy(), span, byte_values(5), Powers())
-        out = table.select(KEY).append_column("runs", pa.array([runs_of(m) for m in masks], RUNS))
+        out = table.select(key).append_column("runs", pa.array([runs_of(m) for m in masks], RUNS))
         return out.filter(pa.array([bool(m.any()) for m in masks], pa.bool_()))
 
-    return pieces.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(run, VERDICT)
+    together = [c for c in ("anchor", "part") if c in key]
+    dealt = pieces.select(*key, "piece").withColumn("bucket", F.pmod(F.xxhash64(*together), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInArrow(run, f"{fields}, runs array<struct<s:int,e:int>>")
 
 
-def by_window_counts(pieces: DataFrame, span: int) -> DataFrame:
-    """The same for anchors of any number of pieces, by counting window hashes."""
+def stretches(pieces: DataFrame, span: int, width: int) -> DataFrame:
+    """pieces(root, first, anchor, part, windows, distance, piece) -> the same, a row per stretch of ``width`` distances.
+
+    root is the segment that the piece comes from, and first its first window in it. The part tells stretches apart, and in
+    a stretch the bytes that all its windows hold.
+    """
+    low = F.col("distance") - F.col("windows") + 1
+    each = pieces.withColumn("j", F.explode(F.sequence(F.floor(low / width).cast("int"), F.floor(F.col("distance") / width).cast("int"))))
+    far = F.least(F.col("distance"), F.col("j") * width + width - 1)
+    skipped = F.col("distance") - far
+    each = each.select("root", "first", "anchor", "part", "piece", "j", skipped.alias("skipped"), far.alias("distance"), (far - F.greatest(low, F.col("j") * width) + 1).alias("windows"))
+    each = each.withColumn("piece", F.substr("piece", F.col("skipped") + 1, F.col("windows") - 1 + span))
+    shared = F.substr("piece", F.col("distance") - F.col("j") * width + 1, F.lit(span - width + 1))
+    return each.select(
+        "root", (F.col("first") + F.col("skipped")).alias("first"), "anchor", F.xxhash64("part", "j", shared).alias("part"), F.xxhash64("piece").alias("content"), "windows", "distance", "piece"
+    )
 
-    def run(batches):
-        powers, one, two = Powers(), byte_values(5), byte_values(6)
-        for batch in batches:
-            names = batch.schema.names
-            for i, piece in enumerate(batch.column(names.index("piece"))):
-                flat = np.frombuffer(piece.as_py(), np.uint8)
-                n = batch.column(names.index("windows"))[i].as_py()
-                at = np.arange(n)
-                hashes = [Hasher(flat, v, powers).of(at, at + span).view(np.int64) for v in (one, two)]
-                key = [pa.array([batch.column(names.index(k))[i].as_py()] * n, batch.schema.field(k).type) for k in KEY]
-                yield pa.RecordBatch.from_arrays([*key, pa.array(at, pa.int32()), *map(pa.array, hashes)], [*KEY, "at", "h1", "h2"])
 
-    rows = saved(bounded(pieces).mapInArrow(run, "anchor long, content long, windows int, distance int, at int, h1 long, h2 long"), "windows")
-    often = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    marks = rows.join(often, ["h1", "h2"]).groupBy(*KEY).agg(F.collect_list(F.struct(F.col("at").alias("s"), (F.col("at") + 1).alias("e"))).alias("runs"))
-    return marks.select(*KEY, F.col("runs").cast("array<struct<s:int,e:int>>").alias("runs"))
+def whole(windows: str = "windows"):
+    return F.array(F.struct(F.lit(0).alias("s"), F.col(windows).alias("e")))
+
+
+def of_crowded(pieces: DataFrame, span: int, hot: int, bucket_bytes: int) -> DataFrame:
+    """KEY and piece of crowded anchors -> KEY and runs of the pieces that have some."""
+    rows = pieces.select(F.struct(*KEY).alias("root"), F.lit(0).alias("first"), "anchor", F.lit(0).cast("long").alias("part"), "windows", "distance", "piece")
+    marks = []
+    for width in WIDTHS:
+        rows = saved(stretches(rows, span, width), "stretches")
+        kinds = saved(rows.groupBy(*SUB).agg(F.count("*").alias("n"), F.first("piece").alias("piece")), "kinds")
+        parts = kinds.groupBy("anchor", "part").agg(F.count("*").alias("contents"))
+        crowded = (F.col("contents") > hot) & F.lit(width > WIDTHS[-1])
+        settled = kinds.join(parts.where("contents > 1").where(~crowded).drop("contents"), ["anchor", "part"])
+        found = by_suffix_array(settled, SUB, span, bucket_bytes).join(kinds.where("n > 1").select(*SUB), SUB, "left_anti")
+        verdict = kinds.where("n > 1").select(*SUB, whole().alias("runs")).unionByName(found)
+        marks.append(rows.join(verdict, SUB).select("root", F.transform("runs", lambda r: F.struct((r["s"] + F.col("first")).alias("s"), (r["e"] + F.col("first")).alias("e"))).alias("runs")))
+        left = parts.where(crowded).drop("contents")
+        if width == WIDTHS[-1] or left.isEmpty():
+            break
+        rows = rows.drop("content").join(left, ["anchor", "part"])
+    every = marks[0]
+    for more in marks[1:]:
+        every = every.unionByName(more)
+    runs = every.groupBy("root").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"))
+    return runs.select("root.*", "runs")
 
 
 def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -269,13 +304,12 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT,
     by_text = wanted.groupBy("uid").agg(F.collect_list(F.struct(*KEY, "contents", "start", "size")).alias("parts"))
     bytes_of = F.encode(F.col("text"), "UTF-8")
     cut = F.transform("parts", lambda p: F.struct(*[p[k].alias(k) for k in [*KEY, "contents"]], F.substring(F.col("bytes"), p["start"].cast("int") + 1, p["size"]).alias("piece")))
-    texts = docs.select("uid", "text").join(by_text, "uid").select(bytes_of.alias("bytes"), "parts")
+    texts = one_row_each(docs.select("uid", "text")).join(by_text, "uid").select(bytes_of.alias("bytes"), "parts")
     pieces = saved(texts.select(F.explode(cut).alias("p")).select("p.*"), "pieces")
-    cold = by_suffix_array(pieces.where(F.col("contents") <= hot).drop("contents").dropDuplicates(KEY), span, bucket_bytes)
-    crowded = by_window_counts(pieces.where(F.col("contents") > hot).drop("contents").dropDuplicates(KEY), span)
-    whole = F.array(F.struct(F.lit(0).alias("s"), F.col("windows").alias("e")))
+    cold = by_suffix_array(pieces.where(F.col("contents") <= hot), KEY, span, bucket_bytes)
+    crowded = of_crowded(pieces.where(F.col("contents") > hot), span, hot, bucket_bytes)
     single = cold.unionByName(crowded).join(kinds.where("n > 1").select(*KEY), KEY, "left_anti")
-    verdict = kinds.where("n > 1").select(*KEY, whole.alias("runs")).unionByName(single)
+    verdict = kinds.where("n > 1").select(*KEY, whole().alias("runs")).unionByName(single)
     ranges = found.join(verdict, KEY).select("uid", "start", F.explode("runs").alias("r"))
     spans = ranges.select("uid", (F.col("start") + F.col("r.s")).alias("s"), (F.col("start") + F.col("r.e") - 1 + span).alias("e"))
     return spans.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))
@@ -294,7 +328,7 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept binary: a row per row."""
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text")
+    keyed = docs.select(row_key("doc_id", "text").alias("uid"), "doc_id", "text")
     spans = repeats(keyed, span, gram, hot, bucket_bytes)
     kind = docs.schema["doc_id"].dataType.simpleString()
 

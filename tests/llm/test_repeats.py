@@ -42,8 +42,9 @@ def corpus(span):
     return docs + [(70, word(50) + line), (71, line + word(9)), (72, passage[:span] + passage[:span]), (73, word(5000))]
 
 
-@pytest.mark.parametrize("hot,bucket", [(2000, 1 << 20), (3, 3000)])
-def test_against_brute_force(spark, hot, bucket):
+@pytest.mark.parametrize("hot,bucket,widths", [(2000, 1 << 20, r.WIDTHS), (3, 3000, (16, 4, 1)), (1, 3000, (20, 1))])
+def test_against_brute_force(spark, monkeypatch, hot, bucket, widths):
+    monkeypatch.setattr(r, "WIDTHS", widths)
     docs = corpus(50)
     frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS uid", "2 AS spans").repartition(5)
     out = r.remove_repeats(frame, 50, 8, hot, bucket).collect()
@@ -75,3 +76,10 @@ def test_suffix_array_is_sorted():
 
 def test_no_rows(spark):
     assert r.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_nulls_beside_strings(spark):
+    text = "0123456789" * 50
+    docs = [("a", None), (None, text), (text, None), ("b", "x" + text)]
+    out = r.remove_repeats(spark.createDataFrame(docs, "doc_id string, text string")).collect()
+    assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in out), key=repr) == brute(docs, 400)
