@@ -11,7 +11,8 @@ CELLS = 4096
 
 def unit(*columns) -> Column:
     """A number in [0, 1) from a hash of the columns: the same for the same values anywhere."""
-    return F.pmod(F.xxhash64(*columns), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    key = F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns])
+    return F.conv(F.left(F.md5(key), F.lit(13)), 16, 10).cast("double") / float(1 << 52)
 
 
 def make_splits(df: DataFrame, group: str, labels: str, fractions: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
@@ -97,7 +98,7 @@ def draw_weighted(weights: DataFrame, n: int, seed: int = 0) -> DataFrame:
     Rows get consecutive stretches of [0, 1) by two-level running sums. A draw finds its bucket of rows through the cells of
     an even grid, and its row as the last one that begins before it, in one ordered pass over the bucket.
     """
-    rows = weights.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(1024)).cast("int"))
+    rows = weights.withColumn("b", F.floor(unit("id") * 1024).cast("int"))
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("b").agg(F.sum("weight").alias("m")).select("b", F.coalesce(F.sum("m").over(before), F.lit(0.0)).alias("m0"), "m")
     inside = Window.partitionBy("b").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)

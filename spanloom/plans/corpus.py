@@ -169,7 +169,19 @@ def dialogue_grid(spark, sf_dir):
     return grid.withColumn("keys", F.array_join("keys", ","))
 
 
-@register("captions")
+def chosen(options: list[str], *seed: str) -> str:
+    """text.choose in SQL."""
+    at = f"CAST('0x' || substr(sha256(concat_ws('|', {', '.join(seed)})), 1, 15) AS BIGINT) % {len(options)} + 1"
+    return f"list_extract([{', '.join(repr(o) for o in options)}], CAST({at} AS INT))"
+
+
+@register(
+    "captions",
+    f"""WITH {SPANS}, c AS (SELECT id, video, behaviour, {chosen(['The dog', 'It'], 'CAST(id AS VARCHAR)', "'subject'")} || ' is ' || replace(behaviour, '_', ' ') || ' ' ||
+      CASE WHEN "end" - start < 2 THEN 'briefly' WHEN "end" - start < 6 THEN 'for a moment' WHEN "end" - start < 15 THEN 'for a while' ELSE 'for a long time' END AS act FROM ev)
+    SELECT id, video, act || CASE WHEN behaviour = 'barking' THEN {chosen([' and it gives a ', ', and it gives a '], 'CAST(id AS VARCHAR)', "'link'")} || 'bark alarm twice.'
+      ELSE {chosen(['', ' and stays quiet'], 'CAST(id AS VARCHAR)', "'silence'")} || '.' END AS caption FROM c""",
+)
 def captions(spark, sf_dir):
     rows = spans(spark, sf_dir)
     voice = F.when(F.col("behaviour") == "barking", "bark_alarm")

@@ -174,10 +174,21 @@ def text_exact_duplicates(spark, sf_dir):
     return rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
 
 
-@register("make_splits")
+def unit_sql(*columns: str) -> str:
+    """splits.unit in SQL."""
+    return f"(CAST(CAST('0x' || substr(md5(concat_ws('|', {', '.join(columns)})), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496e0)"
+
+
+@register(
+    "make_splits",
+    f"""WITH pl AS (SELECT o_custkey AS g, o_orderpriority AS label FROM orders), t AS (SELECT label, count(*) AS m FROM pl GROUP BY label),
+    s AS (SELECT g, count(*) AS n, {unit_sql('g', '0')} AS u FROM pl GROUP BY g), r AS (SELECT g, label FROM pl JOIN t USING (label) QUALIFY row_number() OVER (PARTITION BY g ORDER BY m, label) = 1),
+    p AS (SELECT g, (sum(n) OVER (PARTITION BY label ORDER BY u, g ROWS UNBOUNDED PRECEDING) - n / 2e0) / sum(n) OVER (PARTITION BY label) AS mid FROM s JOIN r USING (g))
+    SELECT g AS "group", CASE WHEN mid < 0.7e0 THEN 'train' WHEN mid < 0.7e0 + 0.2e0 THEN 'val' ELSE 'test' END AS split FROM p""",
+)
 def make_splits(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("grp"), F.array("o_orderpriority").alias("labels"))
-    return splits.make_splits(rows, "grp", "labels", {"train": 0.7, "val": 0.2, "test": 0.1})
+    return splits.make_splits(rows, "grp", "labels", {"train": 70, "val": 20, "test": 10})
 
 
 @register(
@@ -205,12 +216,23 @@ def class_balanced_weights(spark, sf_dir):
     return splits.class_balanced_weights(some_labels(spark, sf_dir), "id", "labels").withColumn("weight", F.round("weight", 12))
 
 
-@register("repeat_draws")
+FACTORS = """l AS (SELECT event_id AS id, CASE WHEN event_type = 'view' AND event_id % 7 <> 0 THEN NULL ELSE event_type END AS label FROM events),
+f AS (SELECT label, greatest(1e0, least(8e0, sqrt(0.5e0 / (count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM l))))) AS f FROM l WHERE label IS NOT NULL GROUP BY label),
+rf AS (SELECT id, coalesce(f, 1e0) AS factor FROM l LEFT JOIN f USING (label))"""
+
+
+@register("repeat_draws", f"WITH {FACTORS} SELECT id, CAST(unnest(range(1, CAST(floor(factor) AS BIGINT) + CASE WHEN {unit_sql('id', '1', '0')} < factor - floor(factor) THEN 1 ELSE 0 END + 1)) AS BIGINT) AS copy FROM rf")
 def repeat_draws(spark, sf_dir):
     return splits.draw_repeats(splits.repeat_factors(some_labels(spark, sf_dir), "id", "labels", 0.5), seed=1)
 
 
-@register("weighted_draws")
+@register(
+    "weighted_draws",
+    f"""WITH l AS (SELECT event_id AS id, CASE WHEN event_type = 'view' AND event_id % 7 <> 0 THEN NULL ELSE event_type END AS label FROM events), c AS (SELECT label, count(*) AS n FROM l WHERE label IS NOT NULL GROUP BY label),
+    r AS (SELECT id, coalesce(1e0 / n, 1e0) AS raw FROM l LEFT JOIN c USING (label)), w AS (SELECT id, raw / (SELECT sum(raw) FROM r) AS weight, floor({unit_sql('id')} * 1024) AS b FROM r),
+    x AS (SELECT id, sum(weight) OVER (ORDER BY b, id ROWS UNBOUNDED PRECEDING) - weight AS low FROM w), d AS (SELECT i AS draw, {unit_sql('i', '1')} AS u FROM range(0, 2000) t(i))
+    SELECT CAST(draw AS BIGINT) AS draw, id FROM d ASOF JOIN x ON u >= low""",
+)
 def weighted_draws(spark, sf_dir):
     return splits.draw_weighted(splits.class_balanced_weights(some_labels(spark, sf_dir), "id", "labels"), 2000, seed=1)
 

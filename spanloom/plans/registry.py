@@ -22,4 +22,4 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-from spanloom.plans import corpus, evaluation, quality, timeline  # noqa: E402, F401  (they register themselves)
+from spanloom.plans import corpus, evaluation, exchange, quality, timeline  # noqa: E402, F401  (they register themselves)

@@ -40,14 +40,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
     The table stays until release() or the end of a scratch() around the call.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    _written.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._spanloom_path = path
     return out
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for what a caller writes itself; deleted like saved() tables."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
