@@ -1,7 +1,12 @@
 """Corpus cleaning pipeline: language, near duplicates, decontamination, secrets, tokens.
 
 Each stage takes (spark, docs, sf_dir), works on every row it is given and returns the columns of documents, the last one
-those and the token columns. run() applies them in order; between stages the rows are written to the shared folder.
+those and the token columns. run() applies them in order; between stages the rows are written to the shared folder, and a
+stage's own tables and its input are deleted when its rows are written.
+
+Edge cases: rows with null or letterless text go in the first stage; a null doc_id or other null stays as it is, and a null
+id differs from any string; of equal rows one stays; of documents in a class the least doc_id stays, nulls last; columns
+whose names the operators use themselves pass through; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -11,6 +16,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import bpe, decontaminate, langid, near, secrets
 from spanloom.llm.common import one_row_each, row_key, saved
+from spanloom.storage import drop, scratch
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -62,7 +68,11 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with scratch(spark) as kept:
+            docs = saved(stage(spark, before, sf_dir), f"stage-{name}")
+            kept.append(docs)
+        drop(before)
     return docs
 
 
