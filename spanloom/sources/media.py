@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import wave
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions.dsp import RATE
 from spanloom.operators.text import choose
 from spanloom.schema import ACTIONS, POSTURES
 
@@ -59,6 +63,79 @@ def audio_index(parts: list[DataFrame], key: str = "video") -> DataFrame:
     return both.groupBy(key).agg(F.max_by(F.struct(*columns), "__n").alias("r")).select(key, "r.*")
 
 
+#: What a probe tells of a container.
+PROBED = "path string, n_frames long, fps double, width int, height int, duration double, error string"
+
+
+def probed(files: DataFrame, probe: Callable[[str], dict]) -> DataFrame:
+    """files(path) -> a PROBED row per path, by a function that runs on the executors.
+
+    ``probe`` gets a path and returns n_frames, fps, width and height, and duration unless frames and rate give it. What it
+    raises becomes the row's ``error``, which audits take as unreadable, and never ends the job.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                row = dict.fromkeys(PROBED_NAMES) | {"path": path}
+                try:
+                    found = probe(path)
+                    row |= {k: found.get(k) for k in PROBED_NAMES[1:-1]}
+                    if row["duration"] is None and row["fps"]:
+                        row["duration"] = row["n_frames"] / row["fps"]
+                except Exception as e:  # recorded in the row, as the contract says
+                    row["error"] = f"{type(e).__name__}: {e}"
+                rows.append(row)
+            kinds = [pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.string()]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema(list(zip(PROBED_NAMES, kinds, strict=True))))
+
+    return files.select("path").mapInArrow(run, PROBED)
+
+
+PROBED_NAMES = [x.split()[0] for x in PROBED.split(", ")]
+
+
+def samples_of(data: bytes, rate: int = RATE) -> np.ndarray:
+    """Mono float32 samples of a PCM WAV file at the rate: channels are averaged, other rates interpolated."""
+    with wave.open(io.BytesIO(data)) as w:
+        width, channels, own = w.getsampwidth(), w.getnchannels(), w.getframerate()
+        raw = np.frombuffer(w.readframes(w.getnframes()), np.uint8)
+    raw = raw[: len(raw) // (width * channels) * width * channels].reshape(-1, width)
+    if width == 1:
+        whole = raw[:, 0].astype(np.int64) - 128
+    else:
+        whole = sum(raw[:, i].astype(np.int64) << 8 * i for i in range(width))
+        whole -= (whole >> 8 * width - 1) << 8 * width
+    mono = (whole / float(1 << 8 * width - 1)).reshape(-1, channels).mean(1)
+    if own != rate and len(mono):
+        mono = np.interp(np.arange(int(len(mono) * rate / own)) * own / rate, np.arange(len(mono)), mono)
+    return mono.astype(np.float32)
+
+
+def read_audio_files(spark: SparkSession, path: str, rate: int = RATE) -> DataFrame:
+    """video, audio array<float>, has_audio, error of the WAV files under a folder, each decoded where it is read.
+
+    A file without samples or that is no PCM WAV has no audio; the latter says why in ``error``.
+    """
+
+    def run(batches):
+        for batch in batches:
+            audio, error = [], []
+            for content in batch.column(1):
+                try:
+                    audio.append(samples_of(content.as_py(), rate))
+                    error.append(None)
+                except (wave.Error, EOFError) as e:
+                    audio.append(None)
+                    error.append(f"{type(e).__name__}: {e}")
+            some = pa.array([a is not None and len(a) > 0 for a in audio])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(audio, pa.list_(pa.float32())), some, pa.array(error, pa.string())], ["video", "audio", "has_audio", "error"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{wav,WAV}").load(path)
+    return files.select("path", "content").mapInArrow(run, "video string, audio array<float>, has_audio boolean, error string")
+
+
 def build_cache(clips: DataFrame, root: str, decode: Callable[[dict], bytes], frames: int, size: int) -> str:
     """Decodes clips (id, ..., split) on the executors into a Parquet table by split, in a folder of its specification.
 

@@ -1,3 +1,7 @@
+import io
+import wave
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +55,39 @@ def test_synthetic_sessions(spark):
         assert r.labels[0] in POSTURES and set(r.labels[1:]) <= set(ACTIONS) - set(media.INCOMPATIBLE[r.labels[0]]) and len(r.labels) <= 3
         assert r.end - r.start == pytest.approx(2.5 - 0.08)
     assert {len(r.labels) for r in rows} == {1, 2, 3}
+
+
+def test_probes_record_what_fails(spark):
+    def probe(path):
+        if path == "bad":
+            raise OSError("no stream")
+        return {"n_frames": 50, "fps": 25.0, "width": 640, "height": 480}
+
+    rows = {r.path: r for r in media.probed(spark.createDataFrame([("a",), ("bad",)], "path string"), probe).collect()}
+    assert (rows["a"].duration, rows["a"].width, rows["a"].error) == (2.0, 640, None)
+    assert rows["bad"].error == "OSError: no stream" and rows["bad"].fps is None
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 4])
+def test_wav_samples(width):
+    tone = np.sin(np.arange(800) / 20) * 0.5
+    whole = np.round(tone * (1 << 8 * width - 1)).astype(np.int64)
+    raw = (whole + 128).astype(np.uint8)[:, None] if width == 1 else np.stack([(whole >> 8 * i & 255).astype(np.uint8) for i in range(width)], 1)
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setparams((2, width, 8000, 0, "NONE", None))
+        w.writeframes(np.repeat(raw, 2, axis=0).tobytes())
+    assert np.abs(media.samples_of(out.getvalue(), 8000) - tone).max() < 0.01
+    assert len(media.samples_of(out.getvalue(), 16000)) == 1600
+
+
+def test_audio_files(spark, tmp_path):
+    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
+        w.setparams((1, 2, 16000, 0, "NONE", None))
+        w.writeframes(np.full(100, 1 << 14, "<i2").tobytes())
+    with wave.open(str(tmp_path / "empty.wav"), "wb") as w:
+        w.setparams((1, 2, 16000, 0, "NONE", None))
+    (tmp_path / "bad.wav").write_bytes(b"RIFFxxxx")
+    rows = {r.video.rsplit("/", 1)[1]: r for r in media.read_audio_files(spark, str(tmp_path)).collect()}
+    assert rows["a.wav"].audio == [0.5] * 100 and rows["a.wav"].has_audio
+    assert not rows["empty.wav"].has_audio and rows["empty.wav"].error is None and rows["bad.wav"].error and rows["bad.wav"].audio is None
