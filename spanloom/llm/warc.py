@@ -3,12 +3,14 @@
 A capture is three records: request, response (or revisit) and metadata; the first and last name the second in
 WARC-Concurrent-To. Records are built as strings on the JVM and written through Spark's file writer, so any file system
 works and a lost executor's files are never seen; CR LF CR LF, the record separator of the format, is the line separator.
-An archive holds at most ``captures`` captures, one gzip stream each. Reading takes one archive per row, inflates it and
-walks it by Content-Length, so payloads may contain anything. Assembly joins request and metadata records to their
+An archive is one gzip stream of at most ``captures`` captures and about ARCHIVE_BYTES: pages of more than an even share
+of that are written apart, as many to an archive as the largest of them allows. Reading takes one archive per row,
+inflates it and walks it by Content-Length, so payloads may contain anything. Assembly joins request and metadata records to their
 response by its id; both sides are grouped by id first, so no key repeats.
 
 Equal payloads of at least MIN_REVISIT bytes are stored once: the capture with the least page_id (nulls last) is the
-response, the others revisit it. Digests with one capture never join; a hot digest is one row on its side of the join.
+response, the others revisit it. Digests with one capture never join; a hot digest is one row on its side of the join,
+which is broadcast, and no payload shuffled, while the repeated digests are few.
 
 Edge cases: null html is an empty payload; a null url gives no target URI, CR and LF in a url become spaces; repeated
 rows with the least page_id are all responses; a null page_id is kept as null; a malformed archive raises ValueError.
@@ -17,7 +19,6 @@ rows with the least page_id are all responses; a null page_id is kept as null; a
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 
 import pyarrow as pa
@@ -25,10 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.arrowio import bounded
-from spanloom.llm.common import shared_dir
+from spanloom.llm.common import saved
+from spanloom.operators.joins import small
+from spanloom.storage import shared_path
 
 MIN_REVISIT = 100
-CAPTURES = 1000
+CAPTURES, ARCHIVE_BYTES = 1000, 64 << 20
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EOL = "\r\n"
@@ -51,16 +54,14 @@ def with_types(pages: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, payload, digest, size, first (the page revisited, else null), revisit."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
-    firsts = (
-        rows.where(F.col("size") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").select("digest", "first")
-    )
-    joined = rows.join(firsts, "digest", "left")
+    firsts = rows.where(F.col("size") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1")
+    joined = rows.join(small(saved(firsts.select("digest", "first"), "digests")), "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", "digest", "size", F.when(revisit, F.col("first")).alias("first"), revisit.alias("revisit"))
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", captures: int = CAPTURES) -> None:
-    """Writes pages(page_id, url, html) as gzip archives under ``path``."""
+def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", captures: int = CAPTURES, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes pages(page_id, url, html) as gzip archives under ``path``, a new folder."""
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     id_ = urn("response", F.concat(page, F.lit("|"), F.col("digest")))
     uri = ("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " "))
@@ -82,8 +83,15 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         main,
         record("metadata", urn("metadata", id_), [*tied, ("Content-Type", F.lit("application/warc-fields"))], fields),
     )
-    rows = with_types(pages).select(F.explode(records).alias("value"))
-    rows.write.option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", 3 * captures).text(path)
+    rows = with_types(pages)
+    share = archive_bytes // captures
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    parts = [(rows.where(F.col("size") <= share), captures)]
+    if largest > share:
+        parts.append((rows.where(F.col("size") > share), max(1, min(captures, archive_bytes // largest))))
+    for part, most in parts:
+        lines = part.select(F.explode(records).alias("value")).write.mode("append")
+        lines.option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", 3 * most).text(path)
 
 
 def records_of(data: bytes):
@@ -182,7 +190,7 @@ def transactions(records: DataFrame) -> DataFrame:
 
 def op5(spark, sf_dir) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = shared_path(spark, "warc")
     write_archives(pages, path)
     field = lambda name: F.element_at(F.col("metadata")[0]["fields"], name)
     kind = pages.schema["page_id"].dataType

@@ -45,6 +45,16 @@ def test_nested_rows_hold_payloads(spark, written, tmp_path):
     assert {r.capture.target_uri for r in rows} == {u if u is None else u.replace("\r\n", "  ") for _, u, _ in PAGES}
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    pages = [(i, "http://a.example/", f"{i} " + "x" * size) for i, size in enumerate([10] * 40 + [3000] * 6 + [40_000])]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(frame, str(tmp_path / "w"), captures=20, archive_bytes=60_000)
+    sizes = [sorted(int(h["content-length"]) for h, _ in warc.records_of(warc.inflate(f.read_bytes())) if h["warc-type"] == "response") for f in (tmp_path / "w").glob("*.gz")]
+    assert max(map(sum, sizes)) < 60_000 and max(map(len, sizes)) == 20 and sum(map(len, sizes)) == len(pages)
+    rows = warc.transactions(warc.read_archives(spark, str(tmp_path / "w"))).collect()
+    assert {bytes(r.capture.payload) for r in rows} == {h.encode() for _, _, h in pages}
+
+
 def test_members_and_damage():
     one = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <a>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
     assert len(list(warc.records_of(warc.inflate(gzip.compress(one) + gzip.compress(one))))) == 2
