@@ -149,6 +149,11 @@ def op3(spark, sf_dir) -> DataFrame:
     )
 
 
+def quality_ablation(spark, sf_dir) -> DataFrame:
+    """What each rule of the current policy rejects, over all documents."""
+    return ablation(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 def _oracle() -> str:
     mask = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, (_, rule) in enumerate(RULES))
     count = lambda keep: f"length(regexp_replace(t, '{keep}', '', 'g'))"
@@ -170,3 +175,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 
 
 ORACLE = _oracle()
+_CURRENT = mask_of(POLICIES[CURRENT])
+ABLATION_ORACLE = f"WITH q AS (SELECT failures & {_CURRENT} AS f FROM ({ORACLE})) " + " UNION ALL ".join(
+    f"""SELECT '{name}' AS rule, count(*) FILTER (f & {mask_of([name])} <> 0) AS n_failed, count(*) FILTER (f = {mask_of([name])}) AS n_only,
+    count(*) FILTER (f & {_CURRENT - mask_of([name])} = 0) AS kept_without FROM q"""
+    for name in POLICIES[CURRENT]
+)

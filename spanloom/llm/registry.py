@@ -13,10 +13,12 @@ QUERIES = {
     "op8_remove_repeats": repeats.op8,
     "op9_language_id": langid.op9,
     "op10_ngram_jaccard": near.op10,
+    "quality_ablation": quality.quality_ablation,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op3_quality_rules": quality.ORACLE,
     "op4_secret_scan": secrets.ORACLE,
     "op5_warc": warc.ORACLE,
+    "quality_ablation": quality.ABLATION_ORACLE,
 }
