@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import bpe, decontaminate, langid, near, secrets
 from spanloom.llm.common import one_row_each, row_key, saved
+from spanloom.operators.joins import small
 from spanloom.storage import drop, scratch
 
 
@@ -38,7 +39,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark window: any hit word counts, as a test passage of ten words is enough to leak."""
     _, hits = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return keyed(docs).join(hits.select(F.col("uid").alias("__uid")), "__uid", "left_anti").select(*docs.columns)
+    found = saved(hits.select(F.col("uid").alias("__uid")), "contaminated")
+    return keyed(docs).join(small(found), "__uid", "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,35 @@ def test_columns_and_count(spark, tables):
         assert stage(spark, docs, path).columns == docs.columns
     once = corpus_pipeline.ngram_jaccard(spark, docs, path).where("doc_id = 0").count()
     assert once == 1 and len([x for x in rows if x[0] == 0]) == 2
+
+
+def test_empty_table(spark, tmp_path):
+    path = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, path)
+    assert out.count() == 0 and out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_nulls_and_string_ids(spark, tmp_path):
+    """Null ids, sources and languages stay; a null id beside a text is not that text as an id; ties go to the least id."""
+    r = random.Random(4)
+    words = lambda lang, n: " ".join(r.choice(COMMON[lang]) for _ in range(n))
+    rows = [(f"d{i}", words(lang, 60), lang, f"s{i % 3}", None) for i, lang in enumerate(["en", "fr"] * 30)]
+    own = words("en", 50)
+    rows += [(None, own, None, None, 7), (own, None, "en", "s1", 0), ("b", rows[0][1], "en", "s1", None), (None, rows[0][1], "en", "s2", None), (None, rows[2][1], "en", "s2", None)]
+    path = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, path).collect()
+    assert sorted((x.doc_id, x.text) for x in out if x.doc_id) == sorted((x[0], x[1]) for x in rows[:60] if x[0])
+    assert [(x.doc_id, x.text, x.lang, x.source, x.n_chars) for x in out if x.doc_id is None] == [rows[60]]
+
+
+def test_intermediate_tables_go(spark, tables):
+    from spanloom import storage
+
+    storage.release(spark)
+    path, _ = tables
+    corpus_pipeline.run(spark, path).count()
+    assert len(storage._written) == 1
