@@ -5,8 +5,12 @@ Streams of one host are aligned one after another into a wrapper: equal tokens m
 optional; runs of a token, or of a group of up to GROUP tokens, become repeated; a text that differs becomes a slot, one
 that is the same on all pages stays constant. Constants are the host's template.
 
-The text of a page is its article (or, without one, its main element, or else its body) without elements that are
-boilerplate by name, role or class and without the host's constants, wherever they are.
+The text of a page is its article (or, without one, its main element, or else its body) without elements whose name is
+boilerplate (nav, footer, form and the like), and without what the host's wrapper shows to be template: its constants,
+wherever they are, and its marked slots. A slot is marked if an element around it has a class, id or role word such as
+sidebar or comments, and the same element with the same word stands on several pages of the host; a marked element that
+one page only has is content. Hosts with fewer than LEAST_PAGES different texts give no such evidence: there the words
+decide alone. A page whose articles all lie in marked elements keeps them.
 
 Wrappers are folded per task, so a host with a third of all pages gives one small row per task; those are merged in two
 rounds of groups. The constants of all hosts travel with the function only if they are few; else they are joined by host.
@@ -59,27 +63,34 @@ ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-def boilerplate(name: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is dropped; ``inside`` an article or main element a header is part of it."""
-    if name in DROPPED or (name == "header" and not inside):
-        return True
+def mark_of(name: str, attrs: str, inside: bool) -> str:
+    """The word by which an element looks like boilerplate, or ""; ``inside`` an article or main element a header is part of it."""
     if not attrs or name in ("html", "body", "main"):
-        return False
+        return ""
     words = {w for _, a, b, c in ATTR.findall(attrs) for w in re.split(r"[^a-z0-9]+", (a or b or c).lower())}
     if name == "article":
-        return bool(words & COMMENT)
-    return bool(words & MARKS) or ("header" in words and not inside) or any(w.startswith(STARTS) or w.endswith(ENDS) for w in words)
+        found = words & COMMENT
+    else:
+        found = words & MARKS or {w for w in words if w.startswith(STARTS) or w.endswith(ENDS) or (w == "header" and not inside)}
+    return min(found, default="")
+
 
+#: (path, place, text, mark, pieces): place 2 in an article, 1 in main, 0 elsewhere in the body, -1 in a dropped element; mark
+#: names the marked element around it, or is ""; pieces are (mark, text) where marks differ within the block, else None.
+Block = tuple[str, int, str, str, tuple | None]
 
-def blocks(html: str) -> list[tuple[str, int, str]]:
-    """(path, place, text) of the page's blocks in order; place: 2 in an article, 1 in main, 0 elsewhere in the body.
 
-    Dropped elements give blocks with place -1, as wrappers align them too. An article or main element that begins gives a
-    block without text, so that an empty one counts. Paths name the first MOST_DEPTH elements; deeper ones open and close alike.
+def blocks(html: str) -> list[Block]:
+    """The page's blocks in order.
+
+    An article or main element that begins gives a block without text, so that an empty one counts. Paths name the first
+    MOST_DEPTH elements; deeper ones open and close alike.
     """
-    out: list[tuple[str, int, str]] = []
-    stack: list[tuple[str, int, str]] = [("", 0, "")]
-    pieces: list[str] = []
+    out: list[Block] = []
+    stack: list[tuple[str, int, str, str]] = [("", 0, "", "")]
+    inline: list[tuple[str, str, int]] = []  # marked inline elements: name, mark, depth of the stack
+    plain: dict[str, int] = {}  # inline elements that opened without a mark inside of marked ones of that name
+    pieces: list[tuple[str, str]] = []
     at, n = 0, len(html)
 
     opened: dict[str, int] = {}
@@ -88,13 +99,19 @@ def blocks(html: str) -> list[tuple[str, int, str]]:
         for x in stack[i:]:
             opened[x[0]] -= 1
         del stack[i:]
+        while inline and inline[-1][2] > len(stack):
+            inline.pop()
+
+    def add(text: str) -> None:
+        pieces.append((stack[-1][3] or (inline[-1][1] if inline else ""), text))
 
     def flush() -> None:
         if pieces:
-            text = " ".join("".join(pieces).split())
-            pieces.clear()
+            text = " ".join("".join(t for _, t in pieces).split())
             if text:
-                out.append((stack[-1][2], stack[-1][1], text))
+                marks = {m for m, t in pieces if t.strip()}
+                out.append((stack[-1][2], stack[-1][1], text, min(marks) if len(marks) == 1 else "", tuple(pieces) if len(marks) > 1 else None))
+            pieces.clear()
 
     while at < n:
         left = html.find("<", at)
@@ -102,7 +119,7 @@ def blocks(html: str) -> list[tuple[str, int, str]]:
             left = n
         if left > at:
             text = html[at:left]
-            pieces.append(unescape(text) if "&" in text else text)
+            add(unescape(text) if "&" in text else text)
         if left >= n:
             break
         follow = html[left + 1 : left + 2]
@@ -112,14 +129,22 @@ def blocks(html: str) -> list[tuple[str, int, str]]:
             continue
         tag = TAG.match(html, left) or LOOSE.match(html, left)
         if not tag:
-            pieces.append("<")
+            add("<")
             at = left + 1
             continue
         at = tag.end()
         closing, name, attrs = tag[1], tag[2].lower(), tag[3]
-        if name in INLINE:
-            if not attrs or closing or not boilerplate(name, attrs, stack[-1][1] > 0):
-                continue
+        if name in INLINE and name not in VOID:
+            if closing and plain.get(name):
+                plain[name] -= 1
+            elif closing and inline and inline[-1][0] == name:
+                inline.pop()
+            elif not closing and (word := mark_of(name, attrs, stack[-1][1] > 0)):
+                inline.append((name, f"{stack[-1][2]}/{name}.{word}", len(stack)))
+                plain[name] = 0
+            elif not closing and inline and inline[-1][0] == name:
+                plain[name] = plain.get(name, 0) + 1
+            continue
         if name in VOID:
             if name in ("br", "hr"):
                 flush()
@@ -146,17 +171,21 @@ def blocks(html: str) -> list[tuple[str, int, str]]:
                     break
                 if stack[i][0] in stop or stack[i][0] not in ("p", "b") and name == "p" and stack[i][0] not in INLINE:
                     break
-        _, place, path = stack[-1]
+        _, place, path, mark = stack[-1]
+        below = f"{path}/{name}" if len(stack) < MOST_DEPTH else path
         if place >= 0:
-            if boilerplate(name, attrs, place > 0):
+            word = mark_of(name, attrs, place > 0)
+            if name in DROPPED or (name == "header" and place == 0):
                 place = -1
-            elif name == "article":
-                place = 2
-                out.append((path, place, ""))
-            elif place == 0 and (name == "main" or "role" in attrs and re.search(r"role\s*=\s*[\"']?main\b", attrs)):
-                place = 1
-                out.append((path, place, ""))
-        stack.append((name, place, f"{path}/{name}" if len(stack) < MOST_DEPTH else path))
+            else:
+                mark = mark or (f"{below}.{word}" if word else "")
+                if name == "article":
+                    place = 2
+                elif place == 0 and (name == "main" or "role" in attrs and re.search(r"role\s*=\s*[\"']?main\b", attrs)):
+                    place = 1
+                if place > stack[-1][1]:
+                    out.append((path, place, "", mark, None))
+        stack.append((name, place, below, mark))
         opened[name] = opened.get(name, 0) + 1
     flush()
     return out
@@ -201,8 +230,23 @@ def merge_items(one: list[Item], two: list[Item]) -> list[Item]:
     return [[a[0], a[1] or b[1], a[2] or b[2], a[3] if a[3] == b[3] else 0, merge_items(a[4], b[4])] for a, b in zip(one, two, strict=True)]
 
 
-def stream(page: list[tuple[str, int, str]]) -> list[Item]:
-    return fold([[f"{path}!" if place < 0 else path, False, False, text_hash(text), []] for path, place, text in page if text])
+def key_of(block: Block) -> str:
+    path, place, _, mark, _ = block
+    return f"{path}!" if place < 0 else f"{path}~{mark}" if mark else path
+
+
+def stream(page: list[Block]) -> list[Item]:
+    return fold([[key_of(b), False, False, text_hash(b[2]), []] for b in page if b[2]])
+
+
+def marks_of(page: list[Block]) -> dict[str, int]:
+    """The marks of a page's elements, each 1."""
+    return {m: 1 for _, _, text, mark, pieces in page if text for m in ([x for x, _ in pieces] if pieces else [mark]) if m}
+
+
+def more_marks(one: dict[str, int], two: dict[str, int]) -> dict[str, int]:
+    """Pages that have a mark, at most 2."""
+    return {m: min(2, one.get(m, 0) + two.get(m, 0)) for m in one.keys() | two.keys()}
 
 
 def align(one: list[Item], two: list[Item]) -> list[Item]:
@@ -281,7 +325,7 @@ def as_regex(items: list[Item]) -> str:
 
 
 def constants(items: list[Item], texts: int) -> list[int]:
-    """Hashes of (path, text) of the constants outside of dropped elements that all pages of the host have, given how many
+    """Hashes of (key, text) of the constants outside of dropped elements that all pages of the host have, given how many
     different texts, up to LEAST_PAGES, the pages have."""
     if texts < LEAST_PAGES:
         return []
@@ -292,9 +336,29 @@ def pair_hash(path: str, text: int) -> int:
     return (text * 31 + zlib.crc32(path.encode())) & 0x7FFFFFFFFFFFFFFF
 
 
-def page_text(page: list[tuple[str, int, str]], template: frozenset) -> str:
-    place = max([0, *(p for _, p, _ in page)])
-    return "\n".join([t for path, p, t in page if t and p >= place and (not template or pair_hash(path, text_hash(t)) not in template)])
+def mark_hash(mark: str) -> int:
+    return pair_hash("~", text_hash(mark))
+
+
+def page_text(page: list[Block], template: frozenset | None) -> str:
+    """The page's text, given the hashes of its host's constants and marked slots; None if the host has too few pages."""
+    gone = {m for m in marks_of(page) if template is None or mark_hash(m) in template}
+    opened = [m for _, p, t, m, _ in page if p > 0 and not t]
+    if opened and all(m and (template is None or mark_hash(m) in template) for m in opened):
+        gone -= set(opened)
+        opened = []
+    hidden = {m for m in opened if m and (template is None or mark_hash(m) in template)}
+    place = max([0, *(p for _, p, t, m, _ in page if m not in gone and (t or m not in hidden))])
+    out = []
+    for block in page:
+        path, p, text, mark, pieces = block
+        if not text or p < place or mark in gone or (template and pair_hash(key_of(block), text_hash(text)) in template):
+            continue
+        if pieces and gone:
+            text = " ".join("".join(t for m, t in pieces if m not in gone).split())
+        if text:
+            out.append(text)
+    return "\n".join(out)
 
 
 def least(hashes) -> list[int]:
@@ -306,45 +370,46 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
 
 
-#: ``texts``: hashes of different texts, at most LEAST_PAGES.
-WRAPPER = "host string, wrapper string, pages long, texts array<long>"
+#: ``texts``: hashes of different texts, at most LEAST_PAGES. ``marks``: how many pages have a mark, at most 2.
+WRAPPER = "host string, wrapper string, pages long, texts array<long>, marks string"
+FIELDS = pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("pages", pa.int64()), ("texts", pa.list_(pa.int64())), ("marks", pa.string())])
 
 
 def merge_wrappers(rows: DataFrame, key: list[str]) -> DataFrame:
     """One row per key: the alignment of its wrappers, in order of their text."""
 
     def run(table: pa.Table) -> pa.Table:
-        items, pages, texts = None, 0, []
-        for text, n, seen in sorted(zip(*(table.column(c).to_pylist() for c in ("wrapper", "pages", "texts")), strict=True)):
+        items, pages, texts, marks = None, 0, [], {}
+        for text, n, seen, marked in sorted(zip(*(table.column(c).to_pylist() for c in ("wrapper", "pages", "texts", "marks")), strict=True)):
             two = json.loads(text)
             items = two if items is None else align(items, two)
-            pages, texts = pages + n, least([*texts, *seen])
-        return pa.table(
-            {"host": [table.column("host")[0].as_py()], "wrapper": [json.dumps(items)], "pages": pa.array([pages], pa.int64()), "texts": pa.array([texts], pa.list_(pa.int64()))}
-        )
+            pages, texts, marks = pages + n, least([*texts, *seen]), more_marks(marks, json.loads(marked))
+        row = {"host": table.column("host")[0].as_py(), "wrapper": json.dumps(items), "pages": pages, "texts": texts, "marks": json.dumps(marks, sort_keys=True)}
+        return pa.Table.from_pylist([row], FIELDS)
 
     return rows.groupBy(*key).applyInArrow(run, WRAPPER)
 
 
 def infer(pages: DataFrame, hosts_held: int = 2000, items_held: int = 400000) -> DataFrame:
-    """pages(url, html) -> host, wrapper (items as JSON), pages, texts: one row per host."""
+    """pages(url, html) -> host, wrapper (items as JSON), pages, texts, marks: one row per host."""
 
     def run(batches):
-        held: dict[str, tuple[list[Item], int, list[int]]] = {}
+        held: dict[str, tuple[list[Item], int, list[int], dict[str, int]]] = {}
         size = 0
 
         def rows():
-            return pa.RecordBatch.from_pydict(
-                {"host": list(held), "wrapper": [json.dumps(x[0]) for x in held.values()], "pages": [x[1] for x in held.values()], "texts": [x[2] for x in held.values()]},
-                pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("pages", pa.int64()), ("texts", pa.list_(pa.int64()))]),
-            )
+            columns = [[json.dumps(x[0]) for x in held.values()], [x[1] for x in held.values()], [x[2] for x in held.values()], [json.dumps(x[3], sort_keys=True) for x in held.values()]]
+            return pa.RecordBatch.from_pydict(dict(zip(FIELDS.names, [list(held), *columns], strict=True)), FIELDS)
 
         for batch in batches:
             for host, html in zip(batch.column(0), batch.column(1), strict=True):
                 page = blocks(html.as_py() or "")
-                items, text = cut_items(stream(page)), text_hash(page_text(page, frozenset()))
+                items, text, marks = cut_items(stream(page)), text_hash(page_text(page, None)), marks_of(page)
                 known = held.get(host.as_py())
-                held[host.as_py()] = (items, 1, [text]) if known is None else (align(known[0], items), known[1] + 1, least([*known[2], text]))
+                if known:
+                    held[host.as_py()] = align(known[0], items), known[1] + 1, least([*known[2], text]), more_marks(known[3], marks)
+                else:
+                    held[host.as_py()] = items, 1, [text], marks
                 size += len(held[host.as_py()][0]) - (len(known[0]) if known else 0)
                 if len(held) >= hosts_held or size >= items_held:
                     yield rows()
@@ -358,14 +423,17 @@ def infer(pages: DataFrame, hosts_held: int = 2000, items_held: int = 400000) ->
 
 
 def templates(wrappers: DataFrame) -> DataFrame:
-    """host, template array<long>: only hosts that have constants."""
+    """host, template array<long>: hashes of constants and of marks that several pages have, of hosts with enough pages."""
 
     def run(batches):
         for batch in batches:
-            found = [constants(json.loads(w.as_py()), len(x)) for w, x in zip(batch.column(1), batch.column(2), strict=True)]
+            found = []
+            for wrapper, texts, marks in zip(*batch.columns[1:], strict=True):
+                slots = [mark_hash(m) for m, n in sorted(json.loads(marks.as_py()).items()) if n > 1]
+                found.append(constants(json.loads(wrapper.as_py()), len(texts)) + slots if len(texts) >= LEAST_PAGES else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["host", "template"])
 
-    return wrappers.select("host", "wrapper", "texts").mapInArrow(run, "host string, template array<long>").where("size(template) > 0")
+    return wrappers.select("host", "wrapper", "texts", "marks").mapInArrow(run, "host string, template array<long>").where("template IS NOT NULL")
 
 
 def extract(pages: DataFrame, ship_bytes: int = SHIP_BYTES) -> DataFrame:
@@ -384,7 +452,7 @@ def extract(pages: DataFrame, ship_bytes: int = SHIP_BYTES) -> DataFrame:
         for batch in batches:
             out = []
             for html, host, own in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
-                template = shared.value.get(host.as_py(), frozenset()) if shared else frozenset(own.as_py() or ())
+                template = shared.value.get(host.as_py()) if shared else None if own.as_py() is None else frozenset(own.as_py())
                 out.append(page_text(blocks(html.as_py() or ""), template))
             texts = pa.array([t.encode("utf-8", "replace").decode() for t in out], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts, pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])

@@ -3,7 +3,7 @@ import random
 from spanloom.llm import wrappers as w
 
 
-def text(html, template=frozenset()):
+def text(html, template=None):
     return w.page_text(w.blocks(html), template)
 
 
@@ -104,3 +104,57 @@ def test_common_is_a_longest_subsequence():
         pairs = w.common(x, y)
         assert all(x[i] == y[j] for i, j in pairs) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:]))
         assert len(pairs) == w.lengths(x, y)[-1]
+
+
+def test_marked_inline_elements():
+    assert text('<article><p>one <span class="share">Share <span>it</span> now</span> two</p><p>three</p></article>') == "one two\nthree"
+    assert text('<p>one <a class="ad">buy<div>in</div></a> two') == "one\ntwo"
+    assert text('<p>a <b>b</b> <span class="promo">x<p>c') == "a b\nc"
+
+
+def pages_of(host, bodies):
+    return [(i, f"http://{host}/{i}", body) for i, body in enumerate(bodies)]
+
+
+def test_marks_need_evidence_of_the_host(spark):
+    """In an article, a marked element that one page has is content; one that the host's pages share is template."""
+    own = ["notice", "related-work", "search results", "banner-history", "reply"]
+    once = [f'<article><p>text {i}</p><div class="{own[i]}">about {own[i]}</div></article>' for i in range(5)]
+    shared = [f'<article><p>text {i}</p><section id="comments"><p>reader {i * 7} says {i}</p></section></article>' for i in range(5)]
+    few = [f'<article><p>text {i}</p><div class="notice">mind {i}</div></article>' for i in range(2)]
+    wrapped = [f'<div class="widget"><article><p>text {i}</p></article></div>' for i in range(4)]
+    rows = pages_of("once.example", once) + pages_of("shared.example", shared) + pages_of("few.example", few) + pages_of("wrapped.example", wrapped)
+    for limit in (w.SHIP_BYTES, -1):
+        out = {r.url: r.text for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), limit).collect()}
+        assert all(out[f"http://once.example/{i}"] == f"text {i}\nabout {own[i]}" for i in range(5))
+        assert all(out[f"http://shared.example/{i}"] == f"text {i}" for i in range(5))
+        assert all(out[f"http://few.example/{i}"] == f"text {i}" for i in range(2))
+        assert all(out[f"http://wrapped.example/{i}"] == f"text {i}" for i in range(4))
+
+
+def brute(pages):
+    """What a host's pages keep: of each article's blocks those whose (tag, text) is not on every page."""
+    everywhere = set.intersection(*[set(p) for p in pages])
+    return ["\n".join(t for tag, t in p if (tag, t) not in everywhere) for p in pages]
+
+
+def test_templates_against_brute_force(spark):
+    """Random templates around and inside random articles, a tag per place, so that constants are what all pages share."""
+    r = random.Random(11)
+    rows, expected = [], {}
+    for h in range(12):
+        n = r.randrange(3, 9)
+        fixed = {f"t{k}": f"fixed {h} {k}" for k in range(r.randrange(1, 5))}
+        pages = []
+        for i in range(n):
+            blocks = [(f"o{k}", f"own {h} {i} {k}") for k in range(r.randrange(1, 6))]
+            for tag, text_ in fixed.items():
+                blocks.insert(min(len(blocks), 2 * int(tag[1:])), (tag, text_))
+            pages.append(blocks)
+        for i, (blocks, kept) in enumerate(zip(pages, brute(pages), strict=True)):
+            url = f"http://h{h}.example/{i}"
+            body = "".join(f"<{tag}>{t}</{tag}>" for tag, t in blocks)
+            rows.append((len(rows), url, f"<nav>menu</nav><article>{body}</article><footer>end</footer>" if h % 3 else body))
+            expected[url] = kept
+    out = {r.url: r.text for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert out == expected
