@@ -9,11 +9,13 @@ import sys
 from pyspark.sql import functions as F
 
 from spanloom.config import Config, load, override
-from spanloom.operators import audit, metrics, rules
+from spanloom.operators import audit, metrics, rules, text
 from spanloom.plans import predict
-from spanloom.schema import AROUSAL_FLAGS, POSTURES, label_dim
+from spanloom.schema import AROUSAL_FLAGS, POSTURES, affect_dim, label_dim
 from spanloom.session import build_session
+from spanloom.storage import saved
 from spanloom.sources import annotations as src
+from spanloom.sources import dialogues, media
 
 
 def config_of(args) -> Config:
@@ -47,9 +49,9 @@ def run_prepare(spark, args, config) -> int:
 def run_audit(spark, args, config) -> int:
     rows = src.read_annotations(spark, args.annotations).withColumn("id", F.monotonically_increasing_id()).withColumn("group", src.group_key(F.col("group"), F.col("video")))
     found = audit.audit_annotations(rows, spark.read.parquet(args.media), label_dim(spark, config.behaviours), config.audit.clip_seconds, config.audit.min_examples)
-    found = found.persist()
-    found.groupBy("level", "code").count().orderBy("level", "code").show(50, False)
-    found.orderBy("level", "code", "subject").show(30, False)
+    found = saved(found, "findings")
+    usable = audit.checked(rows, spark.read.parquet(args.media)).where("reason IS NULL")
+    print(audit.render(found, audit.totals(usable)))
     return int(args.strict and found.where("level = 'error'").limit(1).count() > 0)
 
 
@@ -67,7 +69,7 @@ def run_predict(spark, args, config) -> int:
 def run_eval(spark, args, config) -> int:
     rows = spark.read.parquet(args.scores)
     per, total = metrics.evaluate_multilabel(rows) if config.task == "multilabel" else metrics.evaluate_multiclass(rows)
-    per.orderBy("class").show(100, False)
+    print(metrics.table(per))
     total.show()
     return 0
 
@@ -79,6 +81,28 @@ def run_enrich(spark, args, config) -> int:
     return 0
 
 
+def run_feeling(spark, args, config) -> int:
+    scores = spark.read.parquet(args.scores)
+    spans = predict.predict_spans(scores, None, config.inference, config.task == "multiclass").drop("peak")
+    videos = scores.groupBy("video").agg(F.max("t1").alias("duration"))
+    rules.read_affect(spans, affect_dim(spark), videos, ["video"], len(config.behaviours)).orderBy("video").show(args.show, False)
+    return 0
+
+
+def run_synth(spark, args, config) -> int:
+    rows = media.synthetic_sessions(spark, args.sessions, seed=args.seed)
+    found = src.shaped(rows, **{c: F.col(c) for c in ("video", "labels", "start", "end", "group")}).drop("unmapped")
+    predict.prepare(found, args.out, seed=args.seed).groupBy("split").count().show()
+    return 0
+
+
+def run_captions(spark, args, config) -> int:
+    corpus = text.generate_captions(src.read_annotations(spark, args.annotations), spark.read.parquet(args.audio) if args.audio else None)
+    dialogues.write_corpus(corpus, args.out)
+    text.corpus_stats(dialogues.read_corpus(spark, args.out), "caption").show()
+    return 0
+
+
 def run_info(spark, args, config) -> int:
     print(config.to_json())
     return 0
@@ -112,6 +136,9 @@ def parser() -> argparse.ArgumentParser:
     command("predict", run_predict, "scores", "out", thresholds=None, show=3)
     command("eval", run_eval, "scores")
     command("enrich", run_enrich, "annotations", "audio", "out", min_count=1, min_confidence=0.0)
+    command("feeling", run_feeling, "scores", show=20)
+    command("synth", run_synth, "out", sessions=100, seed=0)
+    command("make-captions", run_captions, "annotations", "out", audio=None)
     command("info", run_info)
     command("behaviours", run_behaviours)
     return out

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.joins import small
-from spanloom.operators.rules import state_keys
+from spanloom.operators.rules import condition_vector, state_keys
 from spanloom.schema import VOICE_KINDS
 
 #: The token pattern (ASCII by design) and the special tokens, in order.
@@ -167,6 +167,34 @@ def compose_caption(video: Column, labels: Column, seconds: Column, voice: Colum
     )
 
 
+def generate_captions(annotations: DataFrame, audio: DataFrame | None = None) -> DataFrame:
+    """A corpus row (sources.dialogues) per annotation (video, labels, start, end, group), its caption composed from what is
+    measured: labels, length, and of ``audio`` (video, kinds map<string,long>, arousal, valence, vocal_fraction) the kind
+    heard most often, the first by name of equals. An end that is missing or before the start gives a length of 0."""
+    seconds = F.greatest(F.lit(0.0), F.coalesce("end", F.lit(0.0)) - F.col("start"))
+    rows = annotations.select("video", "labels", "start", seconds.alias("duration"), F.coalesce("group", F.lit("")).alias("group"))
+    if audio is None:
+        rows = rows.withColumns({"kinds": F.lit(None).cast("map<string,long>")} | {c: F.lit(None).cast("double") for c in ("arousal", "valence", "vocal_fraction")})
+    else:
+        rows = rows.join(audio.select("video", F.col("kinds").cast("map<string,long>").alias("kinds"), "arousal", "valence", "vocal_fraction"), "video", "left")
+    counts = F.filter(F.transform(F.map_entries("kinds"), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("kind"))), lambda x: x["n"] < 0)
+    rows = rows.withColumn("top", F.array_min(counts))
+    key = F.concat_ws(":", "video", F.format_string("%.3f", F.col("start").cast("double")))
+    caption = compose_caption(key, F.col("labels"), F.col("duration"), F.col("top.kind"), -F.col("top.n"))
+    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("arousal", "valence", "vocal_fraction")]
+    voice = F.struct(F.coalesce("kinds", F.create_map().cast("map<string,long>")).alias("kinds"), *zero)
+    return rows.select("video", caption.alias("caption"), "labels", "duration", "group", voice.alias("audio"))
+
+
+def corpus_to_examples(corpus: DataFrame, behaviours: list[str]) -> DataFrame:
+    """video, condition array<double>, caption of a corpus: known labels share 0.85 each on a floor of 0.15 / n, or all 0."""
+    n = max(1, len(behaviours))
+    known = F.size(F.array_intersect("labels", F.array(*map(F.lit, behaviours)))) > 0
+    scores = F.array(*[F.when(known, F.when(F.array_contains("labels", b), 0.85).otherwise(0.0) + 0.15 / n).otherwise(0.0) for b in behaviours])
+    vector = condition_vector(scores, F.col("audio.kinds"), F.col("audio.arousal"), F.col("audio.valence"), F.col("audio.vocal_fraction"), F.col("duration"))
+    return corpus.select("video", vector.alias("condition"), "caption")
+
+
 def dialogue_grid(spark, behaviours: list[str], intents: list[str], arousals=(0.15, 0.4, 0.7, 0.9), valences=(-0.7, -0.3, 0.0, 0.4, 0.8), repeats: int = 2) -> DataFrame:
     """Every state x intent x repeat with its lookup keys: a product of fixed, small lists."""
     dims = [

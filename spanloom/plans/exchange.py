@@ -323,6 +323,18 @@ def split_audit(spark, sf_dir):
     return found.groupBy("split", "level", "code", "subject").agg(F.count("*").alias("n"))
 
 
+@register(
+    "corpus_examples",
+    f"""WITH {SPANS} SELECT id, round(CASE WHEN behaviour IN ('sitting', 'running', 'playing', 'barking') THEN 1e0 ELSE 0e0 END + ln(1e0 + id % 4) / 3e0 + 0.5e0 - 0.25e0 + 0.125e0 + ln(1e0 + greatest(0e0, "end" - start)) / 4e0, 6) AS total, 16 AS n FROM ev""",
+)
+def corpus_examples(spark, sf_dir):
+    voice = F.struct(F.create_map(F.lit("growl"), (F.col("id") % 4).cast("long")).alias("kinds"), F.lit(0.5).alias("arousal"), F.lit(-0.25).alias("valence"), F.lit(0.125).alias("vocal_fraction"))
+    corpus = spans(spark, sf_dir).select(F.col("id").alias("video"), F.array("behaviour").alias("labels"), (F.col("end") - F.col("start")).alias("duration"), voice.alias("audio"), F.lit("").alias("caption"))
+    rows = text.corpus_to_examples(corpus, ["sitting", "running", "playing", "barking"])
+    total = F.aggregate("condition", F.lit(0.0), lambda a, x: a + x)
+    return rows.select(F.col("video").alias("id"), F.round(total, 6).alias("total"), F.size("condition").alias("n"))
+
+
 LINES = {"sitting": ["I wait.", "Any minute now."], "running": ["Fast!", "Faster!", "This is what legs are for."], "sniffing": ["What was here?"]}
 SOUNDS = {"growl": ["Close enough.", "Stop."], "yelp": ["Ow!"], "whine": ["Please.", "Help me."], "bark": ["Hey."]}
 MOODS = {(a, v): [f"{a} {v} one", f"{a} {v} two"] for a in ("low", "medium", "high") for v in ("negative", "neutral", "positive")}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.config import Config, Inference
 from spanloom.operators import dedup, rules, spans as sp, splits
 from spanloom.operators.joins import small
-from spanloom.schema import AROUSAL_FLAGS, affect_dim
+from spanloom.schema import AROUSAL_FLAGS, NOT_THE_DOG, affect_dim
 from spanloom.sources.annotations import group_key, write_annotations, write_labels
 
 
@@ -50,6 +50,18 @@ def reports(spans: DataFrame, videos: DataFrame, known: int | None = None) -> Da
     return out
 
 
+def translated(scores: DataFrame, events: DataFrame, videos: DataFrame, behaviour_lines: DataFrame, voice_lines: DataFrame, headlines: DataFrame, settings: Inference | None = None, known: int | None = None) -> DataFrame:
+    """rules.translate from window scores and typed sound events (video, kind, start, end, seconds, f0, confidence, valence,
+    arousal, concerning) of ``videos`` (video, duration)."""
+    spans = predict_spans(scores, None, settings)
+    seen = rules.read_affect(spans.drop("peak"), affect_dim(spans.sparkSession), videos, ["video"], known)
+    heard = rules.read_audio(events, videos, ["video"])
+    urgent = events.where(F.col("concerning") & ~F.col("kind").isin(NOT_THE_DOG)).groupBy("video").agg(F.max("arousal").alias("urgent_arousal"))
+    parts = [r.select("video", *[F.col(c).alias(f"{name}_{c}") for c in ("valence", "arousal", "confidence")]) for name, r in (("affect", seen), ("audio", heard))]
+    state = rules.blend(parts[0].join(parts[1], "video").join(urgent, "video", "left"))
+    return rules.translate(spans, events, state, ["video"], behaviour_lines, voice_lines, headlines)
+
+
 def explain(scores: DataFrame, probes: DataFrame, k: int = 5) -> DataFrame:
     """probes (video, at) -> the k best classes of the window whose centre is nearest: video, at, class, score, rank."""
     windows = scores.select("video", "w", "t0", "t1").distinct()

@@ -96,6 +96,39 @@ def probed(files: DataFrame, probe: Callable[[str], dict]) -> DataFrame:
 PROBED_NAMES = [x.split()[0] for x in PROBED.split(", ")]
 
 
+def thumbnail(grey: np.ndarray, rows: int = 8, columns: int = 9) -> np.ndarray:
+    """Means of an even grid of cells; a frame smaller than the grid repeats its pixels."""
+    at = [(np.arange(n + 1) * size / n) for size, n in zip(grey.shape, (rows, columns), strict=True)]
+    low = [np.floor(x[:-1]).astype(int) for x in at]
+    high = [np.maximum(np.ceil(x[1:]).astype(int), a + 1) for x, a in zip(at, low, strict=True)]
+    total = np.zeros((grey.shape[0] + 1, grey.shape[1] + 1))
+    total[1:, 1:] = grey.astype(np.float64).cumsum(0).cumsum(1)
+    (a, c), (b, d) = (low[0][:, None], low[1][None, :]), (high[0][:, None], high[1][None, :])
+    return (total[b, d] - total[a, d] - total[b, c] + total[a, c]) / ((b - a) * (d - c))
+
+
+def clip_signatures(clips: DataFrame, frames: int = 8) -> DataFrame:
+    """clips(id, height int, width int, pixels array<binary>: grey frames) -> id, words array<long>: of ``frames`` frames at even
+    places the 64 bits that tell whether a cell of the 8 x 9 thumbnail is brighter than the one left of it; null without frames
+    or where a frame has another size."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for height, width, pixels in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                words = [] if pixels else None
+                for k in np.linspace(0, len(pixels) - 1, frames).round().astype(int) if pixels else ():
+                    if len(pixels[k]) != height * width or not height * width:
+                        words = None
+                        break
+                    small = thumbnail(np.frombuffer(pixels[k], np.uint8).reshape(height, width))
+                    words.append(int(np.packbits(small[:, 1:] > small[:, :-1]).view(">i8")[0]))
+                found.append(words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "words"])
+
+    return clips.select("id", "height", "width", "pixels").mapInArrow(run, f"id {clips.schema['id'].dataType.simpleString()}, words array<long>")
+
+
 def samples_of(data: bytes, rate: int = RATE) -> np.ndarray:
     """Mono float32 samples of a PCM WAV file at the rate: channels are averaged, other rates interpolated."""
     with wave.open(io.BytesIO(data)) as w:

@@ -208,3 +208,27 @@ def test_settings_files(tmp_path):
     for name in ("clips", "clips.none", "inference.smooth.more"):
         with pytest.raises(KeyError):
             override(config, name, "1")
+
+
+def test_captions_of_annotations(spark):
+    rows = spark.createDataFrame([("a", ["sitting"], 0.0, 3.0, "g"), ("b", [], 1.0, None, None), ("c", ["playing", "barking"], 0.0, 20.0, "")], "video string, labels array<string>, start double, end double, `group` string")
+    audio = spark.createDataFrame([("a", {"growl": 2, "bark": 2}, 0.5, -0.5, 0.1), ("b", {"whine": 0}, 0.0, 0.0, 0.0)], "video string, kinds map<string,long>, arousal double, valence double, vocal_fraction double")
+    out = {r.video: r for r in text.generate_captions(rows, audio).collect()}
+    assert "sitting for a moment" in out["a"].caption and "bark twice" in out["a"].caption and out["a"].audio.kinds == {"growl": 2, "bark": 2}
+    assert out["b"].caption == "Nothing much happens in this clip." and out["b"].duration == 0.0 and "playing for a long time" in out["c"].caption
+    silent = {r.video: r.caption for r in text.generate_captions(rows).collect()}
+    assert silent["c"] == out["c"].caption and "bark" not in silent["a"]
+    examples = {r.video: r.condition for r in text.corpus_to_examples(text.generate_captions(rows, audio), ["sitting", "playing"]).collect()}
+    assert examples["a"][:2] == pytest.approx([0.925, 0.075]) and examples["b"][:2] == [0.0, 0.0] and all(len(x) == 2 + 8 + 4 for x in examples.values())
+
+
+def test_translation_of_scores(spark):
+    from spanloom.plans import predict
+
+    scores = spark.createDataFrame([("v", w, w * 0.5, w * 0.5 + 1, "playing", 0.9) for w in range(6)] + [("w", 0, 0.0, 1.0, "playing", 0.1)], "video string, w long, t0 double, t1 double, class string, score double")
+    events = spark.createDataFrame([("v", "growl", 1.0, 1.5, 0.5, 250.0, 0.75, -0.6, 0.6, True)], "video string, kind string, start double, end double, seconds double, f0 double, confidence double, valence double, arousal double, concerning boolean")
+    videos = spark.createDataFrame([("v", 3.5), ("w", 1.0)], "video string, duration double")
+    dims = [spark.createDataFrame(list(LINES.items()), "behaviour string, lines array<string>"), spark.createDataFrame(list(SOUNDS.items()), "kind string, lines array<string>"), spark.createDataFrame([(*k, v) for k, v in MOODS.items()], "arousal_band string, valence_band string, lines array<string>")]
+    out = {r.video: r for r in predict.translated(scores, events, videos, *dims).collect()}
+    assert out["v"].headline in SOUNDS["growl"] and out["v"].disagree and len(out["v"].utterances) == 2
+    assert out["w"].headline == "Not much to go on right now." and not out["w"].saw

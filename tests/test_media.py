@@ -91,3 +91,17 @@ def test_audio_files(spark, tmp_path):
     rows = {r.video.rsplit("/", 1)[1]: r for r in media.read_audio_files(spark, str(tmp_path)).collect()}
     assert rows["a.wav"].audio == [0.5] * 100 and rows["a.wav"].has_audio
     assert not rows["empty.wav"].has_audio and rows["empty.wav"].error is None and rows["bad.wav"].error and rows["bad.wav"].audio is None
+
+
+def test_clip_signatures(spark):
+    r = np.random.default_rng(4)
+    frames = [r.integers(0, 256, (32, 36), dtype=np.uint8) for _ in range(8)]
+    brighter = [np.minimum(f.astype(int) + 3, 255).astype(np.uint8) for f in frames]
+    rows = [(1, 32, 36, [f.tobytes() for f in frames]), (2, 32, 36, [f.tobytes() for f in brighter]), (3, 32, 36, [f.tobytes() for f in frames[::-1]]), (4, 32, 36, []), (5, 3, 3, [b"x"]), (6, 4, 4, [bytes(range(16))])]
+    out = {r.id: r.words for r in media.clip_signatures(spark.createDataFrame(rows, "id long, height int, width int, pixels array<binary>")).collect()}
+    far = lambda a, b: sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(a, b, strict=True))
+    assert far(out[1], out[2]) <= 6 < far(out[1], out[3]) and out[4] is None and out[5] is None and len(out[6]) == 8
+    cells = frames[0].reshape(8, 4, 9, 4).mean((1, 3))
+    assert np.allclose(media.thumbnail(frames[0]), cells)
+    bits = "".join("1" if b > a else "0" for row in cells for a, b in zip(row, row[1:]))
+    assert out[1][0] & (1 << 64) - 1 == int(bits, 2)

@@ -65,6 +65,10 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["audit", written, str(tmp_path / "m"), "--strict"], spark) == 0
     scores(spark).write.parquet(str(tmp_path / "s"))
     assert cli.main(["--set", "inference.smooth=1", "predict", str(tmp_path / "s"), str(tmp_path / "r")], spark) == 0
+    assert cli.main(["feeling", str(tmp_path / "s")], spark) == 0
+    assert cli.main(["synth", str(tmp_path / "synth"), "--sessions", "5"], spark) == 0
+    assert cli.main(["make-captions", written, str(tmp_path / "captions")], spark) == 0
+    capsys.readouterr()
     assert cli.main(["--preset", "base", "info"]) == 0 and '"image_size": 192' in capsys.readouterr().out
     assert cli.main(["behaviours"]) == 0 and "alert_freeze action *" in capsys.readouterr().out
     assert cli.main(["--config", str(tmp_path / "none.json"), "info"]) == 1 and cli.main(["--set", "x.y=1", "info"]) == 1
