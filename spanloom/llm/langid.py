@@ -5,9 +5,12 @@ Each hashes to one of BUCKETS embeddings; their average goes through a linear so
 model is one table of BUCKETS x languages scores, and a prediction is the mean of the table's rows. The table's size is
 fixed by parameters, so it can travel with the function. Temperature and rejection threshold are set on part of the sample.
 
-Training reads at most ``sample`` labelled rows (those whose id hashes lowest), whole. Predictions use text alone, whole.
+Training reads at most ``sample`` labelled rows (those whose id hashes lowest), whole: their subwords are counted where the
+rows are, so that what reaches the driver is bounded by rows and buckets. Predictions use text alone, whole.
 
-Edge cases: text null or without a letter is `und` with score 0; without any labelled row every text is `und`.
+Edge cases: text null or without a letter is `und` with score 0; without any labelled row every text is `und`; of languages
+with equal scores the first by name is predicted; rows with equal hashes of the id are taken in order of id, language and
+text; repeated rows count each.
 """
 
 from __future__ import annotations
@@ -71,13 +74,12 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], seed: int = 3) -> dict:
-    """{"langs", "table" float32 buckets x langs (temperature applied), "threshold"}."""
+def train(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 3) -> dict:
+    """counts_of each text -> {"langs", "table" float32 buckets x langs (temperature applied), "threshold"}."""
     langs = sorted(set(labels))
     if not langs:
         return {"langs": [], "table": np.zeros((1 << BUCKETS_LOG2, 1), np.float32), "threshold": 0.0}
     rng = np.random.default_rng(seed)
-    features = [counts_of(t) for t in texts]
     y = np.array([langs.index(x) for x in labels])
     order = rng.permutation(len(y))
     held = order[: int(len(y) * VALID)]
@@ -123,9 +125,18 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     n = labelled.count()
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     most = 1 << 30 if n <= sample else int((1 << 30) * min(1.0, 1.3 * sample / n))
-    rows = labelled.where((rank < most) & F.col("text").isNotNull()).select(rank.alias("r"), "doc_id", "text", "lang").orderBy("r", "doc_id", "text", "lang")
-    rows = rows.limit(sample).collect()
-    return train([r.text for r in rows], [r.lang for r in rows])
+    rows = labelled.where((rank < most) & F.col("text").isNotNull()).select("text", "lang", rank.alias("r"), F.col("doc_id").cast("string").alias("i"), F.xxhash64("text").alias("h"))
+
+    def run(batches):
+        for batch in batches:
+            found = [counts_of(t.as_py()) for t in batch.column(0)]
+            idx, share = pa.array([x[0].astype(np.int32) for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], idx, share], ["lang", "r", "i", "h", "idx", "share"])
+
+    counted = bounded(rows).mapInArrow(run, "lang string, r long, i string, h long, idx array<int>, share array<float>")
+    found = counted.orderBy("r", "i", "lang", "h").limit(sample).toArrow()
+    features = [(np.asarray(a, np.uint32), np.asarray(b, np.float32)) for a, b in zip(found.column("idx").to_pylist(), found.column("share").to_pylist(), strict=True)]
+    return train(features, found.column("lang").to_pylist())
 
 
 def predict(docs: DataFrame, model: dict, prefix: str = "") -> DataFrame:

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 from spanloom.llm import langid
@@ -47,3 +49,41 @@ def test_without_labels_or_rows(spark):
     assert langid.predict(empty, model).count() == 0
     row = langid.predict(spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string"), model).first()
     assert (row.lang_pred, row.score, row.rejected) == ("und", 0.0, True)
+
+
+def brute(model, text):
+    """(language, score) by the definition: the mean of the subwords' rows, one subword at a time."""
+    if text is None or not re.search(r"[^\W\d_]", text) or not model["langs"]:
+        return "und", 0.0
+    data = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in text.encode())
+    total, n = [0.0] * len(model["langs"]), 0
+    for order in langid.ORDERS:
+        for k in range(len(data) - order + 1):
+            h = int.from_bytes(data[k : k + order], "big")
+            h = (h ^ h >> 15) * 0x9E3779B1 % 2**32
+            h = (h ^ h >> 13 ^ order) * 0x85EBCA77 % 2**32
+            total = [t + float(x) for t, x in zip(total, model["table"][h >> 32 - langid.BUCKETS_LOG2], strict=True)]
+            n += 1
+    z = [t / max(1, n) for t in total]
+    e = [math.exp(x - max(z)) for x in z]
+    best = e.index(max(e))
+    return model["langs"][best], e[best] / sum(e)
+
+
+def test_against_brute_force(spark):
+    docs = [(i, t) for i, t, _ in corpus(60)] + [(100, None), (101, ""), (102, "7 !"), (103, "é"), (104, "A"), (105, "ab"), (106, "ÀÉ the of " * 300), (107, "的是不了")]
+    frame = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
+    model = langid.fit(frame)
+    out = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    for i, t in docs:
+        lang, score = brute(model, t)
+        assert out[i][0] == lang and abs(out[i][1] - score) < 1e-5, (i, t)
+
+
+def test_sample_is_bounded_and_ordered(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda features, labels: seen.append((len(features), labels)))
+    frame = spark.createDataFrame([*corpus(), *corpus(5) * 40], "doc_id long, text string, lang string")
+    for n in (1, 7):
+        langid.fit(frame.repartition(n), 30)
+    assert seen[0][0] == 30 and seen[0] == seen[1]
