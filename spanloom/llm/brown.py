@@ -4,13 +4,15 @@ Every training token counts: words (runs of characters other than ASCII white sp
 text. The CLUSTERED most frequent words are put into CLASSES classes by exchange: each word in turn moves to the class
 that raises the likelihood of the class bigrams most. Every other word with LEAST occurrences or more then moves from the
 class of other words to the class that raises it most, by counts of the classes beside it that are gathered and judged
-distributedly, PLACINGS times over. Only rarer words stay in the class of other words; ends form a class of their own.
+distributedly, PLACINGS times over. Only rarer words, and the rarest of a vocabulary with more than MOST_CLASSED such words,
+stay in the class of other words; ends form a class of their own.
 P(w | v) = P(class of w | class of v) P(w | class of w); transitions are add-one smoothed, emission of the class of other
 words is add-one smoothed with one more word for all unseen ones, so the probabilities of all words sum to 1.
 
 Words are counted by 64-bit hashes. The counts of the up to HEAD most frequent words and of all words with a class travel
-with the scoring function, so its size grows with the number of words that occur LEAST times; the counts of all other words
-are joined, per document and word, so no word is without its exact count. Only words rarer than the head's can join, and only words unseen in training can repeat often on that side.
+with the scoring function, at most HEAD + MOST_CLASSED words at any size of the corpus; the counts of all other words are
+joined, per document and word, so no word is without its exact count. Only words rarer than the head's can join, and only
+words unseen in training can repeat often on that side.
 
 Edge cases: null text is empty and has one token, its end; a null id is held out; without training rows every probability
 is uniform over the classes; repeated rows each get their row and count each.
@@ -30,6 +32,8 @@ from spanloom.llm.textnum import FOLDED_VALUES, NOT_SPACE, Powers, span_hashes,
 HEAD, CLUSTERED, CLASSES, SWEEPS = 1 << 18, 1024, 64, 5
 #: Occurrences from which a word has a class, times that words beyond the CLUSTERED are placed, words judged at once.
 LEAST, PLACINGS, JUDGED = 5, 2, 2048
+#: Words that can have a class: the bound on what travels with functions, about 28 bytes a word.
+MOST_CLASSED = 1 << 22
 FOLDS, HELD = 7, 2
 #: Entries that a worker holds before it merges its counts, and after merging at most before it sends them on.
 HELD_COUNTS = 1 << 20
@@ -297,18 +301,24 @@ def place(docs: DataFrame, words: np.ndarray, cls: np.ndarray, moving: np.ndarra
     return out
 
 
-def fit(training: DataFrame, head: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES) -> tuple[dict, DataFrame]:
+def level_of(levels: list[tuple[int, int]], room: int) -> int:
+    """Of (level, words) from the highest level: the lowest down to which there are at most ``room`` words in all."""
+    lowest = 1 << 62
+    for level, n in levels:
+        if n > room:
+            break
+        lowest, room = level, room - n
+    return lowest
+
+
+def fit(training: DataFrame, head: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES, most: int = MOST_CLASSED) -> tuple[dict, DataFrame]:
     """(model, counts h long, n long of the words that are not in the model)."""
     counts = saved(word_counts(training), "counts")
     n_docs = training.count()
     n_words, v_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     scale = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("long")
-    least, room = 1 << 62, head
-    for level, n in sorted((tuple(r) for r in counts.groupBy(scale.alias("s")).agg(F.count("*")).collect()), reverse=True):
-        if n > room:
-            break
-        least, room = level, room - n
-    held = (scale >= least) | (F.col("n") >= LEAST)
+    levels = sorted((tuple(r) for r in counts.groupBy(scale.alias("s")).agg(F.count("*")).collect()), reverse=True)
+    held = (scale >= level_of(levels, head)) | ((F.col("n") >= LEAST) & (scale >= level_of(levels, most)))
     top = counts.where(held).toArrow()
     h, c = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(h)

@@ -34,7 +34,7 @@ def corpus():
 @pytest.mark.parametrize("head", [1 << 18, 12, 0])
 def test_against_brute_force(spark, head):
     docs = corpus()
-    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5).selectExpr("*", "1 AS uid", "'x' AS h", "2 AS n", "3 AS score")
     model, rare = brown.fit(frame.where(~brown.held_out(frame.doc_id)), head=head, clustered=10, classes=4)
     got = sorted(map(tuple, brown.score(frame, model, rare).collect()), key=repr)
     count = Counter(t for i, text in docs if in_training(i) for t in tokens(text))
@@ -128,3 +128,13 @@ def test_every_word_over_a_small_count_has_a_class(spark):
     of = [{cls[int(h)] for h in brown.hashes_of(pa.array([" ".join(words)]), POWERS)[0]} for words in kinds]
     assert sorted(map(sorted, of)) == [[0], [1]]
     assert int(brown.hashes_of(pa.array(["once7"]), POWERS)[0][0]) not in cls
+
+
+def test_words_with_a_class_are_bounded(spark):
+    docs = [(i, " ".join(f"w{j}" for j in range(40) for _ in range(1 + j // 4))) for i in range(30)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for most in (8, 20, 1 << 22):
+        model, rare = brown.fit(frame, head=0, clustered=4, classes=2, most=most)
+        assert 0 < len(model["h"]) <= min(most, 40) and len(model["h"]) + rare.count() == 40
+        assert set(model["n"]) == set(sorted((30 * (1 + j // 4) for j in range(40)), reverse=True)[: len(model["h"])])
+    assert brown.level_of([(9, 2), (7, 3), (1, 5)], 5) == 7 and brown.level_of([(9, 2)], 1) == 1 << 62
