@@ -335,6 +335,26 @@ def corpus_examples(spark, sf_dir):
     return rows.select(F.col("video").alias("id"), F.round(total, 6).alias("total"), F.size("condition").alias("n"))
 
 
+STATES = """st AS (SELECT event_id AS video, CASE event_id % 3 WHEN 0 THEN 'sitting' WHEN 1 THEN 'running' END AS behaviour, CASE WHEN event_id % 4 = 0 THEN 'growl' END AS voice,
+  (event_id % 5) / 8e0 AS a1, (event_id % 7) / 8e0 - 0.5e0 AS v1, 0.75e0 AS a2, CASE WHEN event_id % 2 = 0 THEN 0.25e0 END AS v2 FROM events)"""
+
+
+@register(
+    "dialogue_states",
+    f"""WITH {STATES}, s AS (SELECT video, coalesce(behaviour, 'standing') AS behaviour, coalesce(voice, '') AS voice, coalesce(nullif(a1, 0e0), a2, 0e0) AS arousal, coalesce(nullif(v1, 0e0), v2, 0e0) AS valence FROM st)
+    SELECT *, round(CASE WHEN behaviour IN ('sitting', 'running') THEN 1e0 ELSE 0.15e0 END + CASE WHEN voice <> '' THEN 1e0 ELSE 0e0 END + arousal + valence, 9) AS total, 12 AS n FROM s""",
+)
+def dialogue_states(spark, sf_dir):
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(
+        e.alias("video"), F.when(e % 3 == 0, "sitting").when(e % 3 == 1, "running").alias("behaviour"), F.when(e % 4 == 0, "growl").alias("voice"), ((e % 5) / 8.0).alias("affect_arousal"),
+        ((e % 7) / 8.0 - 0.5).alias("affect_valence"), F.lit(0.75).alias("audio_arousal"), F.when(e % 2 == 0, 0.25).alias("audio_valence"),
+    )
+    states = rules.state_of(rows, ["video"])
+    vector = rules.state_vector(F.col("behaviour"), F.col("voice"), F.col("arousal"), F.col("valence"), ["sitting", "running"])
+    return states.withColumn("v", vector).select(*states.columns, F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 9).alias("total"), F.size("v").alias("n"))
+
+
 LINES = {"sitting": ["I wait.", "Any minute now."], "running": ["Fast!", "Faster!", "This is what legs are for."], "sniffing": ["What was here?"]}
 SOUNDS = {"growl": ["Close enough.", "Stop."], "yelp": ["Ow!"], "whine": ["Please.", "Help me."], "bark": ["Hey."]}
 MOODS = {(a, v): [f"{a} {v} one", f"{a} {v} two"] for a in ("low", "medium", "high") for v in ("negative", "neutral", "positive")}

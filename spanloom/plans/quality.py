@@ -131,6 +131,13 @@ sg AS (SELECT id, list(CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744
 ap AS (SELECT a.id AS a, b.id AS b, CAST(list_sum(list_transform(range(1, 9), lambda i: bit_count(xor(a.w[i], b.w[i])))) AS INT) AS distance FROM sg a JOIN sg b ON a.id < b.id)"""
 
 
+@register("signature_distances", f"WITH {PAIRS} SELECT a AS id, distance FROM ap WHERE b = a + {COPIES}")
+def signature_distances(spark, sf_dir):
+    rows = clips(spark, sf_dir)
+    edited = rows.where(F.col("id") >= COPIES).select((F.col("id") - COPIES).alias("id"), F.col("words").alias("other"))
+    return rows.join(edited, "id").select("id", dedup.hamming(F.col("words"), F.col("other")).alias("distance"))
+
+
 def classes_sql(distance: int) -> str:
     return f"""{PAIRS}, np AS (SELECT a, b FROM ap WHERE distance <= {distance}), e AS (SELECT a, b FROM np UNION SELECT b, a FROM np),
     r AS (SELECT id AS x, id AS y FROM sg UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a), cl AS (SELECT x AS id, min(y) AS class_id FROM r GROUP BY x),
