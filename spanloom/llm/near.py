@@ -210,19 +210,22 @@ def hub_links(nodes: DataFrame) -> DataFrame:
     return buckets.join(hubs, "band").groupBy("node").agg(F.min("hub").alias("hub"), F.collect_set("hub").alias("hubs"), F.sum("size").alias("score"))
 
 
+def with_pivots(members: DataFrame) -> DataFrame:
+    """members(part, node, score, ...) -> the same with pivot, salts (copies of the pivot that its part needs) and salt."""
+    heads = members.groupBy("part").agg(F.max(F.struct("score", "node")).alias("head"), F.ceil(F.count("*") / SALT_NODES).cast("int").alias("salts"))
+    rows = members.join(heads.select("part", F.col("head.node").alias("pivot"), "salts"), "part")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), "salts").cast("int"))
+
+
 def measured(members: DataFrame, ngram: int, p: int, q: int) -> DataFrame:
-    """members(part, node, weight, score, text) -> part, node, pivot, weight, u, reach, ring, delta: a row per node.
+    """members(part, node, pivot, weight, salts, salt, text) -> part, node, pivot, weight, u, reach, ring, delta: a row per node.
 
     reach is (q-p) times the n-grams of the pivot, its own u and so the largest of the part.
     """
     sets = saved(gram_sets(members, ngram), "grams")
-    heads = sets.groupBy("part").agg(F.max(F.struct("score", "node")).alias("head"), F.ceil(F.count("*") / SALT_NODES).cast("int").alias("salts"))
-    heads = heads.select("part", F.col("head.node").alias("pivot"), "salts")
-    base = sets.select("part", F.col("node").alias("pivot"), F.col("grams").alias("base")).join(heads, ["part", "pivot"])
-    base = base.select("part", "pivot", "base", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    dealt = sets.join(heads.select("part", "salts"), "part").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), "salts").cast("int"))
+    base = sets.where("node = pivot").select("part", F.col("grams").alias("base"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     delta = F.concat(F.array_except("grams", "base"), F.array_except("base", "grams"))
-    rows = dealt.join(base, ["part", "salt"]).select("part", "node", "pivot", "weight", F.size("grams").alias("n"), F.size("base").alias("g"), delta.alias("delta"))
+    rows = sets.join(base, ["part", "salt"]).select("part", "node", "pivot", "weight", F.size("grams").alias("n"), F.size("base").alias("g"), delta.alias("delta"))
     u = (q - p) * F.col("n").cast("long") - (q + p) * F.size("delta")
     ring = F.floor(F.log((F.size("delta") + F.col("g")) / F.col("g")) / math.log(q / p) + 1e-9) + 1 if p < q else F.lit(1)
     return rows.select(
@@ -231,28 +234,45 @@ def measured(members: DataFrame, ngram: int, p: int, q: int) -> DataFrame:
 
 
 def counted_links(rows: DataFrame) -> DataFrame:
-    """node, links: documents b of the part with u(a) + u(b) >= 0, without the node's own."""
+    """node, links: documents b of the part with u(a) + u(b) >= 0, without the node's own.
+
+    A part has at most as many points as different values of u, which the lengths of its texts bound.
+    """
     values = rows.groupBy("part", "u").agg(F.sum("weight").alias("w"))
     points = values.select("part", F.col("u").alias("v"), "w").unionByName(values.select("part", (-F.col("u")).alias("v"), F.lit(0).cast("long").alias("w")))
     above = Window.partitionBy("part").orderBy(F.desc("v")).rangeBetween(Window.unboundedPreceding, 0)
     points = points.groupBy("part", "v").agg(F.sum("w").alias("w")).withColumn("near", F.sum("w").over(above)).where("near > 0")
+    points = saved(points.select("part", (-F.col("v")).alias("u"), "near"), "points")  # written, so that the join deals by part and u
     own = F.when(F.col("u") >= 0, F.col("weight")).otherwise(0)
-    return rows.select("part", "node", "u", "weight").join(points.select("part", (-F.col("v")).alias("u"), "near"), ["part", "u"]).select("node", (F.col("near") - own).alias("links"))
+    return rows.select("part", "node", "u", "weight").join(points, ["part", "u"]).select("node", (F.col("near") - own).alias("links"))
 
 
 def block_pairs(rows: DataFrame) -> DataFrame:
-    """The rows of parts that the counts leave open, once per pair of blocks: one, two, side, node, weight, u, delta."""
-    shape = rows.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.size("delta")).alias("grams"), F.sum((F.col("u") < 0).cast("long")).alias("far"))
-    shape = shape.where("far > 0 AND n > 2").select("part", ((F.col("n") <= BLOCK_NODES) & (F.col("grams") <= BLOCK_GRAMS)).alias("small"))
-    open_ = rows.where(F.size("delta") > 0).join(shape, "part").withColumn("ring", F.when(F.col("small"), 1).otherwise(F.col("ring")))
-    blocks = open_.groupBy("part", "ring").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum(F.size("delta")) / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    rings = blocks.groupBy("part").agg(F.collect_list(F.struct("ring", "blocks")).alias("rings"))
-    own = F.col("ring")
+    """The rows of parts that the counts leave open, once per pair of blocks: one, two, side, node, weight, u, delta.
+
+    A part of at most BLOCK_NODES nodes and BLOCK_GRAMS n-grams is one block, in ring 1. What each ring meets is a small
+    table, written so that the join deals rows by part and ring.
+    """
+    size = F.size("delta")
+    rings = rows.where(size > 0).groupBy("part", "ring").agg(F.count("*").alias("n"), F.sum(size).alias("grams"), F.sum((F.col("u") < 0).cast("long")).alias("far"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+    parts = rings.groupBy("part").agg(F.sum("n").alias("nodes"), F.sum("grams").alias("sum"), F.sum("far").alias("far"), F.collect_list(F.struct("ring", blocks.alias("blocks"))).alias("rings"))
+    parts = parts.where("far > 0 AND nodes > 1")
+    small = (F.col("nodes") < BLOCK_NODES) & (F.col("sum") <= BLOCK_GRAMS)
+    own = F.col("own.ring")
     # ring 0 holds u >= 0, which may lie at the distances of rings 1 and 2; its own pairs are counted
     meets = F.filter("rings", lambda x: F.when(own == 0, x["ring"].between(1, 2)).when(x["ring"] == 0, own <= 2).otherwise(F.abs(x["ring"] - own) <= 1))
-    meets = F.transform(meets, lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda b: F.struct(x["ring"].alias("ring"), b.alias("block"))))
-    targets = blocks.join(rings, "part").select("part", "ring", "blocks", F.flatten(meets).alias("targets"))
-    placed = open_.join(targets, ["part", "ring"]).withColumn("mine", F.struct("ring", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int").alias("block")))
+    meets = F.flatten(F.transform(meets, lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda b: F.struct(x["ring"].alias("ring"), b.alias("block")))))
+    alone = F.array(F.struct(F.lit(1).alias("ring"), F.lit(0).alias("block")))
+    targets = parts.select("part", "rings", small.alias("small"), F.explode("rings").alias("own")).select(
+        "part",
+        own.alias("ring"),
+        F.when(F.col("small"), 1).otherwise(own).alias("as_ring"),
+        F.when(F.col("small"), 1).otherwise(F.col("own.blocks")).alias("blocks"),
+        F.when(F.col("small"), alone).otherwise(meets).alias("targets"),
+    )
+    mine = F.struct(F.col("as_ring").alias("ring"), F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int").alias("block"))
+    placed = rows.where(size > 0).join(saved(targets, "targets"), ["part", "ring"]).withColumn("mine", mine)
     dealt = placed.select("part", "mine", F.explode("targets").alias("other"), "node", "weight", "u", "delta")
     side = F.shiftleft(F.col("mine.ring").cast("long"), 32) + F.col("mine.block")
     return dealt.select("part", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), side.alias("side"), "node", "weight", "u", "delta")
@@ -277,8 +297,9 @@ def jaccard_classes(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRE
     edges = hubs.select(F.col("node").alias("a"), F.col("hub").alias("b")).unionByName(hubs.select(F.explode("hubs").alias("a"), F.col("hub").alias("b")))
     parts = components(edges.where("a <> b").distinct()).withColumnRenamed("label", "part")
     members = nodes.select("node", "uid", "weight").join(hubs.select("node", "score"), "node").join(parts, "node")
+    members = with_pivots(saved(members, "members"))
     texts = one_row_each(keyed).join(members, "uid")
-    near = saved(measured(texts.select("part", "node", "weight", "score", "text"), ngram, p, q), "deltas")
+    near = saved(measured(texts.select("part", "node", "pivot", "weight", "salts", "salt", "text"), ngram, p, q), "deltas")
     checked = block_pairs(near).groupBy("part", "one", "two").applyInArrow(verify(2 * (q + p)), "node long, links long, root long")
     checked = saved(checked, "checked")
     links = checked.select("node", "links").unionByName(counted_links(near)).groupBy("node").agg(F.sum("links").alias("links"))
