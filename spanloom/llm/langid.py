@@ -135,7 +135,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
 
     counted = bounded(rows).mapInArrow(run, "lang string, r long, i string, h long, idx array<int>, share array<float>")
     found = counted.orderBy("r", "i", "lang", "h").limit(sample).toArrow()
-    features = [(np.asarray(a, np.uint32), np.asarray(b, np.float32)) for a, b in zip(found.column("idx").to_pylist(), found.column("share").to_pylist(), strict=True)]
+    columns = [found.column(c).combine_chunks() for c in ("idx", "share")]
+    ends = columns[0].offsets.to_numpy()[1:-1] - columns[0].offsets[0].as_py() if len(found) else []
+    idx, share = (c.flatten().to_numpy() for c in columns)
+    features = list(zip(np.split(idx.astype(np.uint32), ends), np.split(share, ends), strict=True)) if len(found) else []
     return train(features, found.column("lang").to_pylist())
 
 
