@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.arrowio import as_bytes, bounded, slices
 from spanloom.llm.common import one_row_each, row_key, saved
-from spanloom.llm.textnum import Powers, byte_values, mix
+from spanloom.llm.passages import LENGTH, NOISE, shared_strings
+from spanloom.llm.textnum import Powers, byte_values, mix, sliding_least
+from spanloom.storage import scratch
 
 SPAN, GRAM = 400, 32
 HOT, BUCKET_BYTES = 2000, 1 << 20
@@ -42,17 +44,6 @@ KEY = ["anchor", "content", "windows", "distance"]
 SUB = ["anchor", "part", "content", "windows", "distance"]
 
 
-def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
-    """Least of every ``width`` consecutive values, from the running least of blocks in both directions."""
-    n = len(x) - width + 1
-    padded = np.full(-(-len(x) // width) * width, np.iinfo(x.dtype).max, x.dtype)
-    padded[: len(x)] = x
-    rows = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
-
-
 class Hasher:
     """Prefix sums of a text's polynomial hash."""
 
@@ -326,10 +317,19 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept binary: a row per row."""
+def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, length: int = LENGTH, noise: int = NOISE) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept binary, n_shared: a row per row.
+
+    n_shared tells of what SPAN bytes may miss, passages of words that other documents have too (see passages); they stay.
+    """
     keyed = docs.select(row_key("doc_id", "text").alias("uid"), "doc_id", "text")
-    spans = repeats(keyed, span, gram, hot, bucket_bytes)
+    with scratch(docs.sparkSession) as kept_tables:
+        shared = saved(shared_strings(keyed, length, noise), "shared")
+        kept_tables.append(shared)
+    with scratch(docs.sparkSession) as kept_tables:
+        spans = saved(repeats(keyed, span, gram, hot, bucket_bytes), "spans")
+        kept_tables.append(spans)
+    found = spans.join(shared, "uid", "full_outer")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -345,12 +345,12 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
                 n_spans.append(len(gone))
                 kept.append(left)
             columns = [pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(kept, pa.binary()), batch.column(3)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_shared"])
 
-    rows = keyed.join(spans, "uid", "left").select("doc_id", "text", "spans")
-    return bounded(rows).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = keyed.join(found, "uid", "left").select("doc_id", "text", "spans", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
+    return bounded(rows).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, n_shared long")
 
 
 def op8(spark, sf_dir) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_shared")
