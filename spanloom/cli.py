@@ -13,7 +13,7 @@ from spanloom.operators import audit, metrics, rules, text
 from spanloom.plans import predict
 from spanloom.schema import AROUSAL_FLAGS, POSTURES, affect_dim, label_dim
 from spanloom.session import build_session
-from spanloom.storage import saved
+from spanloom.storage import saved, scratch
 from spanloom.sources import annotations as src
 from spanloom.sources import dialogues, media
 
@@ -148,8 +148,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     args = parser().parse_args(argv)
     try:
         config = config_of(args)
-        needs = args.command not in ("info", "behaviours")
-        return args.run(spark or (build_session(master=args.master) if needs else None), args, config)
+        if args.command in ("info", "behaviours"):
+            return args.run(None, args, config)
+        session = spark or build_session(master=args.master)
+        with scratch(session):
+            return args.run(session, args, config)
     except (FileNotFoundError, ValueError, KeyError) as error:
         print(f"error: {error}", file=sys.stderr)
         return 1

@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes the frame to the shared folder and reads it back: lineage ends there, and no executor's loss undoes it.
 
-    The table stays until release() or the end of a scratch() around the call.
+    The table stays until release(), the end of a scratch() around the call, or the driver's end.
     """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
@@ -47,9 +47,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _at_exit() -> None:
+    session = SparkSession.getActiveSession()
+    if session is not None and session.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the folder's owner may clean up after a driver that dies
+            release(session)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder for what a caller writes itself; deleted like saved() tables."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.unregister(_at_exit)
+        atexit.register(_at_exit)
     _written.append(path)
     return path
 
