@@ -30,8 +30,9 @@ from spanloom.llm.common import saved
 from spanloom.llm.textnum import FOLDED_VALUES, NOT_SPACE, Powers, span_hashes, word_bounds
 
 HEAD, CLUSTERED, CLASSES, SWEEPS = 1 << 18, 1024, 64, 5
-#: Occurrences from which a word has a class, times that words beyond the CLUSTERED are placed, words judged at once.
-LEAST, PLACINGS, JUDGED = 5, 2, 2048
+#: Occurrences from which a word has a class, times that words beyond the CLUSTERED are placed, counts judged at once, which
+#: take CLASSES numbers each in several tables.
+LEAST, PLACINGS, JUDGED = 5, 2, 1 << 16
 #: Words that can have a class: the bound on what travels with functions, about 28 bytes a word.
 MOST_CLASSED = 1 << 22
 FOLDS, HELD = 7, 2
@@ -234,6 +235,26 @@ def gains(g: np.ndarray, old: np.ndarray, word: np.ndarray, side: np.ndarray, n:
     return out + xlogx(kept + both) - xlogx(kept)
 
 
+def packed(word: np.ndarray, side: np.ndarray, n: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Counts in order of word -> each word once, and its (side, n) as records of six bytes."""
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    records = np.empty((len(word), 6), np.uint8)
+    records[:, :2] = side.astype("<u2").view(np.uint8).reshape(-1, 2)
+    records[:, 2:] = n.astype("<u4").view(np.uint8).reshape(-1, 4)
+    offsets = (np.append(first, len(word)) * 6).astype(np.int32)
+    return pa.array(word[first]), pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(records)])
+
+
+def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, side, n) of packed rows."""
+    blobs = batch.column(1).cast(pa.large_binary())
+    offsets = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset : blobs.offset + len(blobs) + 1]
+    data = np.frombuffer(blobs.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(blobs) else np.zeros(0, np.uint8)
+    records = data.reshape(-1, 6)
+    side, n = np.ascontiguousarray(records[:, :2]).view("<u2").ravel(), np.ascontiguousarray(records[:, 2:]).view("<u4").ravel()
+    return np.repeat(batch.column(0).to_numpy(), np.diff(offsets) // 6), side.astype(np.int64), n.astype(np.int64)
+
+
 def place(docs: DataFrame, words: np.ndarray, cls: np.ndarray, moving: np.ndarray, g: np.ndarray) -> np.ndarray:
     """The classes of the sorted hashes after each moving word went where it raises the likelihood of the class bigrams ``g``
     most, all others left in place; ties go to the least class."""
@@ -250,7 +271,7 @@ def place(docs: DataFrame, words: np.ndarray, cls: np.ndarray, moving: np.ndarra
             return codes, np.bincount(which, weights=c).astype(np.int64)
 
         def sent(codes, c):
-            return pa.RecordBatch.from_arrays([pa.array(codes // wide), pa.array(codes % wide), pa.array(c)], ["word", "side", "n"])
+            return pa.RecordBatch.from_arrays(list(packed(codes // wide, codes % wide, c)), ["word", "counts"])
 
         for batch in batches:
             for a, b in slices(batch.column(0)):
@@ -274,28 +295,34 @@ def place(docs: DataFrame, words: np.ndarray, cls: np.ndarray, moving: np.ndarra
         left = [np.zeros(0, np.int64)] * 3
 
         def judged(word, side, n):
-            """Rows are in order of word and side, the words whole."""
-            first = np.flatnonzero(np.diff(word * wide + side, prepend=-1))
-            word, side, n = word[first], side[first], np.add.reduceat(n, first).astype(np.float64)
+            """Entries are in order of word, the words whole."""
             starts = np.flatnonzero(np.diff(word, prepend=-1))
             edges = np.append(starts, len(word))
-            for i in range(0, len(starts), JUDGED):
-                a, b = edges[i], edges[min(i + JUDGED, len(starts))]
+            i = 0
+            while i < len(starts):
+                j = max(i + 1, int(np.searchsorted(edges, edges[i] + JUDGED, "right")) - 1)
+                a, b, i = edges[i], edges[j], j
                 these, at = np.unique(word[a:b], return_inverse=True)
-                best = gains(table, of[these], at, side[a:b], n[a:b]).argmax(1)
+                total = np.bincount(at * wide + side[a:b], n[a:b], len(these) * wide)
+                there = np.flatnonzero(total)
+                best = gains(table, of[these], there // wide, there % wide, total[there]).argmax(1)
                 yield pa.RecordBatch.from_arrays([pa.array(these), pa.array(best.astype(np.int64))], ["word", "class"])
 
         for batch in batches:
-            rows = [np.concatenate([x, c.to_numpy()]) for x, c in zip(left, batch.columns, strict=True)]
-            cut = np.searchsorted(rows[0], rows[0][-1]) if len(rows[0]) else 0
+            word, side, n = (np.concatenate(x) for x in zip(left, unpacked(batch), strict=True))
+            if not len(word):
+                continue
+            cut = np.searchsorted(word, word[-1])
             if cut:
-                yield from judged(*(x[:cut] for x in rows))
-            left = [x[cut:] for x in rows]
+                yield from judged(word[:cut], side[:cut], n[:cut])
+            sums = np.bincount(side[cut:], n[cut:], wide)  # of the last word, which may go on in the next batch
+            sides = np.flatnonzero(sums)
+            left = [np.full(len(sides), word[-1]), sides, sums[sides].astype(np.int64)]
         if len(left[0]):
             yield from judged(*left)
 
-    beside_rows = bounded(docs.select("text")).mapInArrow(gather, "word long, side long, n long")
-    found = beside_rows.repartition("word").sortWithinPartitions("word", "side").mapInArrow(judge, "word long, class long").toArrow()
+    beside_rows = bounded(docs.select("text")).mapInArrow(gather, "word long, counts binary")
+    found = beside_rows.repartition("word").sortWithinPartitions("word").mapInArrow(judge, "word long, class long").toArrow()
     out = cls.copy()
     out[found.column("word").to_numpy()] = found.column("class").to_numpy()
     return out

@@ -138,3 +138,16 @@ def test_words_with_a_class_are_bounded(spark):
         assert 0 < len(model["h"]) <= min(most, 40) and len(model["h"]) + rare.count() == 40
         assert set(model["n"]) == set(sorted((30 * (1 + j // 4) for j in range(40)), reverse=True)[: len(model["h"])])
     assert brown.level_of([(9, 2), (7, 3), (1, 5)], 5) == 7 and brown.level_of([(9, 2)], 1) == 1 << 62
+
+
+def test_packed_counts_round_trip():
+    r = np.random.default_rng(3)
+    code = np.unique(r.integers(0, 40 * 133, 900))
+    n = r.integers(1, 1 << 32, len(code))
+    word, blobs = brown.packed(code // 133, code % 133, n)
+    batch = pa.RecordBatch.from_arrays([word, blobs], ["word", "counts"])
+    for part in (batch, batch.slice(5, 20)):
+        w, side, c = brown.unpacked(part)
+        kept = np.isin(code // 133, part.column(0).to_numpy())
+        assert (w * 133 + side == code[kept]).all() and (c == n[kept]).all()
+    assert [len(x) for x in brown.unpacked(batch.slice(0, 0))] == [0, 0, 0]
