@@ -27,9 +27,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from spanloom.llm.arrowio import bounded
+from spanloom.llm.arrowio import bounded, slices
 
 CACHE_WORDS = 200_000
+#: Text bytes that are encoded before their rows are passed on.
+CHUNK_BYTES = 1 << 19
 NO_RANK = 1 << 60
 #: Fixed value: the word pattern of the files read here.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -191,7 +193,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, text_col: str = "
 
     def run(batches):
         coder = WordBpe(spec.value)
-        for batch in batches:
+        whole = (b.slice(i, j - i) for b in batches for i, j in slices(b.column(names.index(text_col)), CHUNK_BYTES))
+        for batch in whole:
             n, ids_hash, text_hash, ids = [], [], [], []
             for t in batch.column(names.index(text_col)):
                 packed, decoded = coder.encode(t.as_py() or "")

