@@ -371,6 +371,6 @@ def translation(spark, sf_dir):
     return told.select("video", "headline", F.size("utterances").alias("n"), F.get("utterances", F.lit(0))["text"].alias("first"), "urgent", "heard", "saw", "notes")
 
 
-@register("dataset_catalogue", "SELECT * FROM (VALUES ('animalkingdom', 15.1e0, 0), ('dogbehaviour', 9.5e0, 5), ('mammalnet', 159e0, 0)) t(key, gigabytes, n_behaviours)")
+@register("dataset_catalogue", "SELECT * FROM (VALUES ('animalkingdom', 15.1e0, 0), ('dog-behavior', 9.5e0, 5), ('mammalnet', 159e0, 0)) t(key, gigabytes, n_behaviours)")
 def dataset_catalogue(spark, sf_dir):
     return catalogue.catalogue(spark).select("key", "gigabytes", F.size("behaviours").alias("n_behaviours"))

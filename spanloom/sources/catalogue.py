@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 SCHEMA = "key string, repository string, gigabytes double, licence string, behaviours array<string>, label_map map<string,string>"
 #: Key, repository, size, terms, behaviours, source label to own label.
 DATASETS = [
-    ("dogbehaviour", "fishchen/dog-behavior-dataset", 9.5, "see its card", ["yawning", "eating_drinking", "eliminating", "playing", "chewing"], {"yawn": "yawning", "eating": "eating_drinking", "pooping": "eliminating", "toy": "playing", "rope": "chewing"}),
+    ("dog-behavior", "fishchen/dog-behavior-dataset", 9.5, "see its card", ["yawning", "eating_drinking", "eliminating", "playing", "chewing"], {"yawn": "yawning", "eating": "eating_drinking", "pooping": "eliminating", "toy": "playing", "rope": "chewing"}),
     ("animalkingdom", "Hzzone/Animal_Kingdom", 15.1, "research use", [], {}),
     ("mammalnet", "linxxx3/MammalNet", 159.0, "research use", [], {}),
 ]

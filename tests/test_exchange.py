@@ -137,7 +137,7 @@ def test_renderers(spark):
     found = spark.createDataFrame([("error", "bad_span", "m", f"v{i}") for i in range(4)] + [("warning", "low_fps", "m", "w")], "level string, code string, message string, subject string")
     report = audit.render(found, spark.createDataFrame([("run", 3, 120.0)], "label string, n long, seconds double"), top=2)
     assert "errors: 4" in report and "and 2 more" in report and "2.0 min" in report
-    assert "dogbehaviour" in catalogue.describe(catalogue.catalogue(spark))
+    assert "dog-behavior" in catalogue.describe(catalogue.catalogue(spark))
     with pytest.raises(KeyError):
         catalogue.download("none", "/nowhere")
 
