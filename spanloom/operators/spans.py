@@ -159,11 +159,35 @@ def hysteresis(df: DataFrame, key: list[str], order: str, value: str, open_level
     return df.withColumn("active", F.coalesce(F.last(switch, ignorenulls=True).over(line), F.lit(False)))
 
 
+def quantiles(df: DataFrame, key: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """key and a column per entry of ``at``: the interpolated quantile of the values that are not null.
+
+    Equal to DuckDB's quantile_cont to the last bit, which is low * (1 - part) + high * part as a fused multiply-add.
+    Spark's percentile rounds the first product too, so a value that equals a level may fall on the other side of it.
+    """
+    line = Window.partitionBy(*key)
+    rows = df.select(*key, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    rows = rows.select("*", (F.row_number().over(line.orderBy("__v")) - 1).alias("__i"), (F.count("*").over(line) - 1).alias("__last"))
+    ends = []
+    for name, q in at.items():
+        place = F.col("__last") * F.lit(float(q))
+        ends.append(F.max(F.when(F.col("__i") == F.floor(place), F.col("__v"))).alias(f"{name}_low"))
+        ends.append(F.max(F.when(F.col("__i") == F.ceil(place), F.col("__v"))).alias(f"{name}_high"))
+        ends.append(F.max(place - F.floor(place)).alias(f"{name}_part"))
+
+    def between(name: str) -> Column:
+        low, high, part = (F.col(f"{name}_{x}") for x in ("low", "high", "part"))
+        fused = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), low, 1.0 - part, high * part).cast("double")
+        return F.when(part == 0, low).otherwise(fused).alias(name)
+
+    return rows.groupBy(*key).agg(*ends).select(*key, *[between(name) for name in at])
+
+
 def energy_events(
     df: DataFrame, key: list[str], frame: str, energy: str, seconds: float, open_db: float = 9.0, close_db: float = 5.0, gap: float = 0.06, least: float = 0.045, most: float = 4.0
 ) -> DataFrame:
     """Sound events of frame energies: levels above the 20th percentile, scaled by the range to the 99th (none under 3 dB)."""
-    levels = df.groupBy(*key).agg(F.percentile(energy, F.lit(0.2)).alias("__floor"), F.percentile(energy, F.lit(0.99)).alias("__top"))
+    levels = quantiles(df, key, energy, {"__floor": 0.2, "__top": 0.99})
     scale = F.least(F.lit(1.0), (F.col("__top") - F.col("__floor")) / 25.0)
     levels = levels.where(F.col("__top") - F.col("__floor") >= 3.0).select(*key, (F.col("__floor") + open_db * scale).alias("__open"), (F.col("__floor") + close_db * scale).alias("__close"))
     active = hysteresis(df.join(levels, key), key, frame, energy, F.col("__open"), F.col("__close")).where("active")
